@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import association
 from ..functions.columns import finite, ident, is_numeric, long_form, numeric_columns, present
-from ..functions.ordering import running_totals
 from ..functions.pvalues import f_upper_col, pearson_p, t_two_sided_col
 from ..functions.quantiles import column_quantiles, long_quantiles
-from ..functions.skew import join_hot_keys
 
 # The closed set of aggregates a question may ask for.
 AGGREGATES = {
@@ -176,39 +175,10 @@ def contributors(df: DataFrame, dimension: str, metric: str, k: int = 5, ascendi
     )
 
 
-def average_ranks(values: DataFrame, column: str, weight: str) -> DataFrame:
-    """``column, weight, rank`` for a table of distinct values with counts (ties share the mean rank)."""
-    run = running_totals(values, column, [weight])
-    return run.select(column, weight, (F.col(f"cum_{weight}") - (F.col(weight) - 1) / 2.0).alias("rank"))
-
-
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row ``n, spearman`` over rows where both values are finite."""
-    joint = (
-        df.select(finite(x).alias("x"), finite(y).alias("y")).where("x is not null and y is not null")
-        .groupBy("x", "y").agg(F.count("*").alias("w"))
-    )
-    out = joint
-    for c in ("x", "y"):
-        marginal = joint.groupBy(c).agg(F.sum("w").alias("n"), F.count("*").alias("pairs"))
-        ranked = average_ranks(marginal.select(c, "n"), c, "n")
-        sized = joint.groupBy(c).agg(F.count("*").alias("_pairs")).join(ranked.drop("n"), c)
-        out = join_hot_keys(out, sized.withColumnRenamed("rank", f"r{c}"), [c], "_pairs").drop("_pairs")
-    return weighted_corr(out, "rx", "ry", "w", "spearman")
-
-
-def weighted_corr(df: DataFrame, a: str, b: str, w: str, name: str) -> DataFrame:
-    """Correlation of two columns where each row stands for ``w`` rows."""
-    mean = df.agg(
-        (F.sum(F.col(a) * F.col(w)) / F.sum(w)).alias("ma"), (F.sum(F.col(b) * F.col(w)) / F.sum(w)).alias("mb")
-    )
-    da, db = F.col(a) - mean.select("ma").scalar(), F.col(b) - mean.select("mb").scalar()
-    c = df.select(F.col(w).alias("w"), da.alias("da"), db.alias("db")).agg(
-        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("da") * F.col("db")).alias("ab"),
-        F.sum(F.col("w") * F.col("da") * F.col("da")).alias("aa"),
-        F.sum(F.col("w") * F.col("db") * F.col("db")).alias("bb"),
-    )
-    return c.select("n", F.try_divide(F.col("ab"), F.sqrt(F.col("aa") * F.col("bb"))).alias(name))
+    pair = df.select(F.lit("pair").alias("column"), finite(x).alias("x"), finite(y).alias("y"))
+    return association.spearman(pair).drop("column")
 
 
 def bivariate(df: DataFrame, x: str, y: str) -> DataFrame:
