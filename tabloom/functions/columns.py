@@ -111,3 +111,8 @@ def long_form(df: DataFrame, columns: Iterable[str], by: Iterable[str] = (), val
         .select(*[ident(b) for b in by], F.col("_e.column").alias("column"), F.col("_e.value").alias("value"))
         .where(F.col("value").isNotNull())
     )
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
