@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -20,6 +21,7 @@ from .profile import cell_counts
 # Sentiment words.
 POSITIVE = ["good", "great", "excellent", "amazing", "love", "best", "fast", "happy", "reliable", "perfect"]
 NEGATIVE = ["bad", "poor", "terrible", "worst", "hate", "slow", "error", "fail", "broken", "issue", "bug"]
+GRAM_TERMS = 2000
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -61,7 +63,7 @@ def strict_text_columns(df: DataFrame, exclude: Sequence[str] = (), min_words: f
 
 def sentiment(c: Column) -> Column:
     """(positive - negative) / (positive + negative) over distinct words."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\b[a-z]+\b"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0)))
     pos = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in POSITIVE])))
     neg = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in NEGATIVE])))
     return F.when(pos + neg > 0, (pos - neg) / (pos + neg)).otherwise(0.0)
@@ -138,9 +140,9 @@ def weigh(counts: DataFrame, key: str, vocabulary: DataFrame, sublinear: bool) -
 def tfidf(df: DataFrame, key: str, column: str, max_terms: int = 5000, sublinear: bool = True, stop_words: Sequence[str] | None = None, min_length: int = 1) -> TfIdf:
     counts = term_counts(df, key, column, stop_words, min_length)
     rows = df.count()
-    if stop_words is None and counts.isEmpty():
-        return tfidf(df, key, column, max_terms, sublinear, [], min_length)
     head = fit_vocabulary(counts, rows, max_terms).collect()
+    if stop_words is None and not head and rows:
+        return tfidf(df, key, column, max_terms, sublinear, [], min_length)
     vocabulary = df.sparkSession.createDataFrame([tuple(r) for r in head], "term_id int, term string, df long, idf double")
     return TfIdf(key, vocabulary, weigh(counts, key, vocabulary, sublinear), len(head), rows)
 
@@ -169,14 +171,23 @@ def fit_svd(model: TfIdf, k: int = 8) -> Embedding:
     """Distributed SVD of the sparse rows; k is at most the vocabulary and rows - 1."""
     k = max(1, min(k, model.size, max(1, model.rows - 1)))
     packed = model.weights.groupBy(model.key).agg(F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("e")).select(_sparse(model.size)("e").alias("v"))
-    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(packed, "v")).computeSVD(k)
-    v = svd.V.toArray()
+    # the solver multiplies by the rows many times, so they are kept rather than rebuilt
+    packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
+    packed.count()
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(packed, "v"))
+    if model.size <= GRAM_TERMS:
+        # a small vocabulary needs one pass: eigenvectors of the Gram matrix
+        lam, vec = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+        v, s = vec[:, ::-1][:, :k], np.sqrt(np.maximum(lam[::-1][:k], 0.0))
+    else:
+        svd = matrix.computeSVD(k)
+        v, s = svd.V.toArray(), np.asarray(svd.s.toArray())
+    packed.unpersist()
     total = model.weights.groupBy("term_id").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q"))
     n = float(model.rows)
     whole = total.agg(F.sum(F.col("q") / n - F.pow(F.col("s") / n, 2))).first()[0] or 1.0
     sums = {r["term_id"]: r["s"] for r in total.select("term_id", "s").collect()}
     mean = np.array([sums.get(i, 0.0) for i in range(model.size)]) / n
-    s = np.asarray(svd.s.toArray())
     var = s**2 / n - (mean @ v) ** 2
     return Embedding(v, s, [float(x / whole) for x in var])
 

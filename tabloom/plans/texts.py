@@ -152,7 +152,7 @@ def lexical(t):
 
 
 @query("txt_04_sentiment", f"""
-WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '\\b[a-z]+\\b')) AS w FROM documents),
+WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents),
 c AS (SELECT doc_id, len(list_intersect(w, {text.POSITIVE})) AS p, len(list_intersect(w, {text.NEGATIVE})) AS n FROM w)
 SELECT doc_id, CASE WHEN p + n > 0 THEN round((p - n) / (p + n)::DOUBLE, 8) + 0.0 ELSE 0.0 END::DOUBLE AS sentiment FROM c""")
 def sentiment(t):
