@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip, finite, ident, is_numeric, kind_of
 from ..functions.hashing import uniform
+from ..functions.lineage import cut_lineage
 from ..functions.linear import least_squares, moments
 from ..functions.quantiles import quantile_map
 from . import evaluate as ev
-from .features import LIMIT, balanced_weights, categories, clean_category, ordinal_codes, ordinal_encode
+from .features import LIMIT, balanced_weights, categories, clean_category, ordinal_codes, ordinal_encode, stratified_split
 
 # ---- preprocessing ----
 
@@ -70,6 +71,23 @@ class Preprocessor:
         return df.withColumn(out, array_to_vector(F.array(*parts))).drop(*[f"{c}_code" for c in self.coded])
 
 
+def prepare(df: DataFrame, label: str, features: Sequence[str], keys: Sequence[str], task: str = "classification", train_share: float = 0.8, seed: int = 42):
+    """``train, test, preprocessor``: split, preprocessing fitted on the training rows, ``features`` and ``label`` columns.
+
+    The split table is written once (reliable checkpoint): every fit and every
+    metric afterwards reads it instead of replaying the split.
+    """
+    rows = df.withColumn("label", ident(label).cast("double")).where("label is not null")
+    if task == "classification":
+        marked = stratified_split(rows, "label", keys, train_share, seed)
+    else:
+        marked = rows.withColumn("is_train", uniform(*[ident(k) for k in keys], seed=seed) <= train_share)
+    marked = cut_lineage(marked)
+    train = marked.where("is_train").drop("is_train")
+    prep = Preprocessor.fit(train, features)
+    return prep.transform(train), prep.transform(marked.where(~F.col("is_train")).drop("is_train")), prep
+
+
 # ---- catalogue ----
 
 COMMON = {"featuresCol": "features", "labelCol": "label", "predictionCol": "prediction"}

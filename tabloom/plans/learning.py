@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.linear import least_squares, moments
-from ..operators import features as fe, models, scenario
+from ..operators import models, scenario
 from .registry import query, rounded
 
 NUM = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
@@ -25,14 +25,9 @@ KEYS = ["l_orderkey", "l_linenumber"]
 
 
 def split(t, label: str = "label"):
-    """Prepared train and test tables: stratified by class, or by order for a numeric outcome."""
-    if label == "label":
-        df = fe.stratified_split(base(t), "label", KEYS)
-    else:
-        df = base(t).withColumn("label", F.col(label)).withColumn("is_train", F.expr("pmod(l_orderkey, 5) < 4"))
-    prep = models.Preprocessor.fit(df.where("is_train"), ALL)
-    x = prep.transform(df)
-    return x.where("is_train").drop("is_train"), x.where(~F.col("is_train")).drop("is_train"), prep
+    """Prepared train and test tables."""
+    task = "classification" if label == "label" else "regression"
+    return models.prepare(base(t), label, ALL, KEYS, task)
 
 
 def metrics(t, key: str, task: str = "classification"):

@@ -47,12 +47,8 @@ def sniff(spark: SparkSession, path: str) -> str:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line decodes, else Latin-1 (which always does).
-
-    Undecodable bytes reach Spark as the replacement character, so the check is
-    one scan for it over the whole input.
-    """
-    broken = spark.read.text(path).where(F.col("value").contains("\ufffd")).limit(1).count()
+    """UTF-8 when every line is valid UTF-8, else Latin-1 (which always decodes); one scan."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     return "ISO-8859-1" if broken else "UTF-8"
 
 
