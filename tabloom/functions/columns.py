@@ -116,3 +116,14 @@ def long_form(df: DataFrame, columns: Iterable[str], by: Iterable[str] = (), val
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also inside lambdas."""
     return F.transform(F.array(value), body)[0]
+
+
+def corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation of the complete pairs; NULL when a side is constant.
+
+    (The built-in aggregate raises a division error there in ANSI mode.)
+    """
+    a, b = _as_column(x), _as_column(y)
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.least(F.greatest(F.try_divide(F.covar_pop(a, b), spread), F.lit(-1.0)), F.lit(1.0))

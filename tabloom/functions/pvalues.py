@@ -126,7 +126,7 @@ def pearson_t(r: Column, n: Column) -> Column:
 
 def kolmogorov_p(d: Column, n1: Column, n2: Column, terms: int = 60) -> Column:
     """Asymptotic two-sample Kolmogorov-Smirnov p-value (limiting series)."""
-    lam = F.sqrt(n1.cast("double") * n2 / (n1 + n2)) * d
+    lam = F.sqrt(F.try_divide(n1.cast("double") * n2, n1 + n2)) * d
     ks = F.sequence(F.lit(1), F.lit(terms))
     series = F.aggregate(
         ks, F.lit(0.0),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import finite, ident, is_numeric, present
+from ..functions.columns import finite, ident, is_numeric, present, ratio
 from ..functions.hashing import uniform
 from ..functions.ordering import running_totals
 from ..functions.pvalues import kolmogorov_p
@@ -79,7 +79,7 @@ def distances(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFra
     counts = _side_counts(_sided(ref, cur, {c: (lambda df, c: finite(c)) for c in columns}))
     sizes = counts.groupBy("column").agg(F.sum("r").alias("ref_rows"), F.sum("c").alias("cur_rows"))
     run = running_totals(counts, "x", ["r", "c"], by=["column"]).join(F.broadcast(sizes), "column")
-    gap = F.abs(F.col("cum_r") / F.col("ref_rows") - F.col("cum_c") / F.col("cur_rows"))
+    gap = F.abs(ratio(F.col("cum_r"), F.col("ref_rows")) - ratio(F.col("cum_c"), F.col("cur_rows")))
     s = run.groupBy("column", "ref_rows", "cur_rows").agg(
         F.max(gap).alias("ks"), F.coalesce(F.sum(gap * (F.col("next_x") - F.col("x"))), F.lit(0.0)).alias("wasserstein")
     )

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite, ident, numeric_columns, present, string_columns
+from ..functions.columns import corr, finite, ident, numeric_columns, present, ratio, string_columns
 from ..functions.ordering import running_totals
 from ..functions.pvalues import f_upper, pearson_p, t_two_sided_col
 from ..functions.quantiles import quantile_map
@@ -24,7 +24,7 @@ def _long(df: DataFrame, columns: Sequence[str], y: Column) -> DataFrame:
 def pair_stats(df: DataFrame, columns: Sequence[str], y: Column, min_rows: int = MIN_ROWS) -> DataFrame:
     """Moments of each usable (column, target) pair: enough finite rows and spread on both sides."""
     s = _long(df, columns, y).groupBy("column").agg(
-        F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
+        F.count("*").alias("n"), corr("x", "y").alias("r"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
         F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy"), F.stddev_pop("x").alias("px"), F.stddev_pop("y").alias("py"),
     )
     return s.where((F.col("n") >= min_rows) & (F.col("px") >= 1e-8) & (F.col("py") >= 1e-8)).drop("px", "py")
@@ -140,7 +140,7 @@ def reversals(df: DataFrame, columns: Sequence[str], y: Column, groups: Sequence
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
     x, v = F.when(both, F.col("x")), F.when(both, F.col("y"))
     per = long.groupBy("grouping", "column", "g").agg(
-        F.count(x).alias("n"), F.corr(x, v).alias("r"), F.stddev_pop(x).alias("px"), F.stddev_pop(v).alias("py")
+        F.count(x).alias("n"), corr(x, v).alias("r"), F.stddev_pop(x).alias("px"), F.stddev_pop(v).alias("py")
     )
     usable = (F.col("n") >= MIN_ROWS) & (F.col("px") >= 1e-8) & (F.col("py") >= 1e-8) & F.col("r").isNotNull()
     flips = usable & (F.col("r") * F.signum("r_global") < -0.05)
@@ -149,9 +149,9 @@ def reversals(df: DataFrame, columns: Sequence[str], y: Column, groups: Sequence
         F.sum(F.when(usable, F.col("n"))).alias("w"), F.sum(F.when(flips, F.col("n")).otherwise(0)).alias("wr"),
         F.sum(F.when(usable, F.col("n") * F.col("r"))).alias("rw"),
     )
-    hit = (F.col("reversed") / F.col("groups") >= 0.6) | (F.col("wr") / F.col("w") >= 0.6)
+    hit = (ratio(F.col("reversed"), F.col("groups")) >= 0.6) | (ratio(F.col("wr"), F.col("w")) >= 0.6)
     return s.where(F.col("values").between(2, 12) & (F.col("groups") >= 2)).where(hit).select(
-        "column", "grouping", "r_global", "groups", "reversed", (F.col("rw") / F.col("w")).alias("mean_group_r"), "p_global"
+        "column", "grouping", "r_global", "groups", "reversed", ratio(F.col("rw"), F.col("w")).alias("mean_group_r"), "p_global"
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import association as assoc
-from ..functions.columns import finite, ident, is_numeric, is_string, is_temporal, kind_of, present
+from ..functions.columns import corr, finite, ident, is_numeric, is_string, is_temporal, kind_of, present
 from ..functions.quantiles import distinct_edges, quantile_map, right_closed_bin
 from .profile import cell_counts
 
@@ -95,7 +95,7 @@ def strengths(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     parts = []
     if numeric and y_num:
         long = _pairs_long(df, numeric, finite, finite(target), "x", "y")
-        pear = long.groupBy("column").agg(F.corr("x", "y").alias("r"))
+        pear = long.groupBy("column").agg(corr("x", "y").alias("r"))
         rank = assoc.spearman(long)
         best = F.greatest(F.coalesce(F.nanvl(F.abs("r"), F.lit(0.0)), F.lit(0.0)), F.coalesce(F.abs("spearman"), F.lit(0.0)))
         parts.append(pear.join(F.broadcast(rank), "column", "left").select("column", F.lit("correlation").alias("measure"), best.alias("strength")))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import association
-from ..functions.columns import finite, ident, is_numeric, long_form, numeric_columns, present
+from ..functions.columns import corr, finite, ident, is_numeric, long_form, numeric_columns, present
 from ..functions.pvalues import f_upper_col, pearson_p, t_two_sided_col
 from ..functions.quantiles import column_quantiles, long_quantiles
 
@@ -185,7 +185,7 @@ def bivariate(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson with its Fisher interval, Spearman and the least-squares line (needs 5 rows)."""
     pair = df.select(finite(x).alias("x"), finite(y).alias("y")).where("x is not null and y is not null")
     s = pair.agg(
-        F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.stddev_samp("x").alias("sx"),
+        F.count("*").alias("n"), corr("x", "y").alias("pearson"), F.stddev_samp("x").alias("sx"),
         F.stddev_samp("y").alias("sy"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
     ).where("n >= 5")
     rho = spearman(df, x, y).select("spearman").scalar()
@@ -216,7 +216,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
     return (
         pairs.groupBy("i", "k")
-        .agg(F.corr("x", "y").alias("r"), F.count("y").alias("n"))
+        .agg(corr("x", "y").alias("r"), F.count("y").alias("n"))
         .select(
             F.element_at(names, F.col("i") + 1).alias("column_a"),
             F.element_at(names, F.col("i") + F.col("k") + 2).alias("column_b"), "r", "n",

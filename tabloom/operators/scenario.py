@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite, ident
+from ..functions.columns import corr, finite, ident
 from ..functions.hashing import normal
 from ..functions.lineage import cut_lineage
 from ..functions.linear import moments
@@ -242,7 +242,7 @@ def risk_drivers(reps: DataFrame, report: DataFrame, features: Sequence[str], to
 
     items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"noise_{c}").alias("x")) for c in features])
     s = reps.select("scenario", "adverse_rate", F.explode(items).alias("e")).select("scenario", "adverse_rate", "e.*").groupBy("scenario", "feature").agg(
-        F.corr("x", "adverse_rate").alias("r"), F.var_pop("adverse_rate").alias("vr"), F.var_pop("x").alias("vx")
+        corr("x", "adverse_rate").alias("r"), F.var_pop("adverse_rate").alias("vr"), F.var_pop("x").alias("vx")
     )
     term = F.when((F.col("vr") > 1e-6) & (F.col("vx") > 1e-6), F.coalesce(F.nanvl(F.abs("r"), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
     x = s.join(F.broadcast(report.select("scenario", "rate_delta")), "scenario").withColumn("sensitivity", F.abs("rate_delta") * (1.0 + term))

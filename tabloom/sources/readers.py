@@ -95,30 +95,35 @@ def read_csv(
     encoding = encoding or detect_encoding(spark, path)
     sep = sep or sniff(spark, path)
     names = clean_headers(_header(spark, path, sep, encoding))
-    reader = spark.read.option("sep", sep).option("header", True).option("encoding", encoding)
-    reader = reader.option("mode", "DROPMALFORMED").option("enforceSchema", True)
     if schema is None:
-        inferred = reader.option("inferSchema", True).csv(path).schema
-        kinds = [f.dataType for f in inferred.fields][: len(names)]
-        schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
-    df = reader.schema(schema).option("columnPruning", False).csv(path)
+        inferred = spark.read.csv(path, sep=sep, header=True, encoding=encoding, inferSchema=True).schema
+        schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, inferred.fields)])
+    rows = _parsed(spark, path, schema, sep, encoding)
+    df = rows.where(F.col(CORRUPT).isNull() & _whole(schema)).select(*[ident(f.name) for f in schema.fields])
     return check_shape(df) if check else df
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _parsed(spark: SparkSession, path: str, schema: T.StructType, sep: str, encoding: str) -> DataFrame:
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return spark.read.csv(path, schema=wide, sep=sep, header=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+
+
+def _whole(schema: T.StructType):
+    """Always true, but makes the parser read every column: a bad cell shows only where it is parsed."""
+    return F.length(F.concat_ws("", *[ident(f.name).cast("string") for f in schema.fields])) >= 0
+
+
 def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_csv(spark, path, sep="\t", **options)
 
 
 def malformed_rows(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """The raw lines that do not fit ``schema`` (what ``read_csv`` leaves out)."""
-    wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.option("columnNameOfCorruptRecord", "_corrupt_record").csv(
-        path, schema=wide, sep=sep, header=True, encoding=encoding, mode="PERMISSIVE"
-    )
-    # the parser must see all columns to notice a bad row, hence the filter on a struct of them
-    return rows.where(F.col("_corrupt_record").isNotNull() & F.struct(*[ident(f.name) for f in schema.fields]).isNotNull()).select(
-        F.col("_corrupt_record").alias("line")
-    )
+    rows = _parsed(spark, path, schema, sep, encoding)
+    return rows.where(F.col(CORRUPT).isNotNull() & _whole(schema)).select(F.col(CORRUPT).alias("line"))
 
 
 def read_parquet(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
