@@ -14,21 +14,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCKS = 256
+from .cuts import position, probabilities, thinned
+
+BLOCKS = 1024
 SMALL = 100_000
 
 
 def cut_points(df: DataFrame, axis: Column, blocks: int = BLOCKS, small: int = SMALL) -> list[int]:
-    """At most ``blocks`` - 1 cut values of a numeric axis; none for a small table."""
-    probs = [i / blocks for i in range(1, blocks)]
-    s = df.agg(F.count(axis).alias("n"), F.percentile_approx(axis, probs, 20 * blocks).alias("cuts")).first()
-    return sorted(set(s["cuts"])) if s["n"] > small and s["cuts"] else []
+    """Cut values of a numeric axis for about ``small`` rows per block, at most ``blocks`` blocks; none for a small table."""
+    s = df.agg(F.count(axis).alias("n"), F.percentile_approx(axis, probabilities(blocks), 20 * blocks).alias("cuts")).first()
+    return thinned(s["cuts"] or [], s["n"], small, blocks) if s["n"] > small else []
 
 
 def block_of(axis: Column, cuts: Sequence[int]) -> Column:
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < axis))
+    return position(axis, cuts)
 
 
 def micros(c: Column) -> Column:

@@ -16,7 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 256
+from .cuts import position, probabilities, thinned
+
+BUCKETS = 1024
 SMALL = 100_000
 
 
@@ -27,22 +29,20 @@ def running_totals(
 
     ``df`` holds one row per (by, order); ``by`` must be bounded by the schema
     (column names, model names), not by the data.  Keys with at most ``small``
-    rows keep a single bucket.
+    rows keep a single bucket; larger ones get about ``small`` rows per bucket.
     """
     by, sums = list(by), list(sums)
     df = df.select(*by, order, *sums, *[c for c in df.columns if c not in {*by, order, *sums}])
-    cuts = [i / buckets for i in range(1, buckets)]
-    size = F.count(order)
     sketch = df.groupBy(*by).agg(
-        F.when(size > small, F.percentile_approx(F.col(order), cuts, 20 * buckets)).alias("_cuts")
+        F.count(order).alias("_n"), F.percentile_approx(F.col(order), probabilities(buckets), 20 * buckets).alias("_cuts")
     ).collect()
-    split = [r for r in sketch if r["_cuts"]]
+    split = [(r, thinned(r["_cuts"] or [], r["_n"], small, buckets)) for r in sketch if r["_n"] > small]
     if not split:
         placed, offsets = df.withColumn("_bucket", F.lit(0)), None
     else:
         places = F.lit(0)
-        for r in split:
-            here = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(r["_cuts"]))]), lambda c: c < F.col(order)))
+        for r, cuts in split:
+            here = position(F.col(order), cuts)
             match = F.lit(True)
             for b in by:
                 match = match & (F.col(b) == F.lit(r[b]))

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, ident, present, ratio
+from ..functions.cuts import position
 from ..functions.lineage import cut_lineage
 from ..functions.ordering import running_totals
 from ..functions.quantiles import quantile_map
@@ -153,19 +154,11 @@ def error_cost(df: DataFrame, label: str, pred: str) -> DataFrame:
     return s.select("rows", "total_error", "mae", F.coalesce(100.0 * ratio(F.col("mae"), F.col("_mean")), F.lit(0.0)).alias("error_margin_pct"))
 
 
-def _passed(prob: Column, thresholds: Sequence[float]) -> Column:
-    """How many of the ascending thresholds the probability reaches."""
-    out = F.lit(0)
-    for t in thresholds:
-        out = out + (prob >= F.lit(float(t))).cast("int")
-    return out
-
-
 def _sweep_counts(df: DataFrame, label: str, prob: str, thresholds: Sequence[float], group: str | None) -> DataFrame:
     """``g, threshold, tp, fp, pos, neg`` per threshold from one histogram of the scores."""
     y = (ident(label) == 1).cast("long")
     g = ident(group).cast("string") if group else F.lit("all")
-    hist = df.where(present(df, prob) & present(df, label)).groupBy(g.alias("g"), _passed(finite(prob), thresholds).alias("k")).agg(
+    hist = df.where(present(df, prob) & present(df, label)).groupBy(g.alias("g"), position(finite(prob), [float(x) for x in thresholds], inclusive=True).alias("k")).agg(
         F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")
     )
     cuts = F.array(*[F.lit(float(t)) for t in thresholds])
