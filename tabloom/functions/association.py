@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
 from .ordering import running_totals
 from .skew import join_hot_keys
 
@@ -84,12 +85,13 @@ def spearman(long: DataFrame) -> DataFrame:
     running totals of each margin and are attached by a skew-safe join.
     """
     joint = long.where("x is not null and y is not null").groupBy("column", "x", "y").agg(F.count("*").alias("w"))
+    joint = cut_lineage(joint)  # read about eight times below: written once instead of re-aggregated
     out = joint
     for c in ("x", "y"):
         margin = joint.groupBy("column", c).agg(F.sum("w").alias("n"), F.count("*").alias("pairs"))
         run = running_totals(margin, c, ["n"], by=["column"])
         ranks = run.select("column", c, "pairs", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias(f"r{c}"))
-        out = join_hot_keys(out, ranks, ["column", c], "pairs").drop("pairs")
+        out = join_hot_keys(out, ranks, ["column", c], "pairs", sizes=margin).drop("pairs")
     return weighted_corr(out, "rx", "ry", "w", "spearman")
 
 

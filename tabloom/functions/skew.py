@@ -18,6 +18,7 @@ def join_hot_keys(
     keys: Sequence[str],
     weight: str,
     hot_parts: int = HOT_PARTS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join ``left`` with ``right`` (one row per key) without a hot shuffle partition.
 
@@ -25,10 +26,11 @@ def join_hot_keys(
     Up to ``hot_parts`` keys in all: one broadcast join.  Otherwise hot keys
     (fewer than ``hot_parts``, by counting) are joined by broadcast where they
     lie and the others through a shuffled join.  Without hot keys it is the
-    plain shuffled join.
+    plain shuffled join.  ``sizes`` may name a cheaper table with the same keys
+    and weights to look for hot keys in.
     """
     keys = list(keys)
-    size = right.agg(F.count("*").alias("keys"), F.sum(weight).alias("rows"), F.max(weight).alias("top")).first()
+    size = (right if sizes is None else sizes).agg(F.count("*").alias("keys"), F.sum(weight).alias("rows"), F.max(weight).alias("top")).first()
     if size["keys"] <= hot_parts:
         return left.join(F.broadcast(right), keys)
     cutoff = float(size["rows"]) / hot_parts
