@@ -88,7 +88,7 @@ def prescription(t):
 def ledger(t):
     """Line items with an exact balance: net + rebate = gross."""
     gross = F.col("l_extendedprice")
-    rebate = F.round(gross * F.col("l_discount"), 2)
+    rebate = F.floor(gross * F.col("l_discount") * 100) / 100.0
     off = F.when(F.col("l_orderkey") % 1000 == 7, 5.0).otherwise(0.0)
     return t.lineitem.select("l_orderkey", "l_linenumber", gross.alias("gross"), rebate.alias("rebate"), (gross - rebate).alias("net"),
                              (gross - rebate + off).alias("booked"), F.col("l_quantity").alias("quantity"))
@@ -96,7 +96,7 @@ def ledger(t):
 
 LG = """(SELECT l_orderkey, l_linenumber, l_extendedprice AS gross, r AS rebate, l_extendedprice - r AS net,
  l_extendedprice - r + CASE WHEN l_orderkey % 1000 = 7 THEN 5.0 ELSE 0.0 END AS booked, l_quantity AS quantity
- FROM (SELECT *, round(l_extendedprice * l_discount, 2) AS r FROM lineitem))"""
+ FROM (SELECT *, floor(l_extendedprice * l_discount * 100) / 100.0::DOUBLE AS r FROM lineitem))"""
 BALANCE = laws.Law("gross - rebate - booked = 0", {"gross": 1.0, "rebate": -1.0, "booked": -1.0}, 0.0, 1e-6)
 
 
@@ -123,10 +123,10 @@ def violating(t):
 
 @query("inv_04_project", f"""
 SELECT l_orderkey, l_linenumber, round(gross - (gross - rebate - booked) / 3, 4) + 0.0 AS gross, round(rebate + (gross - rebate - booked) / 3, 4) + 0.0 AS rebate,
- round(booked + (gross - rebate - booked) / 3, 4) + 0.0 AS booked FROM {LG} WHERE l_orderkey % 1000 = 7""")
+ round(booked + (gross - rebate - booked) / 3, 4) + 0.0 AS booked FROM {LG}""")
 def project(t):
     p = laws.project(ledger(t), [BALANCE], ["gross", "rebate", "booked"])
-    return rounded(p.where("l_orderkey % 1000 = 7").select("l_orderkey", "l_linenumber", "gross", "rebate", "booked"), 4)
+    return rounded(p.select("l_orderkey", "l_linenumber", "gross", "rebate", "booked"), 4)
 
 
 @query("inv_04_verify", f"""
