@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import simhash
+from tabloom.llm import simhash, token_files
 from tabloom.plans.registry import Tables
 
+#: Tokenizer of the token files and the id that ends a document there.
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -26,3 +29,10 @@ def _query(name: str, sql: str | None = None):
 @_query("op2_simhash")
 def op2(t: Tables) -> DataFrame:
     return simhash.near_duplicates(t.documents)
+
+
+@_query("op4_token_files")
+def op4(t: Tables) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.read_token_files(token_files.write_token_files(t.documents, public_tokenizers.path(TOKENIZER), END_ID))
