@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import simhash, token_files
+from tabloom.llm import quality, simhash, token_files
 from tabloom.plans.registry import Tables
 
 #: Tokenizer of the token files and the id that ends a document there.
@@ -36,3 +36,53 @@ def op4(t: Tables) -> DataFrame:
     import public_tokenizers
 
     return token_files.read_token_files(token_files.write_token_files(t.documents, public_tokenizers.path(TOKENIZER), END_ID))
+
+
+_SPACE = r"[^\x20\x09-\x0D]"
+_LEAST = " ".join(f"WHEN '{m}' THEN {x}" for m, x in quality.MEASURES.items())
+_FENCES = "".join(f""",
+f{depth} AS (
+  SELECT {by} measure, max(total) AS n, {least_low} AS floor, {least_high} AS top FROM (
+    SELECT *, CASE measure {_LEAST} END AS least FROM (
+      SELECT {by} measure, max(total) AS total, min(bin) FILTER (upto * 100 >= total * 10) AS low,
+             min(bin) FILTER (upto * 100 >= total * 50) AS mid, min(bin) FILTER (upto * 100 >= total * 90) AS high
+      FROM (SELECT {by} measure, bin, sum(n) OVER (PARTITION BY {by} measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by} measure) AS total
+            FROM (SELECT {by} measure, bin, sum(n) AS n FROM sketch GROUP BY {by} measure, bin))
+      GROUP BY {by} measure)) GROUP BY {by} measure)""" for depth, by, least_low, least_high in [
+    (d, b, f"max(low - {quality.SPREADS} * greatest(mid - low, least))", f"max(high + {quality.SPREADS} * greatest(high - mid, least))")
+    for d, b in enumerate(("lang, source,", "lang,", ""))])
+_PICK = "CASE WHEN f0.n >= {0} THEN f0.{1} WHEN f1.n >= {0} THEN f1.{1} ELSE f2.{1} END AS {1}"
+
+
+@_query("op9_adaptive_quality", f"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACE}+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_SPACE}')) AS ls FROM documents),
+win AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS times
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM win WHERE times > 1) GROUP BY rid),
+base AS (
+  SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         (length(t) - length(translate(t, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN cov USING (rid)),
+judged AS (
+  SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+         word_chars * 1000 // greatest(n_words, 1) AS word_length, n_symbols * 1000 // greatest(n_words, 1) AS symbols_per_word,
+         n_dup_lines * 1000 // greatest(n_words, 1) AS dup_lines_per_word, n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_share FROM base),
+long AS (
+  SELECT rid, lang, source, base_failed, unnest({list(quality.MEASURES)!r}) AS measure, unnest([{", ".join(quality.MEASURES)}]) AS v FROM judged),
+sketch AS (
+  SELECT lang, source, measure, v - v % (1::BIGINT << greatest(length(bin(v)) - 6, 0)) AS bin, count(*) AS n
+  FROM long WHERE NOT base_failed GROUP BY ALL){_FENCES},
+cut AS (
+  SELECT f0.lang, f0.source, f0.measure, {_PICK.format(quality.MIN_GROUP, "floor")}, {_PICK.format(quality.MIN_GROUP, "top")}
+  FROM f0 JOIN f1 ON f0.measure = f1.measure AND f0.lang IS NOT DISTINCT FROM f1.lang JOIN f2 ON f0.measure = f2.measure),
+verdict AS (
+  SELECT rid, bool_and(coalesce(v <= top AND (long.measure <> '{quality.TWO_SIDED}' OR v >= floor), TRUE)) AS inside
+  FROM long LEFT JOIN cut ON long.lang IS NOT DISTINCT FROM cut.lang AND long.source IS NOT DISTINCT FROM cut.source AND long.measure = cut.measure GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept
+FROM judged JOIN verdict USING (rid)""")
+def op9(t: Tables) -> DataFrame:
+    return quality.adaptive_filter(t.documents)
