@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabloom.llm import quality, simhash, token_files
+from tabloom.llm import mixing, quality, simhash, token_files
+from tabloom.llm.common import stored
 from tabloom.plans.registry import Tables
 
 #: Tokenizer of the token files and the id that ends a document there.
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
+#: Targets of the mixture: weights among siblings, share of all tokens to take, passes over a leaf at most, seed.
+DOMAIN_WEIGHTS = {"web": 5.0, "books": 3.0, "code": 2.0}
+LANG_WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}
+MIX_WEIGHTS = {(d,): x for d, x in DOMAIN_WEIGHTS.items()} | {(d, g): x for d in DOMAIN_WEIGHTS for g, x in LANG_WEIGHTS.items()}
+MIX_FRACTION, MIX_EPOCHS, MIX_SEED = 0.6, 2, 17
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -86,3 +94,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged JOIN verdict USING (rid)""")
 def op9(t: Tables) -> DataFrame:
     return quality.adaptive_filter(t.documents)
+
+
+def source_domain(source: Column) -> Column:
+    """The domain of a source; the tables have none, so it is drawn from a hash of the source's name."""
+    digit = F.substring(F.md5(F.coalesce(source, F.lit(""))), 1, 1)
+    return F.when(digit < "6", "web").when(digit < "b", "books").otherwise("code")
+
+
+def _mix_level(depth: int) -> str:
+    """SQL that gives the nodes of one tree level their budgets."""
+    path = ["domain", "lang", "source"][:depth]
+    cols, parent = ", ".join(path), ", ".join(path[:-1])
+    by = f"PARTITION BY {parent} " if parent else ""
+    case = " ".join("WHEN " + " AND ".join(f"{p} = '{v}'" for p, v in zip(path, k)) + f" THEN {x}::DOUBLE" for k, x in MIX_WEIGHTS.items() if len(k) == depth)
+    weight = f"CASE {case} ELSE 1.0::DOUBLE END" if case else "1.0::DOUBLE"
+    given = "(SELECT floor(%s::DOUBLE * sum(tokens))::BIGINT FROM leaves)" % MIX_FRACTION if depth == 1 else "u.budget"
+    up = "" if depth == 1 else f" JOIN level{depth - 1} u ON " + " AND ".join(f"k.{p} IS NOT DISTINCT FROM u.{p}" for p in path[:-1])
+    return f""",
+level{depth} AS (
+  SELECT {cols}, CASE WHEN filled THEN room ELSE least(room, greatest(floor((given - room_full) * weight / nullif(weight_open, 0)), 0)) END::BIGINT AS budget FROM (
+    SELECT *, coalesce(sum(room) FILTER (filled) OVER ({by}), 0)::BIGINT AS room_full, sum(weight) FILTER (NOT filled) OVER ({by}) AS weight_open FROM (
+      SELECT *, room * (weights - weight_before) <= weight * (given - room_before) AS filled FROM (
+        SELECT *, coalesce(sum(room) OVER ({by}ORDER BY room / weight, {path[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS room_before,
+               coalesce(sum(weight) OVER ({by}ORDER BY room / weight, {path[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_before,
+               sum(weight) OVER ({by}) AS weights
+        FROM (SELECT {", ".join("k." + p for p in path)}, k.room, k.weight, {given} AS given
+              FROM (SELECT {cols}, {weight} AS weight, (sum(tokens) * {MIX_EPOCHS})::BIGINT AS room FROM leaves GROUP BY {cols}) k{up})))))"""
+
+
+@_query("op10_mixture", f"""
+WITH docs AS (
+  SELECT doc_id, CASE WHEN substr(md5(coalesce(source, '')), 1, 1) < '6' THEN 'web' WHEN substr(md5(coalesce(source, '')), 1, 1) < 'b' THEN 'books' ELSE 'code' END AS domain,
+         lang, source, len(regexp_extract_all(coalesce(text, ''), '{_SPACE}+'))::BIGINT AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL){"".join(map(_mix_level, (1, 2, 3)))},
+plan AS (
+  SELECT l.*, CASE WHEN tokens > 0 THEN budget // nullif(tokens, 0) ELSE {MIX_EPOCHS} END AS whole, CASE WHEN tokens > 0 THEN budget % nullif(tokens, 0) ELSE 0 END AS rest
+  FROM leaves l JOIN level3 b ON l.domain IS NOT DISTINCT FROM b.domain AND l.lang IS NOT DISTINCT FROM b.lang AND l.source IS NOT DISTINCT FROM b.source),
+placed AS (
+  SELECT d.*, whole, rest, sum(n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source
+    ORDER BY md5(concat_ws('|', '{MIX_SEED}', whole::VARCHAR, coalesce(doc_id::VARCHAR, 'null'))), doc_id::VARCHAR, n_tokens ROWS UNBOUNDED PRECEDING) AS run
+  FROM docs d JOIN plan p ON d.domain IS NOT DISTINCT FROM p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, domain, lang, source, n_tokens, unnest(range(whole))::INT AS epoch FROM placed WHERE whole > 0
+UNION ALL SELECT doc_id, domain, lang, source, n_tokens, whole::INT AS epoch FROM placed WHERE rest > 0 AND run <= rest""")
+def op10(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", "lang", "source", mixing.word_count(F.col("text")).alias("n_tokens"))
+    mixed = mixing.mix(stored(docs, "token-counts"), F.col("n_tokens"), source_domain(F.col("source")), MIX_WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED)
+    return mixed.select("row.doc_id", "domain", "lang", "source", "row.n_tokens", "epoch")
