@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import mixing, quality, simhash, token_files
+from tabloom.llm import mixing, quality, simhash, token_files, url_filter
 from tabloom.llm.common import stored
 from tabloom.plans.registry import Tables
 
@@ -141,3 +141,54 @@ def op10(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "lang", "source", mixing.word_count(F.col("text")).alias("n_tokens"))
     mixed = mixing.mix(stored(docs, "token-counts"), F.col("n_tokens"), source_domain(F.col("source")), MIX_WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED)
     return mixed.select("row.doc_id", "domain", "lang", "source", "row.n_tokens", "epoch")
+
+
+#: Where the dated list entries come from: (list, parent domain or host, first hex digits of the host's hash that
+#: must lie below this, offset of the day digits, days after which the entry is removed, or none).
+_ENTRY_RULES = [("abuse", "parent", "8", 2, 60), ("abuse", "host", "3", 4, None), ("adult", "host", "6", 6, 30), ("adult", "parent", "2", 8, 120)]
+_FIRST_DAY = "2024-01-01"
+
+
+def list_entries(hosts: DataFrame) -> DataFrame:
+    """Dated entries drawn from the hosts of the table itself, by digits of their hash."""
+    h = F.md5(F.col("host"))
+    parent = F.when(F.size(F.split("host", r"\.")) > 3, F.regexp_replace("host", r"^[^.]*\.", "")).otherwise(F.col("host"))
+    events = []
+    for name, kind, below, at, days in _ENTRY_RULES:
+        start = F.date_add(F.lit(_FIRST_DAY).cast("date"), F.conv(F.substring(h, at, 2), 16, 10).cast("int"))
+        for day, action in [(start, "add")] + ([(F.date_add(start, days), "remove")] if days else []):
+            event = F.struct(F.lit(name).alias("list"), (parent if kind == "parent" else F.col("host")).alias("pattern"), day.alias("day"), F.lit(action).alias("action"))
+            events.append(F.when(F.substring(h, 1, 1) < below, event))
+    return hosts.select(F.explode(F.array_compact(F.array(*events))).alias("e")).select("e.*")
+
+
+def _entry_sql() -> str:
+    parent = "CASE WHEN len(string_split(host, '.')) > 3 THEN regexp_replace(host, '^[^.]*\\.', '') ELSE host END"
+    out = []
+    for name, kind, below, at, days in _ENTRY_RULES:
+        day = f"DATE '{_FIRST_DAY}' + ('0x' || substr(md5(host), {at}, 2))::INT"
+        for shift, action in [(0, "add")] + ([(days, "remove")] if days else []):
+            out.append(f"SELECT '{name}' AS list, {parent if kind == 'parent' else 'host'} AS pattern, ({day} + {shift})::DATE AS day, '{action}' AS action FROM hosts WHERE substr(md5(host), 1, 1) < '{below}'")
+    return " UNION ALL ".join(out)
+
+
+@_query("op7_url_filter", f"""
+WITH raw AS (SELECT page_id, regexp_replace(regexp_extract(lower(coalesce(url, '')), '{url_filter.HOST_PATTERN}', 1), '\\.$', '') AS h,
+                    DATE '{_FIRST_DAY}' + (page_id * 37 % 366)::INT AS day FROM pages),
+seen AS (SELECT page_id, CASE WHEN length(h) <= {url_filter.MAX_HOST} THEN h ELSE '' END AS host, day::DATE AS day FROM raw),
+hosts AS (SELECT DISTINCT host FROM seen WHERE host <> ''),
+entries AS ({_entry_sql()}),
+state AS (SELECT list, pattern, day, max(CASE WHEN action = 'remove' THEN 1 ELSE 0 END) = 0 AS active FROM entries GROUP BY ALL),
+turns AS (SELECT * FROM (SELECT *, lag(active, 1, FALSE) OVER (PARTITION BY list, pattern ORDER BY day) AS was FROM state) WHERE active <> was),
+valid AS (SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS valid_to FROM turns) WHERE active),
+hit AS (SELECT DISTINCT s.host, s.day, v.list, v.pattern FROM seen s JOIN valid v
+        ON (s.host = v.pattern OR ends_with(s.host, '.' || v.pattern)) AND v.day <= s.day AND (v.valid_to IS NULL OR s.day < v.valid_to) WHERE s.host <> ''),
+verdict AS (SELECT host, day, count(*) AS n_active, array_to_string(list_sort(list_distinct(array_agg(list))), ',') AS lists,
+                   (array_agg(pattern ORDER BY length(pattern) DESC, pattern))[1] AS pattern FROM hit GROUP BY host, day)
+SELECT page_id, host, s.day AS fetch_day, coalesce(n_active, 0)::BIGINT AS n_active, lists, pattern, n_active IS NOT NULL AS blocked
+FROM seen s LEFT JOIN verdict USING (host, day)""")
+def op7(t: Tables) -> DataFrame:
+    pages = t.pages.select("page_id", "url", F.date_add(F.lit(_FIRST_DAY).cast("date"), (F.col("page_id") * 37 % 366).cast("int")).alias("fetch_day"))
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    judged = url_filter.judge(pages, list_entries(hosts), F.col("url"), F.col("fetch_day"))
+    return judged.select("row.page_id", "host", F.col("day").alias("fetch_day"), "n_active", "lists", "pattern", "blocked")
