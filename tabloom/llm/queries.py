@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import mixing, quality, simhash, token_files, url_filter
+from tabloom.llm import mixing, quality, simhash, token_files, url_filter, warc
 from tabloom.llm.common import stored
 from tabloom.plans.registry import Tables
 
@@ -192,3 +192,8 @@ def op7(t: Tables) -> DataFrame:
     hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
     judged = url_filter.judge(pages, list_entries(hosts), F.col("url"), F.col("fetch_day"))
     return judged.select("row.page_id", "host", F.col("day").alias("fetch_day"), "n_active", "lists", "pattern", "blocked")
+
+
+@_query("op5_warc")
+def op5(t: Tables) -> DataFrame:
+    return warc.read_archives(warc.write_archives(t.pages))
