@@ -23,13 +23,17 @@ LENGTH = 2048
 BATCH = 256
 #: Bytes of text encoded at once and distinct words remembered by a worker.
 SLICE_BYTES = 4 << 20
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+#: A letter, then commas or points before white space.
+WORD_MARKS = r"([a-z\x{df}-\x{f6}\x{f8}-\x{ff}])([.,]+[ \n])"
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer file, calling it once per distinct run between ASCII white space.
 
-    Valid for tokenizers that treat every white-space run as a border and drop it, as ``word_bpe_49k`` does.
+    Valid for tokenizers that ignore case, drop white space and never join a letter with a mark or anything across
+    white space, as ``word_bpe_49k`` does. Case is folded for A-Z and marks after a word are set apart beforehand only
+    so that fewer runs are distinct. A worker keeps one encoder per file and at most ``REMEMBERED`` runs in it.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -39,33 +43,59 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.known: dict[str, list[int]] = {}
+        self._forget()
+
+    @classmethod
+    def of(cls, tokenizer_path: str) -> WordEncoder:
+        if tokenizer_path not in _ENCODERS:
+            _ENCODERS[tokenizer_path] = cls(tokenizer_path)
+        return _ENCODERS[tokenizer_path]
+
+    def _forget(self) -> None:
+        import numpy as np
+
+        self.slots: dict[str, int] = {}
+        self.table, self.size, self.first = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode the runs that are new and append their ids to the table."""
+        import numpy as np
+
+        if len(self.slots) + len(words) > REMEMBERED:
+            self._forget()
+        new = [w for w in words if w not in self.slots]
+        if not new:
+            return
+        runs = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
+        self.size = np.concatenate([self.size, np.fromiter(map(len, runs), np.int64, len(runs))])
+        self.table = np.concatenate([self.table, np.fromiter(chain.from_iterable(runs), np.uint32)])
+        self.first = np.cumsum(self.size) - self.size
 
     def encode(self, texts) -> tuple:
         """``(ids, lengths)``: all ids of an Arrow string array one after another, and how many each text has."""
         import numpy as np
         import pyarrow.compute as pc
 
-        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        texts = texts.fill_null("")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else the case of a special token's name matters
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), WORD_MARKS, r"\1 \2")
+        lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = e.ids
-        runs = [self.known[w] for w in words]
-        size = np.fromiter(map(len, runs), np.int64, len(runs))
-        table = np.fromiter(chain.from_iterable(runs), np.uint32, int(size.sum()))
-        first = np.cumsum(size) - size
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[index]
+        self._learn(words)
+        slot = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        index = slot[coded.indices.to_numpy(zero_copy_only=False)]
+        n = self.size[index]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = table[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])]
+        ids = self.table[np.repeat(self.first[index] - ends[:-1], n) + np.arange(ends[-1])]
         cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         return ids, ends[cuts[1:]] - ends[cuts[:-1]]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
 class ShardWriter:
     """Fills equal-length sequences and writes them as an Arrow stream."""
 
@@ -163,7 +193,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
         import numpy as np
         import pyarrow as pa
 
-        encoder, writer, path = WordEncoder(tokenizer_path), None, None
+        encoder, writer, path = WordEncoder.of(tokenizer_path), None, None
         context = TaskContext.get()
         shard = context.partitionId()
         dtype = "uint16" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "uint32"
