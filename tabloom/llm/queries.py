@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import mixing, quality, simhash, token_files, url_filter, warc
+from tabloom.llm import language, mixing, quality, simhash, token_files, url_filter, warc
 from tabloom.llm.common import stored
 from tabloom.plans.registry import Tables
 
@@ -197,3 +197,15 @@ def op7(t: Tables) -> DataFrame:
 @_query("op5_warc")
 def op5(t: Tables) -> DataFrame:
     return warc.read_archives(warc.write_archives(t.pages))
+
+
+def language_profiles(docs: DataFrame) -> language.Profiles:
+    """Profiles learned from the documents outside the held-out fold; a null id is outside it but isn't learned from."""
+    return language.learn(docs.where(F.col("doc_id").isNotNull() & ~language.held_out(F.col("doc_id"))))
+
+
+@_query("op8_language_id")
+def op8(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", "text", "lang")
+    found = language.predict(docs.select("doc_id", "text"), language_profiles(docs))
+    return found.select("row.doc_id", language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
