@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import language, mixing, quality, simhash, token_files, url_filter, warc
+from tabloom.llm import decontaminate, language, mixing, quality, simhash, token_files, url_filter, warc
 from tabloom.llm.common import stored
 from tabloom.plans.registry import Tables
 
@@ -209,3 +209,9 @@ def op8(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text", "lang")
     found = language.predict(docs.select("doc_id", "text"), language_profiles(docs))
     return found.select("row.doc_id", language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@_query("op6_decontamination")
+def op6(t: Tables) -> DataFrame:
+    found = decontaminate.find_leaks(t.documents, t.benchmark, carry=["doc_id"])
+    return found.select("row.doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.edits", "leak.end")
