@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, language, mixing, quality, simhash, token_files, url_filter, warc
+from tabloom.llm import decontaminate, language, mixing, page_text, quality, simhash, token_files, url_filter, warc
 from tabloom.llm.common import stored
 from tabloom.plans.registry import Tables
 
@@ -215,3 +215,8 @@ def op8(t: Tables) -> DataFrame:
 def op6(t: Tables) -> DataFrame:
     found = decontaminate.find_leaks(t.documents, t.benchmark, carry=["doc_id"])
     return found.select("row.doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.edits", "leak.end")
+
+
+@_query("op1_main_text")
+def op1(t: Tables) -> DataFrame:
+    return page_text.main_text(t.pages)
