@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, language, mixing, page_text, quality, simhash, token_files, url_filter, warc
+from tabloom.llm import decontaminate, language, licences, mixing, page_text, quality, simhash, token_files, url_filter, warc
 from tabloom.llm.common import stored
 from tabloom.plans.registry import Tables
 
@@ -220,3 +220,52 @@ def op6(t: Tables) -> DataFrame:
 @_query("op1_main_text")
 def op1(t: Tables) -> DataFrame:
     return page_text.main_text(t.pages)
+
+
+def _values(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_PATH_SQL = """coalesce(source, 'none') || '/' || CASE WHEN doc_id % 1000 = 0 THEN 'LICENSE' WHEN doc_id % 100 = 0 THEN coalesce(lang, 'none') || '/LICENSE'
+  ELSE coalesce(lang, 'none') || '/' || (doc_id // 16 % 64)::VARCHAR || CASE WHEN doc_id % 10 = 0 THEN '/LICENSE' ELSE '/' || doc_id::VARCHAR || '.txt' END END"""
+
+
+def document_path(doc_id: Column, lang: Column, source: Column) -> Column:
+    """A place in a file tree for a document; the tables have none. Each tenth one is a licence file at some level."""
+    lang, source = F.coalesce(lang, F.lit("none")), F.coalesce(source, F.lit("none"))
+    shard = (F.floor(doc_id / 16) % 64).cast("string")
+    return F.concat(source, F.lit("/"), F.when(doc_id % 1000 == 0, "LICENSE").when(doc_id % 100 == 0, F.concat(lang, F.lit("/LICENSE"))).otherwise(
+        F.concat(lang, F.lit("/"), shard, F.when(doc_id % 10 == 0, "/LICENSE").otherwise(F.concat(F.lit("/"), doc_id.cast("string"), F.lit(".txt"))))))
+
+
+@_query("op3_licences", f"""
+WITH templates AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_values(g)}, {_values(x)})" for i, (g, x) in enumerate(licences.TEMPLATES))}) AS v(t, licence, text)),
+tt AS (SELECT t, licence, term, count(*) AS tf FROM (SELECT t, licence, unnest(regexp_extract_all(lower(text), '{licences.TERM}')) AS term FROM templates) GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM templates)) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term),
+tw AS (SELECT t, licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS weight FROM tt JOIN idf USING (term)),
+files AS (SELECT doc_id, text, {_PATH_SQL} AS path FROM documents),
+marked AS (SELECT path, string_split(text, chr(10)) AS ls, text, regexp_matches(lower(regexp_extract(path, '[^/]*$')), '{licences.LICENCE_FILE}') AS whole FROM files WHERE text IS NOT NULL),
+lines AS (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS i FROM marked),
+passages AS (
+  SELECT path, ls[i] AS passage FROM lines WHERE regexp_matches(lower(ls[i]), '{licences.MARKER}')
+  UNION SELECT path, concat_ws(' ', CASE WHEN i > 1 THEN ls[i - 1] END, ls[i], CASE WHEN i < len(ls) THEN ls[i + 1] END) FROM lines WHERE regexp_matches(lower(ls[i]), '{licences.MARKER}')
+  UNION SELECT path, text FROM marked WHERE whole),
+pt AS (SELECT passage, term, count(*) AS tf FROM (SELECT passage, unnest(regexp_extract_all(lower(passage), '{licences.TERM}')) AS term FROM (SELECT DISTINCT passage FROM passages)) GROUP BY ALL),
+pw AS (SELECT passage, term, idf, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM templates)) + 1) AS x FROM pt LEFT JOIN idf USING (term)),
+norm AS (SELECT passage, sqrt(sum(x * x)) AS norm FROM pw GROUP BY passage),
+score AS (SELECT passage, licence, round(sum(x * weight) / max(norm), 6) AS score FROM pw JOIN tw USING (term) JOIN norm USING (passage) GROUP BY passage, t, licence),
+own AS (SELECT path, (array_agg(licence ORDER BY score DESC, licence))[1] AS own, max(score) AS score FROM passages JOIN score USING (passage) WHERE score >= {licences.MIN_COSINE} GROUP BY path),
+given AS (
+  SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, (array_agg(own ORDER BY score DESC, path))[1] AS given FROM own
+  WHERE regexp_matches(lower(regexp_extract(path, '[^/]*$')), '{licences.LICENCE_FILE}') GROUP BY 1),
+near AS (
+  SELECT f.path, (array_agg(g.given ORDER BY length(g.dir) DESC))[1] AS given, (array_agg(g.dir ORDER BY length(g.dir) DESC))[1] AS dir
+  FROM (SELECT DISTINCT path FROM files) f JOIN given g ON g.dir = '' OR starts_with(regexp_replace(f.path, '/?[^/]*$', '') || '/', g.dir || '/') GROUP BY f.path)
+SELECT doc_id, files.path, own, score, coalesce(own, given) AS licence, CASE WHEN own IS NULL THEN dir END AS inherited_from
+FROM files LEFT JOIN own ON files.path = own.path LEFT JOIN near ON files.path = near.path""")
+def op3(t: Tables) -> DataFrame:
+    spark = t.documents.sparkSession
+    templates = spark.createDataFrame([(i, *x) for i, x in enumerate(licences.TEMPLATES)], "t int, licence string, text string")
+    path = document_path(F.col("doc_id"), F.col("lang"), F.col("source"))
+    return licences.scan(t.documents.select("doc_id", "text", path.alias("path")), templates, F.col("path"), F.col("text")).select(
+        "row.doc_id", "path", "own", "score", "licence", "inherited_from")
