@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.common import stored
+
 DIMENSIONS = 1024
 SEED = 20_240_501
 UNKNOWN = "und"
@@ -119,7 +121,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     text. Tasks add their texts up, so a row per task and language is shuffled; the result is a vector per language.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    # a stored table has a known size: small ones are broadcast, larger ones joined by splittable shuffles
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("l"), F.least(F.lit(1.0), per_language / F.col("n")).alias("share"))
+    sizes = stored(sizes, "language-sizes")
     drawn = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     rows = rows.join(sizes, F.col("lang") == F.col("l")).where(drawn).select("lang", "text")
 

@@ -1,0 +1,26 @@
+"""Registered queries against their SQL on the smallest tables; each operator has one query."""
+
+import re
+
+import pytest
+
+import __spark_entry__ as entry
+from oracle import compare, duck
+from tabloom.llm.queries import QUERIES, SQL
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_matches_sql(spark, name):
+    assert compare(QUERIES[name](spark, SF), duck(SF), SQL[name]) is None
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_returns_rows(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_ten_operators_are_registered():
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())

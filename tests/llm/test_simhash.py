@@ -73,3 +73,48 @@ def test_links_are_all_close_pairs(spark, bits):
 
 def test_empty_table(spark):
     assert S.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def similar_sample():
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, group = [], {}
+    for g in range(12):
+        base = new(rng.choice([8, 150, 400, 2000]))
+        for c in range(rng.choice([1, 2, 5])):
+            copy = list(base)
+            if c and len(base) > 100:
+                for _ in range(max(1, len(base) // 150)):
+                    copy[rng.randrange(len(copy))] = "changed"
+            group[100 * g + c] = g
+            rows.append((100 * g + c, ("  " if c % 2 else " ").join(copy), "a"))
+    blank = [(5000, None, "a"), (5001, "", "b"), (5002, " \n", "c")]
+    same = [(6000, "twice the same row", "a")] * 2 + [(None, "no id at all", "a")] * 2 + [(6001, "one id", "a"), (6001, "two texts here", "a"), (None, "twice the same row", "x")]
+    return rows + blank + same, group
+
+
+def test_keep_one_of_similar_texts(spark):
+    rows, group = similar_sample()
+    df = spark.createDataFrame(rows, "doc_id long, text string, same string").withColumnRenamed("same", "group")
+    got = S.keep_one(df)
+    assert got.columns == df.columns
+    first = {}
+    for d, g in group.items():
+        first[g] = min(d, first.get(g, d))
+    text = {r[0]: r[1] for r in rows}
+    want = [(d, text[d]) for d in first.values()] + [(5000, None), (6000, "twice the same row"), (None, "no id at all"), (6001, "one id"), (6001, "two texts here")]
+    assert sorted((tuple(r)[:2] for r in got.collect()), key=str) == sorted(want, key=str)
+    assert S.keep_one(df.where("false")).count() == 0
+
+
+def test_sketch_estimates_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    turns = S._permutations()
+    pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    for shared in (0, 500, 1600, 2000):
+        a, b = pool[:2000], pool[2000 - shared:4000 - shared][:2000]
+        equal = sum(x == y for x, y in zip(S.sketch(a, turns), S.sketch(b, turns))) / S.SKETCH
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert abs(equal - true) < 0.1
