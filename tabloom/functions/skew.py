@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # A key is hot when it carries more than 1/HOT_PARTS of the total weight, so at
 # most HOT_PARTS keys can be hot: the broadcast side is bounded whatever the data.
 HOT_PARTS = 1000
+# Whatever the total, a key with more rows than a task should hold is hot as well; there are at most rows / HOT_ROWS.
+HOT_ROWS = 10_000_000
 
 
 def join_hot_keys(
@@ -33,7 +35,7 @@ def join_hot_keys(
     size = (right if sizes is None else sizes).agg(F.count("*").alias("keys"), F.sum(weight).alias("rows"), F.max(weight).alias("top")).first()
     if size["keys"] <= hot_parts:
         return left.join(F.broadcast(right), keys)
-    cutoff = float(size["rows"]) / hot_parts
+    cutoff = min(float(size["rows"]) / hot_parts, float(HOT_ROWS))
     if size["top"] <= cutoff:
         return left.join(right, keys)
     hot = right.where(F.col(weight) > cutoff)
@@ -43,6 +45,6 @@ def join_hot_keys(
     return on_hot.unionByName(rest.join(cold, keys))
 
 
-def spread(weight: str, per_slot: float, max_slots: int = 4096):
+def spread(weight: str, per_slot: float):
     """Number of slots a key of the given weight is split into (at least one)."""
-    return F.least(F.greatest(F.ceil(F.col(weight) / F.lit(float(per_slot))), F.lit(1)), F.lit(max_slots)).cast("int")
+    return F.greatest(F.ceil(F.col(weight) / F.lit(float(per_slot))), F.lit(1)).cast("int")

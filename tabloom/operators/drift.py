@@ -17,7 +17,7 @@ from ..functions.pvalues import kolmogorov_p
 from ..functions.quantiles import distinct_edges, left_closed_bin, quantile_map, right_closed_bin
 
 EMPTY_BIN = 1e-4
-MMD_ROWS = 500
+FREQUENCIES = 128
 TREE_ROWS, TREES = 256, 100
 
 
@@ -138,31 +138,33 @@ def sentinel(ref: DataFrame, cur: DataFrame, columns: Sequence[str] | None = Non
     return r.withColumn("status", F.when(F.col("kind") == "numeric", numeric).otherwise(text))
 
 
-def _hash_sample(df: DataFrame, cols: Sequence[str], rows: int, seed: int) -> np.ndarray:
-    """The ``rows`` complete rows with the smallest row hash: a fixed-size, partition-independent sample."""
-    full = df.select(*[finite(c).alias(c) for c in cols]).dropna()
-    picked = full.withColumn("_u", uniform(*[ident(c) for c in cols], seed=seed)).orderBy("_u").limit(rows).drop("_u").collect()
-    return np.array([tuple(r) for r in picked], dtype=float).reshape(-1, len(cols))
+def frequencies(columns: int, seed: int = 42) -> np.ndarray:
+    """Fixed random frequencies whose cosines and sines average to the kernel exp(-|x - y|^2 / columns)."""
+    draws = np.random.default_rng(seed).standard_normal((FREQUENCIES, columns))
+    return np.round(draws * np.sqrt(2.0 / max(1, columns)), 6)
 
 
 def mmd(ref: DataFrame, cur: DataFrame, columns: Sequence[str], seed: int = 42) -> float:
-    """RBF maximum mean discrepancy on columns standardised by the reference (500 sampled rows a side)."""
+    """RBF maximum mean discrepancy of all complete rows, on columns standardised by the reference.
+
+    The kernel is expanded in fixed random Fourier features, so each side is one aggregate of mean cosines and sines.
+    """
     cols = list(columns)
-    whole = ref.select(*[finite(c).alias(c) for c in cols]).dropna()
-    s = whole.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    mean = np.array([s[f"m{i}"] for i in range(len(cols))], dtype=float)
-    std = np.array([s[f"s{i}"] for i in range(len(cols))], dtype=float)
-    std[std < 1e-4] = 1.0
-    x = (_hash_sample(ref, cols, MMD_ROWS, seed) - mean) / std
-    y = (_hash_sample(cur, cols, MMD_ROWS, seed) - mean) / std
-    if not len(x) or not len(y):
+    whole, other = (df.select(*[finite(c).alias(f"x{i}") for i, c in enumerate(cols)]).dropna() for df in (ref, cur))
+    s = whole.agg(*[f(f"x{i}").alias(f"{k}{i}") for i in range(len(cols)) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    if not cols or s["m0"] is None:
         return 0.0
+    scale = [s[f"s{i}"] if s[f"s{i}"] >= 1e-4 else 1.0 for i in range(len(cols))]
+    z = [(F.col(f"x{i}") - s[f"m{i}"]) / scale[i] for i in range(len(cols))]
 
-    def kernel(a, b):
-        d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-        return np.exp(-np.maximum(d, 0.0) / max(1, len(cols))).mean()
+    def embedding(df: DataFrame) -> np.ndarray:
+        turns = [sum((F.lit(float(w)) * x for w, x in zip(ws, z)), F.lit(0.0)) for ws in frequencies(len(cols), seed)]
+        angles = df.select(F.posexplode(F.array(*turns)).alias("j", "angle"))
+        means = angles.groupBy("j").agg(F.avg(F.cos("angle")).alias("c"), F.avg(F.sin("angle")).alias("s")).orderBy("j").collect()
+        return np.array([[r["c"], r["s"]] for r in means])
 
-    return float(np.sqrt(max(kernel(x, x) - 2.0 * kernel(x, y) + kernel(y, y), 0.0)))
+    a, b = embedding(whole), embedding(other)
+    return float(np.sqrt(((a - b) ** 2).sum() / FREQUENCIES)) if len(a) and len(b) else 0.0
 
 
 def verdict(monitored: DataFrame, mmd_score: float) -> DataFrame:
@@ -253,9 +255,13 @@ def filled_with(df: DataFrame, cols: Sequence[str], medians: dict[str, float]) -
 
 
 def isolation_forest(ref: DataFrame, cols: Sequence[str], trees: int = TREES, seed: int = 42) -> DataFrame:
-    """``tree, node, lft, rgt, feature, cut, size`` of trees grown in parallel on disjoint 256-row hash samples."""
+    """``tree, node, lft, rgt, feature, cut, size`` of trees grown in parallel on disjoint 256-row samples.
+
+    Every row draws by its place in the scan, so equal rows are sampled one by one.
+    """
     cols = list(cols)
-    sample = ref.select(*cols, uniform(*[ident(c) for c in cols], seed=seed).alias("_u")).orderBy("_u").limit(trees * TREE_ROWS)
+    placed = ref.select(*cols, F.monotonically_increasing_id().alias("_row"))
+    sample = placed.select(*cols, uniform("_row", seed=seed).alias("_u")).orderBy("_u").limit(trees * TREE_ROWS)
     spread = sample.withColumn("tree", F.pmod(F.xxhash64("_u", F.lit(seed)), F.lit(trees)).cast("int"))
     limit = int(np.ceil(np.log2(TREE_ROWS)))
 

@@ -51,7 +51,7 @@ def summary(e: DataFrame, components_of: DataFrame) -> DataFrame:
     return s.select("nodes", m.alias("edges"), density.alias("density"), "components", (F.col("components") == 1).alias("connected"))
 
 
-def pagerank(e: DataFrame, damping: float = 0.85, tol: float = 1e-6, max_rounds: int = 100) -> DataFrame:
+def pagerank(e: DataFrame, damping: float = 0.85, tol: float = 1e-6) -> DataFrame:
     """``node, pagerank``: weighted power iteration until the summed change falls below nodes x tol."""
     out = both_ways(e)
     nodes = out.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("strength"), F.count("*").alias("deg")).withColumn(
@@ -67,7 +67,7 @@ def pagerank(e: DataFrame, damping: float = 0.85, tol: float = 1e-6, max_rounds:
     links = share.repartition("node", "slot").persist(StorageLevel.MEMORY_AND_DISK)
     rank = nodes.select("node", "slots", F.lit(1.0 / n).alias("rank"))
     base = (1.0 - damping) / n
-    for _ in range(max_rounds):
+    while True:
         sent = rank.select("node", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "rank")
         got = links.join(sent, ["node", "slot"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
         rank = cut_lineage(rank.join(got, "node", "left").select(
@@ -81,7 +81,7 @@ def pagerank(e: DataFrame, damping: float = 0.85, tol: float = 1e-6, max_rounds:
     return rank.select("node", F.col("rank").alias("pagerank"))
 
 
-def components(e: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(e: DataFrame) -> DataFrame:
     """``node, component``: smallest node name of each connected component.
 
     Alternating large-star and small-star rounds: the number of rounds grows
@@ -90,7 +90,7 @@ def components(e: DataFrame, max_rounds: int = 100) -> DataFrame:
     nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     links = cut_lineage(e.where("u <> v").select(F.col("v").alias("a"), F.col("u").alias("b")).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         links = _star(_star(links, large=True), large=False)
         links = cut_lineage(links)
         state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -127,24 +127,27 @@ def communities(components_of: DataFrame, top: int = 5, samples: int = 5) -> Dat
 # ---- betweenness ----
 
 
-def betweenness(e: DataFrame, exact_below: int = 500, pivots: int = 100, seed: int = 42, max_rounds: int = 1000) -> DataFrame:
+def betweenness(e: DataFrame, pivots: int | None = None, seed: int = 42) -> DataFrame:
     """``node, betweenness`` (normalised) with weights as distances.
 
-    Exact for small graphs, else from a seeded hash sample of source nodes.
+    Exact, or from a seeded hash sample of ``pivots`` source nodes. Weights must be above 0: edges without length
+    would make the shortest paths a cycle.
     All sources advance together: distances by relaxation rounds, then path
     counts forward and dependencies backward over the shortest-path edges.
     """
-    links = both_ways(e).where("src <> dst").persist(StorageLevel.MEMORY_AND_DISK)
+    if not e.where("u <> v and weight <= 0").isEmpty():
+        raise ValueError("betweenness needs weights above 0")
     nodes = cut_lineage(e.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     n = nodes.count()
     zero = nodes.select("node", F.lit(0.0).alias("betweenness"))
     if n <= 2:
         return zero
-    k = n if n < exact_below else min(pivots, n)
+    links = both_ways(e).where("src <> dst").persist(StorageLevel.MEMORY_AND_DISK)
+    k = n if pivots is None else min(pivots, n)
     sources = nodes.orderBy(uniform("node", seed=seed), "node").limit(k)
     dist = cut_lineage(sources.select(F.col("node").alias("s"), "node", F.lit(0.0).alias("d")))
     active = dist
-    for _ in range(max_rounds):
+    while True:
         step = active.join(links, active["node"] == links["src"]).select("s", F.col("dst").alias("node"), (F.col("d") + F.col("weight")).alias("d"))
         best = dist.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False))).groupBy("s", "node").agg(
             F.min("d").alias("d"), F.min(F.when(F.col("old"), F.col("d"))).alias("was")
@@ -158,24 +161,24 @@ def betweenness(e: DataFrame, exact_below: int = 500, pivots: int = 100, seed: i
         F.col("ds") + F.col("weight") == F.col("dd")
     ).select("s", "src", "dst")
     dag = cut_lineage(dag)
-    paths = _walk(dag, sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("x")), "src", "dst", max_rounds)
+    paths = _walk(dag, sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("x")), "src", "dst")
     ratio = dag.join(paths.select("s", F.col("node").alias("src"), F.col("x").alias("ps")), ["s", "src"]).join(
         paths.select("s", F.col("node").alias("dst"), F.col("x").alias("pd")), ["s", "dst"]
     ).select("s", "src", "dst", (F.col("ps") / F.col("pd")).alias("share"))
     ratio = cut_lineage(ratio)
     first = ratio.groupBy("s", F.col("src").alias("node")).agg(F.sum("share").alias("x"))
-    dep = _walk(ratio, first, "dst", "src", max_rounds, "share")
+    dep = _walk(ratio, first, "dst", "src", "share")
     scale = 1.0 / ((n - 1.0) * (n - 2.0)) * (n / k if k < n else 1.0)
     total = dep.where("s <> node").groupBy("node").agg((F.sum("x") * scale).alias("b"))
     links.unpersist()
     return nodes.join(total, "node", "left").select("node", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
 
 
-def _walk(dag: DataFrame, start: DataFrame, here: str, there: str, max_rounds: int, share: str | None = None) -> DataFrame:
+def _walk(dag: DataFrame, start: DataFrame, here: str, there: str, share: str | None = None) -> DataFrame:
     """Sum over all walks of a DAG: ``start`` pushed along the edges round after round until nothing is left."""
     wave = cut_lineage(start.select("s", "node", "x"))
     total = wave
-    for _ in range(max_rounds):
+    while True:
         factor = F.col("x") * F.col(share) if share else F.col("x")
         wave = cut_lineage(
             wave.join(dag, (wave["s"] == dag["s"]) & (wave["node"] == dag[here])).select(wave["s"], F.col(there).alias("node"), factor.alias("x"))
@@ -221,8 +224,8 @@ def dense_nodes(e: DataFrame, top: int = 10) -> DataFrame:
     return c.orderBy((F.col("clustering") * F.col("degree")).desc(), "node").limit(top).where("degree >= 2")
 
 
-def influencers(e: DataFrame, top: int = 15, seed: int = 42) -> DataFrame:
+def influencers(e: DataFrame, top: int = 15, pivots: int | None = None, seed: int = 42) -> DataFrame:
     """Top nodes by PageRank with degree, centrality and betweenness."""
     lead = pagerank(e).orderBy(F.col("pagerank").desc(), "node").limit(top)
     few = F.broadcast(lead)
-    return few.join(degrees(e), "node").join(betweenness(e, seed=seed), "node").orderBy(F.col("pagerank").desc(), "node")
+    return few.join(degrees(e), "node").join(betweenness(e, pivots, seed), "node").orderBy(F.col("pagerank").desc(), "node")

@@ -188,11 +188,11 @@ def insights(df: DataFrame, target: str, task: str = "classification", max_insig
     """Up to four findings in order: reversal, curve or step, prescription, linear (strongest first)."""
     y, label = target_column(df, target, task)
     numeric = numeric_columns(df, [target])
-    texts = string_columns(df, [target])[:4]
+    texts = string_columns(df, [target])
     out: list[tuple] = []
     seen: set[str] = set()
     if texts:
-        found = {r["column"]: r for r in reversals(df, numeric[:8], y, texts).orderBy("column", "grouping").collect()}
+        found = {r["column"]: r for r in reversals(df, numeric, y, texts).orderBy("column", "grouping").collect()}
         first = next((c for c in numeric if c in found), None)
         if first:
             r = found[first]

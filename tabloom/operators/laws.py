@@ -63,8 +63,8 @@ def _echelon(a: np.ndarray, tol: float = 1e-9) -> np.ndarray:
     return a
 
 
-def discover(df: DataFrame, columns: Sequence[str] | None = None, max_features: int = 12, r2: float = 0.9999) -> list[Law]:
-    """Exact linear relations among the highest-variance numeric columns.
+def discover(df: DataFrame, columns: Sequence[str] | None = None, max_features: int | None = None, r2: float = 0.9999) -> list[Law]:
+    """Exact linear relations among the numeric columns (the ``max_features`` of highest variance if given).
 
     Pass one: norms and variances.  Pass two: the Gram matrix of unit-norm
     columns plus a constant (JVM tree aggregation), whose null space holds the
@@ -212,8 +212,11 @@ def residuals(df: DataFrame, laws: Sequence[Law], keys: Sequence[str]) -> DataFr
     return df.select(*[ident(k) for k in keys], F.explode(items).alias("e")).select(*[ident(k) for k in keys], "e.*")
 
 
-def project_nonnegative(df: DataFrame, laws: Sequence[Law], columns: Sequence[str], nonnegative: Sequence[str], rounds: int = 50) -> DataFrame:
-    """Alternating projections between the laws and x >= 0 for the named columns, whole batches at a time."""
+def project_nonnegative(df: DataFrame, laws: Sequence[Law], columns: Sequence[str], nonnegative: Sequence[str]) -> DataFrame:
+    """Alternating projections between the laws and x >= 0 for the named columns, whole batches at a time.
+
+    A row is done when it meets both, or when a round no longer moves it because both cannot be met.
+    """
     cols = list(columns)
     a, b, p = _system(laws, cols)
     mask = np.array([c in set(nonnegative) for c in cols])
@@ -224,14 +227,13 @@ def project_nonnegative(df: DataFrame, laws: Sequence[Law], columns: Sequence[st
             todo = (np.abs(x @ a.T - b) > TOLERANCE).any(1) | (x[:, mask] < 0).any(1)
             y = x[todo]
             live = np.ones(len(y), dtype=bool)
-            for _ in range(rounds):
-                if not live.any():
-                    break
+            while live.any():
                 z = y[live]
                 z[:, mask] = np.maximum(z[:, mask], 0.0)
                 z = z - (z @ a.T - b) @ p.T
+                still = np.abs(z - y[live]).max(1, initial=0.0) <= 1e-12 * np.maximum(1.0, np.abs(z).max(1, initial=0.0))
                 y[live] = z
-                ok = (z[:, mask] >= -1e-6).all(1) & (np.abs(z @ a.T - b).max(1, initial=0.0) < 1e-5)
+                ok = still | (z[:, mask] >= -1e-6).all(1) & (np.abs(z @ a.T - b).max(1, initial=0.0) < 1e-5)
                 live[np.flatnonzero(live)[ok]] = False
             y[:, mask] = np.maximum(y[:, mask], 0.0)
             x[todo] = y

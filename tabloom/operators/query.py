@@ -22,7 +22,6 @@ AGGREGATES = {
     "max": F.max,
     "count": F.count,
 }
-MAX_ROWS = 50
 
 
 class ProtectedColumn(ValueError):
@@ -322,7 +321,7 @@ def value_counts(df: DataFrame, column: str, top_n: int = 10, protected: Iterabl
     _guard(column, protected)
     return (
         df.where(present(df, column)).groupBy(ident(column).alias("value")).agg(F.count("*").alias("n"))
-        .orderBy(F.col("n").desc(), "value").limit(max(1, min(int(top_n), MAX_ROWS)))
+        .orderBy(F.col("n").desc(), "value").limit(max(1, int(top_n)))
     )
 
 
@@ -343,7 +342,7 @@ def groupby_agg(
         kept = df.where(present(df, group)).select(ident(group).alias("segment"), ident(metric).alias("_m"))
         measure = F.col("_m") if agg == "count" else finite("_m")
         out = kept.groupBy("segment").agg(AGGREGATES[agg](measure).cast("double").alias("value"))
-    return out.orderBy(F.col("value").desc_nulls_last(), "segment").limit(max(1, min(int(top_n), MAX_ROWS)))
+    return out.orderBy(F.col("value").desc_nulls_last(), "segment").limit(max(1, int(top_n)))
 
 
 def correlation_of(df: DataFrame, x: str, y: str, protected: Iterable[str] = ()) -> DataFrame:

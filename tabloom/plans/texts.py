@@ -28,12 +28,12 @@ MATCH_COLUMNS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retail
 def _match_sql() -> str:
     parts = []
     for i, c in enumerate(MATCH_COLUMNS):
-        n = match.normal_name(c)
-        syn = sorted({match.normal_name(w) for k in match._clusters(c) for w in [*match.SYNONYMS[k], k]})
+        n = match.snake(c)
+        syn = sorted({match.snake(w) for k in match._clusters(c) for w in [*match.SYNONYMS[k], k]})
         toks = [n, *n.split("_")]
         fuzzy = "greatest(" + ", ".join(f"1 - levenshtein(n, '{x}') / greatest(length(n), {len(x)}, 1)::DOUBLE" for x in toks) + ")"
         first = " ".join(
-            f"WHEN n IN ({', '.join(repr(match.normal_name(w)) for w in [*words, k])}) THEN '{k}'" for k, words in match.SYNONYMS.items()
+            f"WHEN n IN ({', '.join(repr(match.snake(w)) for w in [*words, k])}) THEN '{k}'" for k, words in match.SYNONYMS.items()
         )
         mine = ", ".join(f"'{k}'" for k in match._clusters(c)) or "''"
         vals = (f"EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(trim({c}::VARCHAR)) AS v FROM part) WHERE contains(v, term)) "

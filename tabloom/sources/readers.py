@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ident, present
+from ..functions.names import number_repeats
 
 # Candidate delimiters, in order of preference.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -27,23 +28,21 @@ class SourceError(ValueError):
     """The input cannot be read as a table fit for analysis."""
 
 
-def pick_delimiter(lines: Sequence[str]) -> str:
-    """The delimiter whose per-line count is steadiest (then highest) over the sample lines."""
-    best, best_score = ",", -1.0
-    for d in DELIMITERS:
-        counts = [line.count(d) for line in lines]
-        if not counts or min(counts) == 0:
-            continue
-        steady = len(set(counts)) == 1
-        score = counts[0] * 10.0 if steady else sum(counts) / len(counts)
-        if score > best_score:
-            best, best_score = d, score
-    return best
+def pick_delimiter(lines: DataFrame) -> str:
+    """The delimiter of a table of lines (``value``): on every line, and steadiest, then most frequent.
+
+    One aggregate counts each candidate per line; a candidate with the same count everywhere weighs ten times its
+    count, another its mean.
+    """
+    times = {d: F.length("value") - F.length(F.replace("value", F.lit(d), F.lit(""))) for d in DELIMITERS}
+    s = lines.agg(*[f(n).alias(f"{kind}{i}") for i, n in enumerate(times.values()) for kind, f in (("least", F.min), ("most", F.max), ("mean", F.avg))]).first()
+    weight = [(s[f"least{i}"] * 10.0 if s[f"least{i}"] == s[f"most{i}"] else s[f"mean{i}"]) if s[f"least{i}"] else 0.0 for i in range(len(DELIMITERS))]
+    return DELIMITERS[weight.index(max(weight))]
 
 
 def sniff(spark: SparkSession, path: str) -> str:
-    head = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(SNIFF_LINES).collect()
-    return pick_delimiter([r["value"] for r in head])
+    """The delimiter of a text, from its first ``SNIFF_LINES`` lines that are not blank."""
+    return pick_delimiter(spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(SNIFF_LINES))
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -54,16 +53,7 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 def clean_headers(names: Sequence[str | None]) -> list[str]:
     """Collapse whitespace, name blanks ``column_<i>`` and number repeated names."""
-    out, seen = [], {}
-    for i, raw in enumerate(names):
-        name = re.sub(r"\s+", " ", raw or "").strip() or f"column_{i + 1}"
-        if name in seen:
-            seen[name] += 1
-            name = f"{name}_{seen[name]}"
-        else:
-            seen[name] = 0
-        out.append(name)
-    return out
+    return number_repeats([" ".join((n or "").split()) or f"column_{i}" for i, n in enumerate(names, 1)])
 
 
 def clean_control_names(names: Sequence[str]) -> list[str]:
@@ -91,29 +81,41 @@ def read_csv(
     spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
     schema: T.StructType | None = None, check: bool = True,
 ) -> DataFrame:
-    """Delimited text with sniffed delimiter and encoding; rows that do not fit are dropped."""
+    """Delimited text with sniffed delimiter and encoding.
+
+    Short rows are filled with NULL; rows with too many fields, or with a field of another type, are dropped.
+    """
     encoding = encoding or detect_encoding(spark, path)
     sep = sep or sniff(spark, path)
     names = clean_headers(_header(spark, path, sep, encoding))
     if schema is None:
         inferred = spark.read.csv(path, sep=sep, header=True, encoding=encoding, inferSchema=True).schema
         schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, inferred.fields)])
-    rows = _parsed(spark, path, schema, sep, encoding)
-    df = rows.where(F.col(CORRUPT).isNull() & _whole(schema)).select(*[ident(f.name) for f in schema.fields])
+    lines = _fields(spark, path, schema, sep, encoding)
+    df = lines.where(_fits(schema)).select(*[_typed(f).alias(f.name) for f in schema.fields])
     return check_shape(df) if check else df
 
 
-CORRUPT = "_corrupt_record"
+CORRUPT, BEYOND = "_corrupt_record", "_beyond"
 
 
-def _parsed(spark: SparkSession, path: str, schema: T.StructType, sep: str, encoding: str) -> DataFrame:
-    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+def _fields(spark: SparkSession, path: str, schema: T.StructType, sep: str, encoding: str) -> DataFrame:
+    """The fields of each line as text: missing ones are NULL, the first one too many is in BEYOND."""
+    names = [f.name for f in schema.fields] + [BEYOND, CORRUPT]
+    wide = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return spark.read.csv(path, schema=wide, sep=sep, header=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
 
 
-def _whole(schema: T.StructType):
-    """Always true, but makes the parser read every column: a bad cell shows only where it is parsed."""
-    return F.length(F.concat_ws("", *[ident(f.name).cast("string") for f in schema.fields])) >= 0
+def _typed(field: T.StructField):
+    return ident(field.name).try_cast(field.dataType)
+
+
+def _fits(schema: T.StructType):
+    """No field too many, and every field that is there reads as its type."""
+    ok = F.col(BEYOND).isNull()
+    for f in schema.fields:
+        ok = ok & (ident(f.name).isNull() | _typed(f).isNotNull())
+    return ok
 
 
 def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -121,9 +123,10 @@ def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def malformed_rows(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """The raw lines that do not fit ``schema`` (what ``read_csv`` leaves out)."""
-    rows = _parsed(spark, path, schema, sep, encoding)
-    return rows.where(F.col(CORRUPT).isNotNull() & _whole(schema)).select(F.col(CORRUPT).alias("line"))
+    """The lines that do not fit ``schema`` (what ``read_csv`` leaves out); short lines do fit."""
+    lines = _fields(spark, path, schema, sep, encoding)
+    raw = F.coalesce(CORRUPT, F.concat_ws(sep, *[F.coalesce(ident(n), F.lit("")) for n in [*(f.name for f in schema.fields), BEYOND]]))
+    return lines.where(~_fits(schema)).select(raw.alias("line"))
 
 
 def read_parquet(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
@@ -146,10 +149,14 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, lines: bool | None = None, check: bool = True) -> DataFrame:
-    """JSON lines, an array of records, or one object, optionally wrapped as ``data`` or ``records``."""
+    """JSON lines, an array of records, or one object, optionally wrapped as ``data`` or ``records``.
+
+    Unless told, one scan decides: several lines that all look like objects are JSON lines.
+    """
     if lines is None:
-        head = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(2).collect()
-        lines = len(head) > 1 and all(r["value"].strip().startswith("{") and r["value"].strip().endswith("}") for r in head)
+        text = F.trim("value")
+        s = spark.read.text(path).where(F.length(text) > 0).agg(F.count("*").alias("n"), F.bool_and(text.startswith("{") & text.endswith("}")).alias("each")).first()
+        lines = s["n"] > 1 and s["each"]
     df = spark.read.json(path, multiLine=not lines)
     for wrapper in ("data", "records"):
         kind = df.schema[wrapper].dataType if wrapper in df.columns else None
