@@ -105,13 +105,13 @@ def mlp(t):
 @query("ml_10_random_search")
 def random_search(t):
     train, _, _ = split(t)
-    return models.search("logreg", train, KEYS, draws=4)[1]
+    return models.search("logreg", train, KEYS, draws=20)[1]
 
 
 @query("ml_11_cross_validation")
 def cross_validation(t):
     train, _, _ = split(t)
-    return models.cross_validate("logreg", train, KEYS, folds=3)
+    return models.cross_validate("logreg", train, KEYS, folds=5)
 
 
 @query("ml_12_calibration")
@@ -151,7 +151,7 @@ def attribution(t):
 @query("ml_16_permutation_importance")
 def permutation(t):
     train, _, prep = split(t)
-    return models.permutation_importance(models.fit_model("dt", train), base(t), ["l_quantity", "l_tax"], KEYS, prep)
+    return models.permutation_importance(models.fit_model("dt", train), base(t), ALL, KEYS, prep)
 
 
 @query("ml_17_surrogate_rules")
@@ -250,5 +250,5 @@ def stress(t):
 def risk_drivers(t):
     a = accounts(t)
     rate = _adverse(a).agg(F.avg((F.col("p") >= 0.5).cast("double"))).first()[0]
-    reps = scenario.stress_replicates(a, SIM, ["c_custkey"], _adverse, replicates=20)
+    reps = scenario.stress_replicates(a, SIM, ["c_custkey"], _adverse)
     return scenario.risk_drivers(reps, scenario.stress_report(reps, rate), SIM)

@@ -43,7 +43,7 @@ SELECT 'x' AS treatment, 'y' AS outcome, 100.0::DOUBLE AS value, round(avg(y), 4
 def intervention(t):
     df = chain(t)
     g = causal.Graph(["z", "x", "y"], {("z", "x"), ("z", "y"), ("x", "y")})
-    e = causal.intervention(df, "x", "y", 100.0, g, keys=["l_orderkey", "l_linenumber"], replicates=10)
+    e = causal.intervention(df, "x", "y", 100.0, g, keys=["l_orderkey", "l_linenumber"])
     return rounded(e.select("treatment", "outcome", "value", "baseline", "expected", "ate"), 4)
 
 
@@ -79,8 +79,8 @@ def resolved(t):
 
 @query("ins_08_prescription")
 def prescription(t):
-    df = chain(t).select("x", "w", "y")
-    p = causal.prescribe(df, "y", ["x", "w"])
+    df = chain(t)
+    p = causal.prescribe(df, "y", ["x", "w"], keys=["l_orderkey", "l_linenumber"])
     return df.sparkSession.createDataFrame([(p["column"], p["baseline"], p["value"], p["ate"], p["effect_per_unit"])] if p else [],
                                            "column_name string, baseline double, value double, ate double, effect_per_unit double")
 

@@ -29,7 +29,6 @@ def _match_sql() -> str:
     parts = []
     for i, c in enumerate(MATCH_COLUMNS):
         n = match.snake(c)
-        syn = sorted({match.snake(w) for k in match._clusters(c) for w in [*match.SYNONYMS[k], k]})
         toks = [n, *n.split("_")]
         fuzzy = "greatest(" + ", ".join(f"1 - levenshtein(n, '{x}') / greatest(length(n), {len(x)}, 1)::DOUBLE" for x in toks) + ")"
         first = " ".join(
@@ -40,7 +39,7 @@ def _match_sql() -> str:
                 f"AND (SELECT count(DISTINCT {c}) FROM part) <= 50")
         parts.append(f"""SELECT term, '{c}' AS column_name, {i} AS pos, CASE WHEN term = '{c}' THEN 1.0 WHEN n = '{n}' THEN 0.98
  WHEN contains('{n}', n) OR contains(n, '{n}') THEN 0.90 WHEN (CASE {first} END) IN ({mine}) THEN 0.88 WHEN {vals} THEN 0.85
- WHEN {fuzzy} >= 0.6 THEN {fuzzy} ELSE 0 END::DOUBLE AS score FROM w""" if syn is not None else "")
+ WHEN {fuzzy} >= 0.6 THEN {fuzzy} ELSE 0 END::DOUBLE AS score FROM w""")
     return f"""WITH w AS (SELECT DISTINCT term, term AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS term FROM conversations)),
 s AS ({' UNION ALL '.join(parts)}), r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, pos) AS rn FROM s WHERE score > 0)
 SELECT term, column_name, round(score, 8) + 0.0 AS score FROM r WHERE rn = 1"""
@@ -181,16 +180,16 @@ def talk(t):
 
 @query("txt_06_svd_embedding")
 def svd(t):
-    model = text.tfidf(talk(t), "k", "text", 1000)
+    model = text.tfidf(talk(t), "k", "text", 5000)
     return text.embed(model, text.fit_svd(model, 8), "text_svd")
 
 
 @query("txt_07_top_terms")
 def top_terms(t):
-    model = text.tfidf(talk(t), "k", "text", 1000)
+    model = text.tfidf(talk(t), "k", "text", 5000)
     return text.top_terms(model, text.fit_svd(model, 4))
 
 
 @query("txt_08_fuse")
 def fuse(t):
-    return text.fuse(talk(t), "k", ["text"], 4, 500, drop_text=True)
+    return text.fuse(talk(t), "k", ["text"], 4, 5000, drop_text=True)

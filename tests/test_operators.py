@@ -435,3 +435,52 @@ def test_stress_of_a_constant_model(spark):
     rep = scenario.stress_report(reps, 0.4)
     d = scenario.risk_drivers(reps, rep, ["f1", "f2"]).collect()
     assert all(r["sensitivity"] == pytest.approx(0.6) for r in d) and rep.count() == 4
+
+
+# ---- one behaviour at any size ----
+
+
+@pytest.mark.parametrize("distinct", [900, 1500])
+def test_causal_encoding_is_the_same_at_any_number_of_categories(spark, distinct):
+    df = spark.range(distinct).select(F.format_string("c%05d", "id").alias("c")).unionAll(spark.createDataFrame([(None,), ("  n/a ",)], "c string"))
+    codes = [r["c"] for r in causal.encode(df).orderBy("c").collect()]
+    assert codes == [-1.0, -1.0] + [float(i) for i in range(distinct)]
+
+
+def test_mmd_of_repeated_rows(spark):
+    rows = spark.range(6000).select((F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    assert drift.mmd(rows, rows.where("a <> 3"), ["a", "b"]) < 0.2
+    assert drift.mmd(rows, rows.withColumn("a", F.col("a") + 30), ["a", "b"]) > 0.45
+    forest = drift.isolation_forest(rows, ["a", "b"], trees=5).toPandas()
+    assert forest.groupby("tree")["size"].max().min() > 100 and forest.groupby("tree").size().min() > 10
+
+
+def test_short_csv_rows_are_kept_and_long_ones_skipped(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("a,b,c\n1,2,3\n4,5\n6\n7,8,9,10\n7,8,9,10,11\n")
+    df = readers.read_csv(spark, str(tmp_path / "s.csv"))
+    assert sorted(map(tuple, df.collect()), key=str) == [(1, 2, 3), (4, 5, None), (6, None, None)]
+    lines = [r["line"] for r in readers.malformed_rows(spark, str(tmp_path / "s.csv"), df.schema).collect()]
+    assert sorted(lines) == ["7,8,9,10", "7,8,9,10,11"]
+
+
+def test_value_counts_honours_the_limit(spark):
+    assert query.value_counts(spark.range(80).select(F.col("id").cast("string").alias("v")), "v", 70).count() == 70
+
+
+def test_laws_over_many_columns(spark):
+    cols = [F.rand(i).alias(f"x{i}") for i in range(16)]
+    df = spark.range(400).select(*cols).withColumn("y", F.col("x0") * 0.001 + F.col("x15") * 0.002)
+    assert [sorted(law.coefficients) for law in laws.discover(df)] == [["x0", "x15", "y"]]
+
+
+def test_name_rules():
+    from tabloom.functions.names import number_repeats, snake
+
+    assert [snake(n) for n in ["CustomerID", "sale price ($)", "  isHTTPServer", "_a__b_"]] == ["customer_id", "sale_price", "is_http_server", "a_b"]
+    assert number_repeats(["a", "A", "b", "a"], str.lower) == ["a", "A_1", "b", "a_2"]
+
+
+def test_zero_weights_are_rejected(spark):
+    e = graph.edges(spark.createDataFrame([("a", "b", 0.0), ("b", "c", 1.0)], "u string, v string, w double"), "u", "v", "w")
+    with pytest.raises(ValueError):
+        graph.betweenness(e)
