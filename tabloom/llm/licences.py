@@ -69,25 +69,28 @@ def passages(text: Column, is_licence_file: Column) -> Column:
 
 
 def passage_scores(found: DataFrame, templates: DataFrame) -> DataFrame:
-    """``(passage, licence, score)``: the best template of each distinct passage that reaches MIN_COSINE.
+    """``(pid, licence, score)``: the best template of each passage of ``found(pid, passage)`` that reaches MIN_COSINE.
 
-    Terms that no template has count in a passage's length with the weight of a term of no template. Ties go to the
-    first licence in order. Scores are rounded to 6 digits.
+    ``pid`` is a hash of the passage; equal passages are counted together map-side and never sent whole. Terms that no
+    template has count in a passage's length with the weight of a term of no template. Ties go to the first licence in
+    order. Scores are rounded to 6 digits.
     """
     weights = stored(template_weights(templates), "licence-weights")
     oov = F.log(1 + F.lit(templates.count())) + 1
-    tf = found.select("passage").distinct().select("passage", F.explode(_terms(F.col("passage"))).alias("p_term")).groupBy("passage", "p_term").agg(F.count("*").alias("tf"))
+    times = found.groupBy(F.col("pid").alias("t_pid")).agg(F.count("*").alias("times"))
+    tf = found.select("pid", F.explode(_terms(F.col("passage"))).alias("p_term")).groupBy("pid", "p_term").agg(F.count("*").alias("all"))
     idf = weights.select(F.col("term").alias("i_term"), "idf").distinct()
-    weighted = tf.join(idf, F.col("p_term") == F.col("i_term"), "left").withColumn("x", F.col("tf") * F.coalesce("idf", oov))
-    norm = weighted.groupBy(F.col("passage").alias("n_passage")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighted.where("idf is not null").join(weights, F.col("p_term") == F.col("term")).groupBy("passage", "t", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scored = dots.join(norm, F.col("passage") == F.col("n_passage")).select("passage", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    best = scored.where(F.col("score") >= MIN_COSINE).groupBy("passage").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    return best.select("passage", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    weighted = tf.join(idf, F.col("p_term") == F.col("i_term"), "left").withColumn("x", F.col("all") * F.coalesce("idf", oov))
+    norm = weighted.groupBy(F.col("pid").alias("n_pid")).agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+    norm = norm.join(times, F.col("n_pid") == F.col("t_pid")).select("n_pid", "times", F.sqrt(F.col("square") / F.col("times") / F.col("times")).alias("norm"))
+    dots = weighted.where("idf is not null").join(weights, F.col("p_term") == F.col("term")).groupBy("pid", "t", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    scored = dots.join(norm, F.col("pid") == F.col("n_pid")).select("pid", "licence", F.round(F.col("dot") / F.col("times") / F.col("norm"), 6).alias("score"))
+    best = scored.where(F.col("score") >= MIN_COSINE).groupBy("pid").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    return best.select("pid", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
-def scan(files: DataFrame, templates: DataFrame, path: Column, text: Column) -> DataFrame:
-    """``(row, path, own, score, licence, inherited_from)`` per row, ``row`` being all its columns.
+def scan(files: DataFrame, templates: DataFrame, path: Column, text: Column, carry: list[str] | None = None) -> DataFrame:
+    """``(row, path, own, score, licence, inherited_from)`` per row, ``row`` being its columns (only ``carry`` if given).
 
     ``own`` is the licence that the file's best passage names, with its cosine (ties: first licence in order).
     ``licence`` is that or else the one of the nearest ancestor directory with a licence file, ``inherited_from`` (the
@@ -95,13 +98,13 @@ def scan(files: DataFrame, templates: DataFrame, path: Column, text: Column) ->
     the same path are versions of one file and share its licence. A null path inherits nothing and a null text names
     nothing; repeated rows stay repeated.
     """
-    rows = files.select(F.struct("*").alias("row"), path.alias("path"), text.alias("text"))
+    rows = files.select(F.struct(*[files[c] for c in (files.columns if carry is None else carry)]).alias("row"), path.alias("path"), text.alias("text"))
     name = F.lower(F.regexp_extract("path", "[^/]*$", 0))
     is_file = F.coalesce(name.rlike(LICENCE_FILE), F.lit(False))
     found = stored(rows.where(F.lower("text").rlike(MARKER) | is_file).where("text is not null")
-                   .select("path", F.explode(passages(F.col("text"), is_file)).alias("passage")), "licence-passages")
+                   .select("path", F.explode(passages(F.col("text"), is_file)).alias("passage")).withColumn("pid", F.unhex(F.md5("passage"))), "licence-passages")
     scores = stored(passage_scores(found, templates), "licence-scores")
-    own = found.join(scores, "passage").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    own = found.select("path", "pid").join(scores, "pid").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
     own = stored(own.select(F.col("path").alias("o_path"), F.col("b.licence").alias("own"), (-F.col("b.s")).alias("score")), "licence-own")
 
     folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")

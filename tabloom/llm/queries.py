@@ -267,5 +267,5 @@ def op3(t: Tables) -> DataFrame:
     spark = t.documents.sparkSession
     templates = spark.createDataFrame([(i, *x) for i, x in enumerate(licences.TEMPLATES)], "t int, licence string, text string")
     path = document_path(F.col("doc_id"), F.col("lang"), F.col("source"))
-    return licences.scan(t.documents.select("doc_id", "text", path.alias("path")), templates, F.col("path"), F.col("text")).select(
+    return licences.scan(t.documents.select("doc_id", "text", path.alias("path")), templates, F.col("path"), F.col("text"), ["doc_id"]).select(
         "row.doc_id", "path", "own", "score", "licence", "inherited_from")
