@@ -66,9 +66,10 @@ _PICK = "CASE WHEN f0.n >= {0} THEN f0.{1} WHEN f1.n >= {0} THEN f1.{1} ELSE f2.
 WITH w AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACE}+') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_SPACE}')) AS ls FROM documents),
-win AS (
-  SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS times
-  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+tri AS (
+  SELECT rid, i, x, lead(x) OVER (PARTITION BY rid ORDER BY i) AS y, lead(x, 2) OVER (PARTITION BY rid ORDER BY i) AS z
+  FROM (SELECT rid, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, x, y, z) AS times FROM tri WHERE z IS NOT NULL),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM win WHERE times > 1) GROUP BY rid),
 base AS (
   SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
@@ -244,11 +245,13 @@ tt AS (SELECT t, licence, term, count(*) AS tf FROM (SELECT t, licence, unnest(r
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM templates)) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term),
 tw AS (SELECT t, licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS weight FROM tt JOIN idf USING (term)),
 files AS (SELECT doc_id, text, {_PATH_SQL} AS path FROM documents),
-marked AS (SELECT path, string_split(text, chr(10)) AS ls, text, regexp_matches(lower(regexp_extract(path, '[^/]*$')), '{licences.LICENCE_FILE}') AS whole FROM files WHERE text IS NOT NULL),
-lines AS (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS i FROM marked),
+marked AS (SELECT row_number() OVER () AS rid, path, string_split(text, chr(10)) AS ls, text, regexp_matches(lower(regexp_extract(path, '[^/]*$')), '{licences.LICENCE_FILE}') AS whole FROM files WHERE text IS NOT NULL),
+lines AS (
+  SELECT path, line, lag(line) OVER (PARTITION BY rid ORDER BY i) AS above, lead(line) OVER (PARTITION BY rid ORDER BY i) AS below
+  FROM (SELECT rid, path, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM marked)),
 passages AS (
-  SELECT path, ls[i] AS passage FROM lines WHERE regexp_matches(lower(ls[i]), '{licences.MARKER}')
-  UNION SELECT path, concat_ws(' ', CASE WHEN i > 1 THEN ls[i - 1] END, ls[i], CASE WHEN i < len(ls) THEN ls[i + 1] END) FROM lines WHERE regexp_matches(lower(ls[i]), '{licences.MARKER}')
+  SELECT path, line AS passage FROM lines WHERE regexp_matches(lower(line), '{licences.MARKER}')
+  UNION SELECT path, concat_ws(' ', above, line, below) FROM lines WHERE regexp_matches(lower(line), '{licences.MARKER}')
   UNION SELECT path, text FROM marked WHERE whole),
 pt AS (SELECT passage, term, count(*) AS tf FROM (SELECT passage, unnest(regexp_extract_all(lower(passage), '{licences.TERM}')) AS term FROM (SELECT DISTINCT passage FROM passages)) GROUP BY ALL),
 pw AS (SELECT passage, term, idf, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM templates)) + 1) AS x FROM pt LEFT JOIN idf USING (term)),
