@@ -203,7 +203,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(page_id, url, text, n_chars, n_template)`` per row; ``n_template`` counts the deleted subtrees.
+    """``(page_id, url, text, n_chars, n_template)`` per row; ``n_template`` counts the subtrees deleted around text.
 
     Null or blank pages have an empty text. Pages count once per host and content, so copies of one page make no
     template; pages without a host keep all their subtrees. Repeated rows stay repeated.
@@ -225,7 +225,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                         F.xxhash64(html_col).alias("variant"), F.col(html_col).alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
     parsed = stored(rows.mapInArrow(run, f"page_id {kind}, url string, host string, variant long, blocks array<struct<text:string,marks:array<bigint>>>, marks array<bigint>"), "parsed-pages")
-    gone = _template_marks(parsed).withColumnsRenamed({"host": "g_host", "variant": "g_variant"})
+    gone = stored(_template_marks(parsed), "template-subtrees").withColumnsRenamed({"host": "g_host", "variant": "g_variant"})
     joined = parsed.join(gone, (parsed["host"] == gone["g_host"]) & (parsed["variant"] == gone["g_variant"]), "left")
     kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda x: ~F.arrays_overlap(x["marks"], F.col("gone"))))
     text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
@@ -234,14 +234,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def _template_marks(parsed: DataFrame) -> DataFrame:
-    """``(host, variant, gone)``: the subtrees of each different page that its host repeats.
+    """``(host, variant, gone)``: the subtrees around text of each different page that its host repeats.
 
     A hot host is no hot key: its subtrees are counted by (host, subtree) after a map-side count, and only those above
-    MIN_PAGES meet the host's size.
+    MIN_PAGES meet the host's size. All subtrees are counted, but a page is listed only if one of them holds a block
+    that would stay otherwise, so the texts meet no more than they need.
     """
     sited = parsed.where("host <> ''")
     on_page = sited.select("host", "variant", F.explode("marks").alias("mark")).distinct()
     pages = sited.select("host", "variant").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     counts = on_page.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     template = counts.join(pages, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "mark")
-    return on_page.join(template, ["host", "mark"]).groupBy("host", "variant").agg(F.collect_set("mark").alias("gone"))
+    around = F.flatten(F.transform("blocks", lambda x: x["marks"]))
+    live = sited.select("host", "variant", F.explode(around).alias("mark")).distinct()
+    return live.join(template, ["host", "mark"]).groupBy("host", "variant").agg(F.collect_set("mark").alias("gone"))

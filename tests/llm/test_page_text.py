@@ -73,6 +73,7 @@ def brute(rows):
                 on[hosts[u], k].add(h)
     for i, u, h, _ in rows:
         cut = {k for k in P.parse(h)[1] if len(on[hosts[u], k]) >= max(P.MIN_PAGES, P.MIN_SHARE * len(pages[hosts[u]]))}
+        cut &= {k for _, around in P.parse(h)[0] for k in around}
         t = "\n".join(t for t, k in P.parse(h)[0] if cut.isdisjoint(k))
         out.append((i, u, t, len(t), len(cut)))
     return sorted(out, key=str)
