@@ -49,14 +49,13 @@ def _terms(text: Column) -> Column:
 
 
 def template_weights(templates: DataFrame) -> DataFrame:
-    """``(t, licence, term, weight, idf, n_templates)``: unit TF-IDF vectors of ``templates(t, licence, text)``."""
+    """``(t, licence, term, weight, idf)``: unit TF-IDF vectors of ``templates(t, licence, text)``."""
     tf = templates.select("t", "licence", F.explode(_terms(F.col("text"))).alias("term")).groupBy("t", "licence", "term").agg(F.count("*").alias("tf"))
-    n = templates.agg(F.count("*").alias("n_templates"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))
-    idf = df.select(F.col("term").alias("d_term"), (F.log((1 + F.col("n_templates")) / (1 + F.col("df"))) + 1).alias("idf"), "n_templates")
+    df = tf.groupBy(F.col("term").alias("d_term")).agg(F.count("*").alias("df"))
+    idf = df.select("d_term", (F.log(F.lit(1 + templates.count()) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = tf.join(idf, F.col("term") == F.col("d_term")).withColumn("x", F.col("tf") * F.col("idf"))
     norm = weighted.groupBy("t").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")).withColumnRenamed("t", "n_t")
-    return weighted.join(norm, F.col("t") == F.col("n_t")).select("t", "licence", "term", (F.col("x") / F.col("norm")).alias("weight"), "idf", "n_templates")
+    return weighted.join(norm, F.col("t") == F.col("n_t")).select("t", "licence", "term", (F.col("x") / F.col("norm")).alias("weight"), "idf")
 
 
 def passages(text: Column, is_licence_file: Column) -> Column:
