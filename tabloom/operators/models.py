@@ -197,7 +197,13 @@ GRIDS = {
     "logreg": {"regParam": [100.0, 10.0, 1.0, 0.2, 0.1, 0.02]},
     "dt": {"maxDepth": [3, 5, 7, 10], "minInstancesPerNode": [1, 2, 4]},
     "rf": {"numTrees": [50, 100, 150, 200], "maxDepth": [5, 10, 15], "minInstancesPerNode": [1, 2, 4]},
+    "et": {"numTrees": [50, 100, 150, 200], "maxDepth": [5, 10, 15, 20], "minInstancesPerNode": [1, 2, 5]},
     "gb": {"maxIter": [50, 100, 150], "stepSize": [0.01, 0.05, 0.1, 0.2], "maxDepth": [3, 5, 7]},
+    "xgb": {"maxIter": [50, 100, 150, 200], "maxDepth": [3, 5, 7, 9], "stepSize": [0.01, 0.05, 0.1, 0.2], "subsamplingRate": [0.6, 0.8, 1.0]},
+    "lgbm": {"maxIter": [50, 100, 150, 200], "maxDepth": [5, 10, 20], "stepSize": [0.01, 0.05, 0.1, 0.2], "subsamplingRate": [0.6, 0.8, 1.0]},
+    "cat": {"maxIter": [50, 100, 150], "maxDepth": [4, 6, 8], "stepSize": [0.01, 0.05, 0.1]},
+    "svm": {"regParam": [10.0, 1.0, 0.1, 0.02]},
+    "mlp": {"layers": [[32], [64, 32], [100]], "tol": [1e-4, 1e-6]},
     "linreg": {"fitIntercept": [True, False]},
 }
 
@@ -216,17 +222,20 @@ def search(key: str, train: DataFrame, keys: Sequence[str], task: str = "classif
     """Random search: up to ``draws`` seeded picks of the grid, each cross-validated on hash folds."""
     s = train.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("sd"), F.max("label").alias("top")).first()
     classes = int(s["top"]) + 1 if task == "classification" else 0
-    est = estimator(key, task, max(2, classes), 1, s["n"], s["sd"] or 1.0, seed)
+    width = len(train.select(vector_to_array("features").alias("v")).first()["v"])
+    est = estimator(key, task, max(2, classes), width, s["n"], s["sd"] or 1.0, seed)
+    tuned = est.getClassifier() if isinstance(est, mc.OneVsRest) else est
+    # strengths are per row, and hidden layers stand between the features and the classes
+    fitted = {"regParam": lambda v: v / s["n"], "layers": lambda hidden: [width, *hidden, max(2, classes)]}
     grid = ParamGridBuilder()
     for name, values in GRIDS[key].items():
-        scale = 1.0 / s["n"] if name == "regParam" else None
-        grid = grid.addGrid(est.getParam(name), [v * scale if scale else v for v in values])
+        grid = grid.addGrid(tuned.getParam(name), [fitted.get(name, lambda v: v)(v) for v in values])
     maps = grid.build()
     random.Random(seed).shuffle(maps)
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps[:draws], evaluator=_evaluator(task, classes), numFolds=folds, foldCol="fold", parallelism=parallelism)
     model = cv.fit(_folds(train, keys, folds, seed))
-    rows = [(i, {p.name: float(v) for p, v in m.items()}, float(a), float(d)) for i, (m, a, d) in enumerate(zip(maps[:draws], model.avgMetrics, model.stdMetrics))]
-    return model.bestModel, train.sparkSession.createDataFrame(rows, "draw int, params map<string,double>, score double, spread double")
+    rows = [(i, {p.name: str(v) for p, v in m.items()}, float(a), float(d)) for i, (m, a, d) in enumerate(zip(maps[:draws], model.avgMetrics, model.stdMetrics))]
+    return model.bestModel, train.sparkSession.createDataFrame(rows, "draw int, params map<string,string>, score double, spread double")
 
 
 def cross_validate(key: str, train: DataFrame, keys: Sequence[str], task: str = "classification", folds: int = 5, seed: int = 42) -> DataFrame:
@@ -286,6 +295,13 @@ def ensemble(models: Sequence, df: DataFrame, task: str = "classification") -> D
     return out.withColumn("prediction", (-best["i"]).cast("double"))
 
 
+def best_ensemble(train: DataFrame, test: DataFrame, models: Sequence[str], task: str = "classification", top: int = 3) -> tuple[DataFrame, list[str]]:
+    """The average of the ``top`` models by held-out score on the test rows, and which they are."""
+    board, fitted = leaderboard(train, test, models, task)
+    best = [r["model"] for r in board.collect()[:top]]
+    return ensemble([fitted[k] for k in best], test, task), best
+
+
 def leaderboard(train: DataFrame, test: DataFrame, models: Sequence[str], task: str = "classification", weighted: bool = False) -> tuple[DataFrame, dict]:
     """Fit, score and rank the chosen models: ROC-AUC (F1 beyond two classes) or R2, with the generalisation gap."""
     rows, fitted = [], {}

@@ -105,7 +105,7 @@ def mlp(t):
 @query("ml_10_random_search")
 def random_search(t):
     train, _, _ = split(t)
-    return models.search("logreg", train, KEYS, draws=20)[1]
+    return models.search("logreg", train, KEYS, draws=20, parallelism=1)[1]
 
 
 @query("ml_11_cross_validation")
@@ -125,14 +125,14 @@ def calibration(t):
 @query("ml_13_ensemble")
 def ensemble(t):
     train, test, _ = split(t)
-    fitted = [models.fit_model(k, train) for k in ("logreg", "dt", "svm")]
-    return models.ev.classification_metrics(models.ensemble(fitted, test), "label", "prediction")
+    together, _ = models.best_ensemble(train, test, ["logreg", "dt", "svm", "rf"])
+    return models.ev.classification_metrics(together, "label", "prediction")
 
 
 @query("ml_14_leaderboard")
 def leaderboard(t):
     train, test, _ = split(t)
-    return models.leaderboard(train, test, ["logreg", "dt"])[0]
+    return models.leaderboard(train, test, ["logreg", "dt", "rf", "gb", "svm"])[0]
 
 
 @query("ml_15_importance")
