@@ -332,16 +332,23 @@ e AS (SELECT j, avg(cos(angle)) FILTER (side = 0) - avg(cos(angle)) FILTER (side
 SELECT (SELECT count(*) FROM b WHERE side = 0) AS ref_rows, round(sqrt(sum(c * c + s * s) / {drift.FREQUENCIES}), 6) + 0.0 AS mmd FROM e"""
 
 
-@query("drf_09_mmd", mmd_sql("SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'", "SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'", LI_NUM))
+MMD = mmd_sql("SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'", "SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'", LI_NUM)
+
+
+@query("drf_09_mmd", MMD)
 def mmd(t):
     ref, cur = sides(t)
     return rounded(ref.agg(F.count("*").alias("ref_rows"), F.lit(drift.mmd(ref, cur, LI_NUM)).alias("mmd")), 6)
 
 
-@query("drf_10_verdict")
+@query("drf_10_verdict", STATUS + f""", n AS (SELECT count(*) AS columns, count(*) FILTER (status = 'CRITICAL_DRIFT') AS drifting FROM st),
+v AS (SELECT columns, drifting, drifting / greatest(columns, 1)::DOUBLE AS drift_ratio, mmd FROM n, ({MMD}) AS m)
+SELECT columns, drifting, round(drift_ratio, 6) + 0.0 AS drift_ratio, mmd,
+ CASE WHEN drift_ratio >= .3 OR mmd > .45 THEN 'CRITICAL_DRIFT' WHEN drift_ratio >= .1 OR mmd > .2 THEN 'WARN_MONITOR' ELSE 'PASS_HEALTHY' END AS status,
+ CASE WHEN drift_ratio >= .3 OR mmd > .45 THEN 'ACTIVATE_SAFE_FALLBACK' WHEN drift_ratio >= .1 OR mmd > .2 THEN 'TRIGGER_RETRAIN' ELSE 'PASS_HEALTHY' END AS action FROM v""")
 def verdict(t):
     ref, cur = sides(t)
-    return drift.verdict(drift.sentinel(ref, cur), drift.mmd(ref, cur, LI_NUM))
+    return rounded(drift.verdict(drift.sentinel(ref, cur), drift.mmd(ref, cur, LI_NUM)), 6)
 
 
 @query("drf_11_outlier_rate")

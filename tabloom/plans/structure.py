@@ -158,8 +158,14 @@ def simplex(t):
     return rounded(p.groupBy("vec_id").agg(F.sum((F.col("p") > 0).cast("long")).alias("positive"), F.sum("p").alias("total"), F.max("p").alias("top")), 6)
 
 
-@query("inv_07_monotone_fit")
+@query("inv_07_monotone_fit", """
+WITH d AS (SELECT CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS y, count(*)::DOUBLE AS w, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE)) AS i
+           FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
+c AS (SELECT *, sum(w * y) OVER (ORDER BY i) AS sy, sum(w) OVER (ORDER BY i) AS sw FROM d),
+a AS (SELECT f.i AS f, l.i AS l, (l.sy - f.sy + f.w * f.y) / (l.sw - f.sw + f.w) AS mean FROM c AS f JOIN c AS l ON l.i >= f.i),
+m AS (SELECT f, l AS i, min(mean) OVER (PARTITION BY f ORDER BY l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM a)
+SELECT d.d, round(max(low), 2) + 0.0 AS fitted FROM m JOIN d USING (i) GROUP BY d.d""")
 def monotone(t):
     daily = t.orders.groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.avg("o_totalprice").alias("y"), F.count("*").cast("double").alias("w"))
     fit = laws.monotone_fit(daily.withColumn("x", F.unix_date("d")), "x", "y", "w")
-    return fit.select("d", "fitted")
+    return rounded(fit.select("d", "fitted"), 2)

@@ -132,9 +132,17 @@ def simple_text(t):
     return rounded(text.simple_text_columns(df).withColumnRenamed("column", "column_name"), 6)
 
 
-@query("txt_02_strict_text_columns")
+STRICT = " UNION ALL ".join(f"""SELECT '{c}' AS column_name, count(v) AS rows, count(DISTINCT v) / greatest(count(v), 1)::DOUBLE AS unique_ratio,
+ avg(len(regexp_extract_all(v, '{text.WORD}'))) AS avg_words, avg(length(v)) AS avg_length, var_pop(length(v)) AS length_variance,
+ avg((TRY_CAST(v AS TIMESTAMP) IS NOT NULL)::INT) AS date_rate FROM (SELECT trim({c}) AS v FROM documents WHERE length(trim({c})) > 0)""" for c in ("text", "lang", "source"))
+
+
+@query("txt_02_strict_text_columns", f"""
+SELECT column_name, rows, round(unique_ratio, 6) + 0.0 AS unique_ratio, round(avg_words, 6) + 0.0 AS avg_words, round(avg_length, 6) + 0.0 AS avg_length,
+ round(length_variance, 4) + 0.0 AS length_variance,
+ rows >= 3 AND unique_ratio >= .3 AND avg_words >= 3 AND avg_length >= 12 AND length_variance >= 15 AND date_rate < .8 AS is_text FROM ({STRICT})""")
 def strict_text(t):
-    return text.strict_text_columns(t.documents).withColumnRenamed("column", "column_name")
+    return rounded(text.strict_text_columns(t.documents).withColumnRenamed("column", "column_name"), 6, length_variance=4)
 
 
 @query("txt_03_lexical_features", sql_rounded("""
