@@ -106,8 +106,9 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     x = F.col("a").bitwiseXOR(F.col("b"))
     shared = _shared_bytes(x)
     first = shared.bitwiseAND(F.element_at(F.array(*map(F.lit, before)), left["choice"] + 1)) == 0
+    # lists are many times the size that their table suggests, so no side may be broadcast by estimate
     return (
-        left.join(right, (left["choice"] == right["choice"]) & (left["bytes"] == right["bytes"]) & (F.col("a") < F.col("b"))
+        left.hint("merge").join(right, (left["choice"] == right["choice"]) & (left["bytes"] == right["bytes"]) & (F.col("a") < F.col("b"))
                   & first & (F.bit_count(shared) >= need) & (F.bit_count(x) <= max_bits))
         .select("a", "b")
     )
@@ -187,7 +188,7 @@ def _led(fps: DataFrame) -> DataFrame:
     lists = _lists(fps, list(combinations(range(BYTES), NEED)))
     ends = lists.groupBy("choice", "bytes").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
     ends = ends.withColumnsRenamed({"choice": "e_choice", "bytes": "e_bytes"})
-    met = lists.join(ends, (F.col("choice") == F.col("e_choice")) & (F.col("bytes") == F.col("e_bytes")))
+    met = lists.hint("merge").join(ends, (F.col("choice") == F.col("e_choice")) & (F.col("bytes") == F.col("e_bytes")))
     return met.select("fp", F.explode(F.array("low", "high")).alias("lead")).where("fp <> lead").distinct()
 
 
@@ -203,8 +204,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = marks.groupBy("same").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "text-classes")
     heads = stored(classes.groupBy("fp").agg(F.min("same").alias("head")), "heads")
-    pairs = _led(heads.select("fp")).join(heads, "fp").select(F.col("head").alias("a"), "lead")
-    pairs = pairs.join(heads, pairs["lead"] == heads["fp"]).select("a", F.col("head").alias("b"))
+    pairs = _led(heads.select("fp")).hint("merge").join(heads, "fp").select(F.col("head").alias("a"), "lead")
+    pairs = pairs.hint("merge").join(heads, pairs["lead"] == heads["fp"]).select("a", F.col("head").alias("b"))
     alike = classes.join(heads, "fp").where(F.col("same") != F.col("head")).select(F.col("same").alias("a"), F.col("head").alias("b"))
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionAll(alike), "pairs")
 
