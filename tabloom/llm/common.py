@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,15 @@ def files(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def publish(system, path: str, data_path: str) -> None:
-    """Move a finished attempt's file into place; a repeated task replaces equal content."""
-    system.move(data_path, path)
+def arrow_slices(texts, size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of an Arrow string array that hold about ``size`` bytes each (a longer text is a run of its own)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(held):
+        before = held[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(held, before + size, side="right")))
+        yield start, stop
+        start = stop

@@ -14,11 +14,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.common import arrow_slices
+
 Q = 10
 #: Edits allowed per 100 characters of an item; fewer for short items, so that one shared q-gram stays guaranteed.
 EDIT_PERCENT = 8
 #: Characters of items that one pass over the documents holds, and characters of documents handled at once.
-BLOCK_CHARS, SLICE_CHARS = 1 << 21, 1 << 21
+BLOCK_CHARS, SLICE_CHARS = 1 << 21, 1 << 20
 SPACE, BORDER = 32, 0x110000
 LEAK = "item_id bigint, edits int, end int"
 SLOT_BITS = 22
@@ -186,10 +188,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """
     spark = docs.sparkSession
     cols = docs.columns if carry is None else carry
-    frame = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), F.col(text_col).alias("text"), F.lit(None).cast(f"array<struct<{LEAK.replace(' ', ':').replace(',:', ',')}>>").alias("leaks"))
+    apart = [] if text_col in cols else [F.col(text_col).alias("text")]  # a text within the row isn't sent twice
+    frame = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), *apart, F.lit(None).cast(f"array<struct<{LEAK.replace(' ', ':').replace(',:', ',')}>>").alias("leaks"))
     blocks = list(_indexed(spark, benchmark, item_col, item_text_col, q, edit_percent))
     for n, held in enumerate(blocks, 1):
-        frame = _one_pass(frame, held, last=n == len(blocks))
+        frame = _one_pass(frame, held, text_col, last=n == len(blocks))
     return frame.select("row", F.coalesce("leaks", F.array().cast(frame.schema["leaks"].dataType)).alias("leaks"))
 
 
@@ -198,7 +201,7 @@ def _indexed(spark, benchmark: DataFrame, item_col: str, text_col: str, q: int,
         yield spark.sparkContext.broadcast(Index(block, q, edit_percent))
 
 
-def _one_pass(frame: DataFrame, held, last: bool) -> DataFrame:
+def _one_pass(frame: DataFrame, held, text_col: str, last: bool) -> DataFrame:
     """Add the leaks of one block of items; the last pass gives the text up."""
     kept = frame.schema if not last else frame.select("row", "leaks").schema
 
@@ -207,20 +210,14 @@ def _one_pass(frame: DataFrame, held, last: bool) -> DataFrame:
 
         folder, index = Folder(), held.value
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            start, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size < SLICE_CHARS and i + 1 < len(texts):
-                    continue
-                part = b.slice(start, i + 1 - start)
-                found = index.leaks(texts[start:i + 1], folder)
+            column = b.column("text") if "text" in b.schema.names else b.column("row").field(text_col)
+            for i, j in arrow_slices(column, SLICE_CHARS):
+                part = b.slice(i, j - i)
+                found = index.leaks([t or "" for t in column.slice(i, j - i).to_pylist()], folder)
                 leaks = part.column("leaks")
                 if any(found):
                     before = leaks.to_pylist()
                     leaks = pa.array([(old or []) + [dict(zip(("item_id", "edits", "end"), x)) for x in new] for old, new in zip(before, found)], leaks.type)
-                columns = {"row": part.column("row"), "text": part.column("text"), "leaks": leaks}
-                yield pa.record_batch([columns[c] for c in kept.names], names=kept.names)
-                start, size = i + 1, 0
+                yield pa.record_batch([leaks if c == "leaks" else part.column(c) for c in kept.names], names=kept.names)
 
     return frame.mapInArrow(run, kept)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import stored
+from tabloom.llm.common import arrow_slices, stored
 
 DIMENSIONS = 1024
 SEED = 20_240_501
@@ -22,7 +22,7 @@ UNKNOWN = "und"
 #: At most about this many texts of a language are learned from, drawn by a hash of text and language.
 TRAIN_PER_LANGUAGE = 4_000
 #: Characters bundled at once, and cells of the count matrix at most.
-SLICE_CHARS, CELLS = 1 << 21, 1 << 22
+SLICE_CHARS, CELLS = 1 << 20, 1 << 21
 #: Unit vectors are added up as integers of this scale, so that no order of summation shows.
 SCALE = 1 << 24
 
@@ -94,15 +94,6 @@ def _units(vectors):
     return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= SLICE_CHARS or i + 1 == len(texts):
-            yield start, i + 1
-            start, held = i + 1, 0
-
-
 @dataclass(frozen=True)
 class Profiles:
     """Learned languages in order, and the integer prototype of each."""
@@ -133,11 +124,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
 
         bundler, sums = Bundler(dimensions, seed), {}
         for b in batches:
-            langs, texts = b.column(0).to_pylist(), [t.lower() for t in b.column(1).to_pylist()]
-            for i, j in _slices(texts):
-                whole = np.rint(_units(bundler.vectors(texts[i:j])) * SCALE).astype(np.int64)
-                for g in set(langs[i:j]):
-                    sums[g] = sums.get(g, 0) + whole[[x == g for x in langs[i:j]]].sum(0)
+            for i, j in arrow_slices(b.column(1), SLICE_CHARS):
+                langs, texts = (b.column(c).slice(i, j - i).to_pylist() for c in (0, 1))
+                whole = np.rint(_units(bundler.vectors([t.lower() for t in texts])) * SCALE).astype(np.int64)
+                for g in set(langs):
+                    sums[g] = sums.get(g, 0) + whole[[x == g for x in langs]].sum(0)
         if sums:
             yield pa.record_batch([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
@@ -163,17 +154,17 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
         prototypes = _units(np.array(profiles.prototypes).reshape(len(profiles.languages), profiles.dimensions))
         names = np.array([*profiles.languages, UNKNOWN], dtype=object)
         for b in batches:
-            texts = [(t or "").lower() for t in b.column(text_at).to_pylist()]
-            for i, j in _slices(texts):
-                units = _units(bundler.vectors(texts[i:j]))
+            column = b.column(0).field(text_col)
+            for i, j in arrow_slices(column, SLICE_CHARS):
+                texts = [(t or "").lower() for t in column.slice(i, j - i).to_pylist()]
+                units = _units(bundler.vectors(texts))
                 blank = ~units.any(1)
                 cosines = np.concatenate([units @ prototypes.T, np.full((j - i, 1), -2.0)], axis=1)
                 best = np.where(blank, len(names) - 1, cosines.argmax(1))
                 score = np.where(best == len(names) - 1, 0.0, np.clip(cosines.max(1), 0.0, 1.0))
                 yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
-    text_at = 1
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
     row_type = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(run, f"row {row_type}, lang_pred string, score double")
 

@@ -17,13 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import files, shared_folder
+from tabloom.llm.common import arrow_slices, files, shared_folder
 
 LENGTH = 2048
 BATCH = 256
 #: Bytes of text encoded at once and distinct words remembered by a worker.
-SLICE_BYTES = 4 << 20
-REMEMBERED = 500_000
+SLICE_BYTES = 3 << 20
+REMEMBERED = 300_000
 #: A letter, then commas or points before white space.
 WORD_MARKS = r"([a-z\x{df}-\x{f6}\x{f8}-\x{ff}])([.,]+[ \n])"
 
@@ -166,18 +166,6 @@ class ShardReader:
         return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
-def _slices(batch) -> Iterator:
-    """Parts of an (id, text) batch of about SLICE_BYTES of text."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-    cut = np.searchsorted(np.cumsum(size), np.arange(SLICE_BYTES, int(size.sum()) + SLICE_BYTES, SLICE_BYTES), side="right")
-    edges = sorted({0, len(size), *map(int, cut)})
-    for a, b in zip(edges, edges[1:]):
-        yield batch.slice(a, b - a)
-
-
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
                       length: int = LENGTH, batch: int = BATCH) -> DataFrame:
     """Write the shards and return their stored index ``(doc_id, shard, path, local_start, n_tokens)``.
@@ -198,15 +186,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
         shard = context.partitionId()
         dtype = "uint16" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "uint32"
         for b in batches:
-            for part in _slices(b):
-                if writer is None and part.num_rows:
+            for i, j in arrow_slices(b.column(1), SLICE_BYTES):
+                part = b.slice(i, j - i)
+                if writer is None:
                     system, root = files(folder)
                     system.create_dir(root, recursive=True)
                     path = f"{folder}/shard-{shard:08d}-{context.taskAttemptId()}.arrows"
                     writer = ShardWriter(system.open_output_stream(files(path)[1]), dtype, length, batch)
                 ids, n = encoder.encode(part.column(1))
                 ends = np.cumsum(n)
-                starts = writer.total + ends - n + np.arange(len(n)) if writer else ends
+                starts = writer.total + ends - n + np.arange(len(n))
                 writer.add(np.insert(ids, ends, end_id))
                 yield pa.record_batch([part.column(0), pa.array([shard] * len(n), pa.int32()), pa.array([path] * len(n)),
                                        pa.array(starts, pa.int64()), pa.array(n + 1, pa.int64())],
