@@ -185,7 +185,8 @@ def text_marks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
 
 def _led(fps: DataFrame) -> DataFrame:
     """``(fp, lead)``: each fingerprint with the smallest and the largest one of every index list that holds it."""
-    lists = _lists(fps, list(combinations(range(BYTES), NEED)))
+    # one exchange serves both the ends of the lists and their members
+    lists = _lists(fps, list(combinations(range(BYTES), NEED))).repartition("choice", "bytes")
     ends = lists.groupBy("choice", "bytes").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
     ends = ends.withColumnsRenamed({"choice": "e_choice", "bytes": "e_bytes"})
     met = lists.hint("merge").join(ends, (F.col("choice") == F.col("e_choice")) & (F.col("bytes") == F.col("e_bytes")))
@@ -224,7 +225,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("k")).select("k.doc_id", "k.same")
     times = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("t_id")).agg(F.count("*").alias("times"))
     kept = stored(first.join(times, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "same", F.coalesce("times", F.lit(2)).alias("times")), "kept")
-    out = docs.join(kept.where("times = 1").select(F.col("doc_id").alias("kept_id")), docs[id_col] == F.col("kept_id"), "left_semi")
+    # the kept ids grow with the documents, so they are never broadcast
+    out = docs.hint("merge").join(kept.where("times = 1").select(F.col("doc_id").alias("kept_id")), docs[id_col] == F.col("kept_id"), "left_semi")
     unclear = kept.where("times > 1").select(F.col("doc_id").alias("kept_id"), F.col("same").alias("kept_same"))
     if unclear.isEmpty():
         return out
