@@ -118,3 +118,24 @@ def test_sketch_estimates_similarity():
         equal = sum(x == y for x, y in zip(S.sketch(a, turns), S.sketch(b, turns))) / S.SKETCH
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs(equal - true) < 0.1
+
+
+def family(n, planted, rng, length=200, common=165):
+    """``n`` texts that share a passage (pairwise about 0.7), and a copy of each of the first ``planted`` at 0.9."""
+    passage = [f"c{i}" for i in range(common)]
+    texts = [passage + [f"u{rng.randrange(10 ** 9)}" for _ in range(length - common)] for _ in range(n)]
+    for t in texts[:planted]:
+        texts.append(t[:-9] + [f"v{rng.randrange(10 ** 9)}" for _ in range(9)])
+    return [" ".join(t) for t in texts]
+
+
+def jaccard(a, b, size=5):
+    one, other = ({tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} for w in (a.split(), b.split()))
+    return len(one & other) / len(one | other)
+
+
+def test_copies_inside_a_family_are_found(spark):
+    texts = family(2000, 200, random.Random(7))
+    assert 0.65 < jaccard(texts[500], texts[501]) < 0.75 and all(jaccard(texts[i], texts[2000 + i]) > 0.89 for i in range(200))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in S.keep_one(df).collect()) == list(range(2000))
