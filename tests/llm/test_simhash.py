@@ -139,3 +139,23 @@ def test_copies_inside_a_family_are_found(spark):
     assert 0.65 < jaccard(texts[500], texts[501]) < 0.75 and all(jaccard(texts[i], texts[2000 + i]) > 0.89 for i in range(200))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in S.keep_one(df).collect()) == list(range(2000))
+
+
+def test_similarity_is_decided_exactly(spark):
+    rng, rows, want = random.Random(3), [], []
+    for g in range(150):
+        # one run of changed words at the end: 90 of n shingles stay on both sides
+        n, kept = (100, 90) if g % 3 else (96 + 5, 90)
+        base = [f"g{g}w{i}" for i in range(kept + 4)]
+        pair = [" ".join(base + [f"{rng.random()}" for _ in range(n - kept)]) for _ in range(2)]
+        if g % 3 == 2:
+            pair = [" ".join(base), " ".join(base + [f"{rng.random()}" for _ in range(22)])]
+            if g % 2:
+                pair = [" ".join(base[:84]), " ".join(base + ["x", "y", "z", "u", "v", "w"])]
+        rows += [(2 * g, pair[0]), (2 * g + 1, pair[1])]
+        want += [2 * g] if jaccard(*pair) >= 0.8 else [2 * g, 2 * g + 1]
+    exact = "".join(f"e{i} " for i in range(84)), "".join(f"e{i} " for i in range(104))
+    assert jaccard(*exact) == 0.8
+    rows += [(1000, exact[0]), (1001, exact[1])]
+    got = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(want + [1000])
