@@ -1,11 +1,13 @@
 """The pipeline's stages on a small table, each against a plain version of its decision."""
 
+import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -44,6 +46,21 @@ def test_language(steps):
     assert set(before) - set(after) == {90_000, 90_001, 90_002}
 
 
+def test_language_rejects_noise_and_keeps_clean_texts(spark):
+    folder, rng = "/root/testdata/sf0.01", random.Random(5)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    alphabets = [[chr(c) for c in range(a, b)] for a, b in ((0x3B1, 0x3CA), (0x430, 0x450), (0x4E00, 0x5E00), (97, 123))]
+    noise = ["".join(rng.choice(a) if rng.random() > 0.16 else " " for _ in range(n)) for a in alphabets for n in (20, 60, 120, 400, 3000) for _ in range(25)]
+    # a null id is not learned from
+    planted = spark.createDataFrame([(None, t, "en", f"noise{len(t)}", i) for i, t in enumerate(noise)], docs.schema)
+    kept = C.identify_language(spark, docs.unionAll(planted), folder).select("doc_id", "source", F.length("text").alias("n")).collect()
+    assert {r["doc_id"] for r in kept} - {None} == {r["doc_id"] for r in docs.collect()}
+    left = [r["n"] for r in kept if r["doc_id"] is None]
+    short = [n for n in left if n < C.SHORT_TEXT]
+    # 100 planted texts are short, 400 are not
+    assert len(left) - len(short) <= 8 and len(short) <= 15
+
+
 def test_near_duplicates(steps):
     before, after = texts(steps[1]), texts(steps[2])
     sets = {d: shingles(t) for d, t in before.items()}
