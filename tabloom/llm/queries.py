@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, language, licences, mixing, page_text, quality, simhash, token_files, url_filter, warc
+from tabloom.llm import conversation, decontaminate, filter_audit, language, lattice, licences, mixing, page_text, quality, simhash, token_files, url_filter, warc
 from tabloom.llm.common import stored
 from tabloom.plans.registry import Tables
 
@@ -272,3 +272,71 @@ def op3(t: Tables) -> DataFrame:
     path = document_path(F.col("doc_id"), F.col("lang"), F.col("source"))
     return licences.scan(t.documents.select("doc_id", "text", path.alias("path")), templates, F.col("path"), F.col("text"), ["doc_id"]).select(
         "row.doc_id", "path", "own", "score", "licence", "inherited_from")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with planted faults: rows dropped, emptied, cut off, repeated (``copies``) or given to the user."""
+    space = F.lit(" ")
+    text = F.coalesce("text", space)
+    d = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))) % 20
+    return turns.select(
+        "conv_id", "turn", F.when(d == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(d == 1, "").when(d == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(d == 0, 0).when(d == 3, 2).otherwise(1).alias("copies"))
+
+
+@_query("op11_conversation_repair")
+def op11(t: Tables) -> DataFrame:
+    found = conversation.repair(damaged(t.conversations), copies=F.col("copies"))
+    signed = conversation.digests(found.turns).withColumnRenamed("conv_id", "d_conv")
+    both = found.reports.hint("merge").join(signed, F.col("conv_id").eqNullSafe(F.col("d_conv")), "left")
+    return both.drop("d_conv").withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
+
+
+#: Vocabulary of the subword model.
+PIECES = "piece_bpe_32k.model"
+
+
+def scoring_fold(doc_id: Column) -> Column:
+    """Whether a document is held out from language-model training."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
+
+
+@_query("op12_lattice_score")
+def op12(t: Tables) -> DataFrame:
+    import public_tokenizers
+
+    docs = t.documents.select("doc_id", "text")
+    # a null id is outside the held-out fold but isn't learned from
+    training = docs.where(F.col("doc_id").isNotNull() & ~scoring_fold(F.col("doc_id"))).select("text")
+    counts = stored(lattice.word_counts(training), "word-counts")
+    pieces = lattice.fit(counts, lattice.vocabulary(public_tokenizers.path(PIECES)))
+    scored = lattice.score(docs, counts, pieces)
+    return scored.select("row.doc_id", scoring_fold(F.col("row.doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query("op13_filter_audit", f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACE}+') AS w,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), FALSE) AS copy FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t),
+                regexp_matches(t, '[#$%&*|]'), copy] AS fails, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic, count(*) AS n
+  FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+seen AS (
+  SELECT part, filter_order, step, n, good, toxic, substr(filter_order, step, 1) AS letter, fails[strpos('ABCDE', substr(filter_order, step, 1))] AS here,
+         len(list_filter(range(1, step), lambda k: fails[strpos('ABCDE', substr(filter_order, k, 1))])) > 0 AS before, len(list_filter(fails, lambda f: f)) AS failed
+  FROM m, orders, (SELECT unnest([1, 2, 3, 4, 5])::INT AS step)),
+counted AS (
+  SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT here AND NOT before), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND NOT before), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (here AND before), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (here AND failed = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (here AND NOT before AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (here AND NOT before AND toxic), 0)::BIGINT AS toxic_lost
+  FROM seen GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM counted""")
+def op13(t: Tables) -> DataFrame:
+    return filter_audit.filter_audit(t.documents, t.labels)
