@@ -60,7 +60,7 @@ def test_sql_queries(spark, folder, name):
     assert compare(QUERIES[name](spark, folder), duck(folder), SQL[name]) is None
 
 
-@pytest.mark.parametrize("name,table", [("op1_main_text", "pages"), ("op2_simhash", "documents"), ("op4_token_files", "documents"), ("op5_warc", "pages"), ("op8_language_id", "documents")])
+@pytest.mark.parametrize("name,table", [("op1_main_text", "pages"), ("op2_simhash", "documents"), ("op4_token_files", "documents"), ("op5_warc", "pages"), ("op8_language_id", "documents"), ("op12_lattice_score", "documents")])
 def test_one_row_per_row(spark, folder, name, table):
     got = QUERIES[name](spark, folder)
     assert got.count() == spark.read.parquet(f"{folder}/{table}.parquet").count()
