@@ -1,7 +1,8 @@
 """Ordered row blocks: windows over a long series without one task per series.
 
 The order axis is cut at approximate quantiles of the whole table, so a series
-holding a third of all rows is spread over about a third of the blocks.  Rows
+holding a third of all rows is spread over about a third of the blocks, and the
+number of blocks grows with the rows.  Rows
 just before a block travel along as halo rows, which makes frames that look
 back a fixed number of rows exact.
 """
@@ -14,22 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .cuts import position, probabilities, thinned
+from .cuts import place
 
 BLOCKS = 1024
 SMALL = 100_000
 
 
-def cut_points(df: DataFrame, axis: Column, blocks: int = BLOCKS, small: int = SMALL) -> list[int]:
-    """Cut values of a numeric axis for about ``small`` rows per block, at most ``blocks`` blocks; none for a small table."""
-    s = df.agg(F.count(axis).alias("n"), F.percentile_approx(axis, probabilities(blocks), 20 * blocks).alias("cuts")).first()
-    return thinned(s["cuts"] or [], s["n"], small, blocks) if s["n"] > small else []
-
-
-def block_of(axis: Column, cuts: Sequence[int]) -> Column:
-    return position(axis, cuts)
-
-
 def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
@@ -40,9 +31,8 @@ def with_halo(
 ) -> DataFrame:
     """``df`` plus ``_block`` and ``_halo``: each block is preceded by the ``back`` rows before it."""
     by = list(by)
-    cuts = cut_points(df, axis, blocks, small)
-    placed = df.withColumn("_block", block_of(axis, cuts))
-    if not cuts:
+    placed, split = place(df, axis, (), "_block", small, blocks)
+    if not split:
         return placed.withColumn("_halo", F.lit(False))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     latest = W.partitionBy(*by, "_block").orderBy(*[F.col(f"`{c}`").desc() for c in order])

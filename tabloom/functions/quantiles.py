@@ -2,9 +2,10 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer.
 Here a bounded sketch (``percentile_approx``) first brackets each requested
-rank; a second scan counts what lies below and above each bracket and keeps
-only the values inside, a 4/accuracy share of a group at most.  The wanted
-order statistics are then picked by a running count inside the brackets.
+rank. While a bracket may hold more than ``KEPT`` rows, the rows inside it are
+sketched again and the bracket shrinks about 200-fold. A last scan counts what
+lies below and above each bracket and keeps only the values inside; the wanted
+order statistics are then picked by a running count over those few.
 """
 
 from __future__ import annotations
@@ -16,14 +17,49 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .columns import finite, ident, long_form
+from .lineage import cut_lineage
 from .skew import join_hot_keys
 
 ACCURACY = 10000
+#: Rows of a group that may lie in the bracket of one quantile, and so the most that one task orders.
+KEPT = 1_000_000
+#: Steps of the sketch inside a bracket.
+GRID = 1000
+
+
+def _narrowed(long: DataFrame, sketch: DataFrame, by: list[str], probs: list[float], accuracy: int, kept: int, few_groups: bool) -> DataFrame:
+    """``by, _n, _b``: brackets shrunk until each holds at most ``kept`` rows or a single value.
+
+    The brackets of all probabilities are the lower ends, then the upper ends, in ``_b``.
+    """
+    k = len(probs)
+    grid = [i / GRID for i in range(GRID + 1)]
+    prob = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_t.i") + 1)
+    while True:
+        marked = long.join(F.broadcast(sketch), by) if few_groups else join_hot_keys(long, sketch, by, "_n")
+        tags = F.array(*[F.struct(F.lit(i).alias("i"), F.col("_b")[i].alias("lo"), F.col("_b")[k + i].alias("hi")) for i in range(k)])
+        rows = marked.where("value is not null").select(*by, "_n", "value", F.explode(tags).alias("_t"))
+        inside = F.when(F.col("value").between(F.col("_t.lo"), F.col("_t.hi")), F.col("value"))
+        counted = cut_lineage(rows.groupBy(*by, "_n", "_t").agg(
+            F.count_if(F.col("value") < F.col("_t.lo")).alias("below"), F.count(inside).alias("here"), F.percentile_approx(inside, grid, max(accuracy, 10 * GRID)).alias("q")))
+        open_ = (F.col("here") > kept) & (F.col("_t.lo") < F.col("_t.hi"))
+        # the wanted ranks among the rows inside, and two steps around them
+        first, last = F.floor((F.col("_n") - 1) * prob) - F.col("below"), F.ceil((F.col("_n") - 1) * prob) - F.col("below")
+        at = lambda rank, step: F.get("q", F.least(F.greatest((rank * GRID / F.col("here")).cast("int") + step, F.lit(0)), F.lit(GRID)))
+        lo, hi = F.when(open_, at(first, -2)).otherwise(F.col("_t.lo")), F.when(open_, at(last + 1, 2)).otherwise(F.col("_t.hi"))
+        ends = F.array_sort(F.collect_list(F.struct(F.col("_t.i").alias("i"), lo.alias("lo"), hi.alias("hi"))))
+        moved = F.max((open_ & ((lo > F.col("_t.lo")) | (hi < F.col("_t.hi")))).cast("int"))
+        shrunk = counted.groupBy(*by, "_n").agg(ends.alias("e"), moved.alias("_moved"))
+        sketch = cut_lineage(shrunk.select(*by, "_n", F.concat(F.transform("e", lambda x: x["lo"]), F.transform("e", lambda x: x["hi"])).alias("_b"), "_moved"))
+        again = sketch.agg(F.max("_moved")).first()[0]
+        sketch = sketch.drop("_moved")
+        if not again:
+            return sketch
 
 
 def long_quantiles(
     long: DataFrame, probs: Sequence[float], by: Sequence[str] = ("column",), accuracy: int = ACCURACY,
-    few_groups: bool = True,
+    few_groups: bool = True, kept: int = KEPT,
 ) -> DataFrame:
     """Quantiles of ``value`` per ``by`` of a long table.
 
@@ -39,6 +75,13 @@ def long_quantiles(
         F.count("value").alias("_n"),
         F.percentile_approx("value", lows + highs, accuracy).alias("_b"),
     )
+    if few_groups:
+        # one row per group, so a local table; otherwise stored, as it is read several times
+        sketch = long.sparkSession.createDataFrame(sketch.collect(), sketch.schema)
+    else:
+        sketch = cut_lineage(sketch)
+    if (sketch.agg(F.max("_n")).first()[0] or 0) * 3 * slack > kept:
+        sketch = _narrowed(long, sketch, by, probs, accuracy, kept, few_groups)
     if few_groups:
         marked = long.join(F.broadcast(sketch), by)
     else:

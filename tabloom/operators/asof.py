@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.blocks import BLOCKS, SMALL, block_of, cut_points, micros
+from ..functions.blocks import BLOCKS, SMALL, micros
 from ..functions.columns import ident
+from ..functions.cuts import place
 
 
 def asof_join(
@@ -34,7 +35,7 @@ def asof_join(
     )
     both = left.unionByName(right, allowMissingColumns=True)
     axis = micros(F.col("_t"))
-    both = both.withColumn("_b", block_of(axis, cut_points(both.select("_t"), axis, blocks, small)))
+    both, _ = place(both, axis, (), "_b", small, blocks)
     order = W.partitionBy("_k", "_b").orderBy("_t", "_side", "_f").rowsBetween(W.unboundedPreceding, 0)
     local = both.withColumn("_m", F.last("_f", ignorenulls=True).over(order)).where("_side = 1")
     latest = both.groupBy("_k", "_b").agg(F.max(F.when(F.col("_side") == 0, F.struct("_t", "_f"))).alias("_last"))

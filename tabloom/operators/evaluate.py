@@ -6,21 +6,25 @@ metric is an aggregate over it or over its counts per distinct score.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, ident, present, ratio
-from ..functions.cuts import position
+from ..functions.cuts import MAX_CUTS, position
 from ..functions.lineage import cut_lineage
 from ..functions.ordering import running_totals
 from ..functions.quantiles import quantile_map
 
-SKYLINE_BLOCK = 20_000
+#: Rows of a grid cell's block and parts of an axis at most in the skyline, points of a strip or slab in the hypervolume.
+CELL_ROWS, GRID_PARTS, SWEEP_ROWS = 2048, 64, 20_000
 
 
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -216,11 +220,12 @@ def _beaten(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def skyline(df: DataFrame, profit: str, risk: str, fairness: str) -> DataFrame:
-    """Rows no other row dominates (profit and fairness high, risk low); equal rows all stay.
+def skyline(df: DataFrame, profit: str, risk: str, fairness: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Rows no other row dominates (profit and fairness high, risk low); equal rows all stay, as do rows with a gap.
 
-    Each task first drops rows beaten inside its own batches; the survivors are
-    then checked against every block of survivors, one bounded block at a time.
+    Each task first drops rows beaten inside its own batches. The rest fall into grid cells cut at quantiles of the
+    three measures. A cell that lies below another one on every axis goes whole; the others are compared, in blocks of
+    about ``cell_rows`` rows, with the cells at or above them. Only cuts and counts reach the driver.
     """
     names, schema = [profit, risk, fairness], df.schema
 
@@ -238,22 +243,37 @@ def skyline(df: DataFrame, profit: str, risk: str, fairness: str) -> DataFrame:
             ahead = ~_beaten(m, m[:1024])
             yield chosen[ahead][~_beaten(m[ahead], m[ahead])]
 
-    left = cut_lineage(df.mapInPandas(local, schema))
-    n = left.count()
-    blocks = max(1, -(-n // SKYLINE_BLOCK))
-    bucket = F.pmod(F.xxhash64(*[ident(c) for c in names]), F.lit(blocks))
-    out = left
-    for b in range(blocks):
-        rivals = better(left.where(bucket == b).select(*names).distinct().toPandas())
-
-        def against(batches: Iterator[pd.DataFrame], rivals=rivals) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pdf[~_beaten(better(pdf), rivals)]
-
-        out = out.mapInPandas(against, schema)
-        if blocks > 8 and b % 8 == 7:
-            out = cut_lineage(out)
-    return out
+    axes = [F.col("x"), F.col("y"), F.col("z")]
+    left = df.mapInPandas(local, schema).withColumn("_row", F.monotonically_increasing_id())
+    left = cut_lineage(left)
+    points = left.select("_row", finite(profit).alias("x"), (-finite(risk)).alias("y"), finite(fairness).alias("z")).where("x is not null and y is not null and z is not null")
+    n = points.count()
+    # a frontier is a surface, so its rows lie in about parts x parts cells
+    parts = min(GRID_PARTS, max(1, math.ceil(math.sqrt(n / cell_rows))))
+    cuts = points.agg(*[F.percentile_approx(c, [i / parts for i in range(1, parts)], 100 * parts) for c in axes]).first() if parts > 1 else [[]] * 3
+    placed = points.select("*", *[position(c, sorted(set(own or [])), inclusive=True).alias(f"c{i}") for i, (c, own) in enumerate(zip(axes, cuts))])
+    cell = ["c0", "c1", "c2"]
+    cells = cut_lineage(placed.groupBy(*cell).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks")))
+    other = cells.select(*[F.col(c).alias(f"o{c}") for c in cell], F.col("blocks").alias("oblocks"))
+    above = lambda op: op("c0") & op("c1") & op("c2")
+    live = cut_lineage(cells.join(other, above(lambda c: F.col(c) < F.col(f"o{c}")), "left_anti"))
+    split = placed.join(live, cell).withColumn("block", F.pmod(F.xxhash64("_row"), "blocks").cast("int"))
+    packed = cut_lineage(split.groupBy(*cell, "block").agg(*[F.collect_list(c).alias(c) for c in ("_row", "x", "y", "z")]))
+    rivals = live.select(*[F.col(c).alias(f"o{c}") for c in cell], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("oblock"))
+    # a dead cell beats nothing that the cell above it doesn't beat
+    pairs = live.drop("blocks").join(rivals, above(lambda c: F.col(c) <= F.col(f"o{c}")))
+    theirs = packed.select(*[F.col(c).alias(f"o{c}") for c in (*cell, "block")], *[F.col(c).alias(f"o{c}") for c in ("x", "y", "z")])
+    met = pairs.join(theirs, [f"o{c}" for c in (*cell, "block")]).join(packed, cell).select("_row", "x", "y", "z", "ox", "oy", "oz")
+
+    def beaten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                down = _beaten(np.stack([r[1], r[2], r[3]], axis=1), np.stack([r[4], r[5], r[6]], axis=1))
+                yield pd.DataFrame({"gone": np.asarray(r[0])[down]})
+
+    gone = met.mapInPandas(beaten, "gone long").distinct()
+    dead = placed.join(live, cell, "left_anti").select(F.col("_row").alias("gone"))
+    return left.join(gone.unionByName(dead), F.col("_row") == F.col("gone"), "left_anti").drop("_row")
 
 
 def knee(df: DataFrame, frontier: DataFrame, profit: str, risk: str, fairness: str, name: str, weights=(0.4, 0.3, 0.3)) -> DataFrame:
@@ -281,24 +301,75 @@ def knee(df: DataFrame, frontier: DataFrame, profit: str, risk: str, fairness: s
     return x.withColumn("role", role)
 
 
-def hypervolume(points: DataFrame, profit: str, risk: str, fairness: str, nadir: tuple[float, float, float]) -> DataFrame:
-    """Volume of the union of boxes between the points and the nadir, by slices of the fairness axis.
-
-    Pass the frontier: dominated points change nothing and only add work.  A
-    point takes part in each slice at or below its own level.
+def _swept(u: np.ndarray, v: np.ndarray, w: np.ndarray, low_u: float, low_w: float) -> float:
+    """Volume of boxes over a cell: levels from the top down, with the staircase of the points met so far."""
+    us, vs, area, volume, level = [], [], 0.0, 0.0, None
+    for i in np.argsort(-w, kind="stable"):
+        x, y = u[i], v[i]
+        if level is not None:
+            volume += area * (level - w[i])
+        level = w[i]
+        right = bisect_left(us, x)
+        if right < len(us) and vs[right] >= y:
+            continue
+        # steps that the new point covers give way to it; the last of them may reach beyond it
+        first = right
+        while first and vs[first - 1] <= y:
+            first -= 1
+        stop = right + (right < len(us) and us[right] == x)
+        start = us[first - 1] if first else low_u
+        ends = [start, *us[first:right], x]
+        heights = [*vs[first:right], vs[right] if right < len(us) else 0.0]
+        area += y * (x - start) - sum((b - a) * h for a, b, h in zip(ends, ends[1:], heights))
+        us[first:stop], vs[first:stop] = [x], [y]
+    return volume + area * (level - low_w) if level is not None else 0.0
+
+
+def _stairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of the points that no other point covers in both coordinates."""
+    order = np.lexsort((-b, -a))
+    best = np.maximum.accumulate(np.concatenate([[-np.inf], b[order][:-1]]))
+    return order[b[order] > best]
+
+
+def hypervolume(points: DataFrame, profit: str, risk: str, fairness: str, nadir: tuple[float, float, float], cell_rows: int = SWEEP_ROWS) -> DataFrame:
+    """Volume of the union of boxes between the points and the nadir.
+
+    Profit is cut into strips and fairness into slabs of about ``cell_rows`` points each, and every cell of the two is
+    swept by itself. Points beyond a cell reach over it whole: what lies further along one axis comes as a staircase of
+    its strip or slab, which merges with others, and what lies further along both as one number. Passing the frontier
+    saves work; dominated points change nothing.
     """
     u, v, w = ident(profit) - nadir[0], nadir[1] - ident(risk), ident(fairness) - nadir[2]
-    box = points.select(u.cast("double").alias("u"), v.cast("double").alias("v"), w.cast("double").alias("w")).where("u > 0 and v > 0 and w > 0").distinct()
-    levels = box.agg(F.sort_array(F.collect_set("w"))).scalar()
-    slices = box.withColumn("levels", levels).select(
-        "u", "v", F.posexplode(F.filter("levels", lambda x: x <= F.col("w"))).alias("i", "level"), "levels"
-    ).withColumn("height", F.col("level") - F.when(F.col("i") > 0, F.get("levels", F.col("i") - 1)).otherwise(0.0))
-    steps = slices.groupBy("level", "height", "u").agg(F.max("v").alias("v"))
-    down = W.partitionBy("level").orderBy(F.col("u").desc())
-    width = F.col("u") - F.coalesce(F.lead("u").over(down), F.lit(0.0))
-    tall = F.max("v").over(down.rowsBetween(W.unboundedPreceding, 0))
-    area = steps.select("level", "height", (width * tall).alias("a"))
-    return area.agg(F.coalesce(F.sum(F.col("a") * F.col("height")), F.lit(0.0)).alias("hypervolume"))
+    box = cut_lineage(points.select(u.cast("double").alias("u"), v.cast("double").alias("v"), w.cast("double").alias("w")).where("u > 0 and v > 0 and w > 0").distinct())
+    n = box.count()
+    parts = min(MAX_CUTS, max(1, math.ceil(n / cell_rows)))
+    ends = box.agg(F.max("u"), F.max("w"), *[F.percentile_approx(c, [i / parts for i in range(1, parts)], 20 * parts) for c in ("u", "w") if parts > 1]).first()
+    cuts = [sorted(set(ends[2 + i] or [])) if parts > 1 else [] for i in (0, 1)]
+    edges = [F.array(*[F.lit(float(x)) for x in (0.0, *own, top or 0.0)]) for own, top in zip(cuts, ends)]
+    placed = box.select("*", position(F.col("u"), cuts[0], inclusive=True).alias("i"), position(F.col("w"), cuts[1], inclusive=True).alias("j"))
+
+    def stairs(by: str, keep: tuple[str, str]):
+        def run(table: pa.Table) -> pa.Table:
+            return table.take(pa.array(_stairs(*[table[c].to_numpy() for c in keep])))
+
+        return placed.groupBy("i", "j").applyInArrow(run, placed.schema).where(f"{by} > 0")
+
+    lower = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    aside = stairs("i", ("v", "w")).withColumn("i", lower("i")).withColumn("u", F.get(edges[0], F.col("i") + 1))
+    over = stairs("j", ("u", "v")).withColumn("j", lower("j")).withColumn("w", F.get(edges[1], F.col("j") + 1))
+    tops = placed.where("i > 0 and j > 0").groupBy("i", "j").agg(F.max("v").alias("v"))
+    tops = tops.withColumn("j", lower("j")).groupBy("i", "j").agg(F.max("v").alias("v"))
+    tops = tops.withColumn("i", lower("i")).groupBy("i", "j").agg(F.max("v").alias("v"))
+    corner = tops.select(F.get(edges[0], F.col("i") + 1).alias("u"), "v", F.get(edges[1], F.col("j") + 1).alias("w"), "i", "j")
+    low = [[0.0, *own] for own in cuts]
+
+    def sweep(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        return pa.table({"volume": [_swept(*[table[c].to_numpy() for c in ("u", "v", "w")], low[0][i], low[1][j])]})
+
+    cells = placed if parts == 1 else placed.unionByName(aside).unionByName(over).unionByName(corner)
+    return cells.groupBy("i", "j").applyInArrow(sweep, "volume double").agg(F.coalesce(F.sum("volume"), F.lit(0.0)).alias("hypervolume"))
 
 
 def group_accuracy(df: DataFrame, label: str, pred: str, columns: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ hub's whole neighbourhood to one task.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ from ..functions.lineage import cut_lineage
 from ..functions.skew import join_hot_keys, spread
 
 SLOT_EDGES = 50_000
+#: Rows of state of a batch of sources, and out-neighbours of a slot.
+STATE_ROWS, WEDGE_ENDS = 50_000_000, 2_000
 
 
 def edges(df: DataFrame, source: str, target: str, weight: str | None = None) -> DataFrame:
@@ -70,12 +72,13 @@ def pagerank(e: DataFrame, damping: float = 0.85, tol: float = 1e-6) -> DataFram
     while True:
         sent = rank.select("node", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "rank")
         got = links.join(sent, ["node", "slot"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        rank = cut_lineage(rank.join(got, "node", "left").select(
+        step = rank.join(got, "node", "left").select(
             "node", "slots", F.col("rank").alias("old"), (F.lit(base) + damping * F.coalesce("in", F.lit(0.0))).alias("rank")
-        ))
-        change = rank.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        rank = rank.drop("old")
-        if change < n * tol:
+        )
+        # the change is summed by the job that writes the round, so a round is one job
+        seen = Observation()
+        rank = cut_lineage(step.observe(seen, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change"))).drop("old")
+        if seen.get["change"] < n * tol:
             break
     links.unpersist()
     return rank.select("node", F.col("rank").alias("pagerank"))
@@ -127,51 +130,66 @@ def communities(components_of: DataFrame, top: int = 5, samples: int = 5) -> Dat
 # ---- betweenness ----
 
 
-def betweenness(e: DataFrame, pivots: int | None = None, seed: int = 42) -> DataFrame:
+def betweenness(e: DataFrame, pivots: int | None = None, seed: int = 42, state_rows: int = STATE_ROWS) -> DataFrame:
     """``node, betweenness`` (normalised) with weights as distances.
 
     Exact, or from a seeded hash sample of ``pivots`` source nodes. Weights must be above 0: edges without length
-    would make the shortest paths a cycle.
-    All sources advance together: distances by relaxation rounds, then path
-    counts forward and dependencies backward over the shortest-path edges.
+    would make the shortest paths a cycle. Sources go in batches, so that a batch holds about ``state_rows`` rows of
+    (source, node) at most, and only the sum per node outlives it. Edges of a hub are spread over slots.
     """
     if not e.where("u <> v and weight <= 0").isEmpty():
         raise ValueError("betweenness needs weights above 0")
-    nodes = cut_lineage(e.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    ends = e.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("deg"))
+    nodes = cut_lineage(ends.withColumn("slots", spread("deg", SLOT_EDGES)))
     n = nodes.count()
-    zero = nodes.select("node", F.lit(0.0).alias("betweenness"))
     if n <= 2:
-        return zero
-    links = both_ways(e).where("src <> dst").persist(StorageLevel.MEMORY_AND_DISK)
+        return nodes.select("node", F.lit(0.0).alias("betweenness"))
+    far = nodes.select(F.col("node").alias("dst"), F.col("slots").alias("dst_slots"), F.col("deg").alias("dst_deg"))
+    near = nodes.select(F.col("node").alias("src"), "slots", F.col("deg").alias("src_deg"))
+    links = join_hot_keys(join_hot_keys(both_ways(e).where("src <> dst"), far, ["dst"], "dst_deg"), near, ["src"], "src_deg")
+    links = cut_lineage(links.select("src", F.pmod(F.xxhash64("dst"), "slots").cast("int").alias("slot"), "dst", "dst_slots", "weight"))
     k = n if pivots is None else min(pivots, n)
-    sources = nodes.orderBy(uniform("node", seed=seed), "node").limit(k)
-    dist = cut_lineage(sources.select(F.col("node").alias("s"), "node", F.lit(0.0).alias("d")))
+    chosen = nodes.orderBy(uniform("node", seed=seed), "node").limit(k) if k < n else nodes
+    chosen = cut_lineage(chosen.select(F.col("node").alias("s"), "node", "slots"))
+    batches, total = max(1, -(-k * n // state_rows)), None
+    for i in range(batches):
+        part = _dependencies(links, chosen.where(F.pmod(F.xxhash64("s", F.lit(seed)), F.lit(batches)) == i))
+        total = part if total is None else cut_lineage(total.unionByName(part).groupBy("node").agg(F.sum("b").alias("b")))
+    scale = 1.0 / ((n - 1.0) * (n - 2.0)) * (n / k if k < n else 1.0)
+    return nodes.select("node").join(total, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _dependencies(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """``node, b``: dependencies of all ``sources(s, node, slots)`` on each other node, summed.
+
+    The sources advance together: distances by relaxation rounds, then path counts forward and dependencies backward
+    over the shortest-path edges.
+    """
+    dist = cut_lineage(sources.select("s", "node", "slots", F.lit(0.0).alias("d")))
     active = dist
     while True:
-        step = active.join(links, active["node"] == links["src"]).select("s", F.col("dst").alias("node"), (F.col("d") + F.col("weight")).alias("d"))
+        sent = active.select("s", F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "d")
+        step = sent.join(links, ["src", "slot"]).select("s", F.col("dst").alias("node"), F.col("dst_slots").alias("slots"), (F.col("d") + F.col("weight")).alias("d"))
         best = dist.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False))).groupBy("s", "node").agg(
-            F.min("d").alias("d"), F.min(F.when(F.col("old"), F.col("d"))).alias("was")
+            F.max("slots").alias("slots"), F.min("d").alias("d"), F.min(F.when(F.col("old"), F.col("d"))).alias("was")
         )
         best = cut_lineage(best.withColumn("moved", F.col("was").isNull() | (F.col("d") < F.col("was"))))
-        active, dist = best.where("moved").select("s", "node", "d"), best.select("s", "node", "d")
+        active, dist = best.where("moved").select("s", "node", "slots", "d"), best.select("s", "node", "slots", "d")
         if active.isEmpty():
             break
-    near = dist.select("s", F.col("node").alias("src"), F.col("d").alias("ds"))
-    dag = links.join(near, "src").join(dist.select("s", F.col("node").alias("dst"), F.col("d").alias("dd")), ["s", "dst"]).where(
+    near = dist.select("s", F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("d").alias("ds"))
+    dag = links.join(near, ["src", "slot"]).join(dist.select("s", F.col("node").alias("dst"), F.col("d").alias("dd")), ["s", "dst"]).where(
         F.col("ds") + F.col("weight") == F.col("dd")
     ).select("s", "src", "dst")
     dag = cut_lineage(dag)
-    paths = _walk(dag, sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("x")), "src", "dst")
+    paths = _walk(dag, sources.select("s", "node", F.lit(1.0).alias("x")), "src", "dst")
     ratio = dag.join(paths.select("s", F.col("node").alias("src"), F.col("x").alias("ps")), ["s", "src"]).join(
         paths.select("s", F.col("node").alias("dst"), F.col("x").alias("pd")), ["s", "dst"]
     ).select("s", "src", "dst", (F.col("ps") / F.col("pd")).alias("share"))
     ratio = cut_lineage(ratio)
     first = ratio.groupBy("s", F.col("src").alias("node")).agg(F.sum("share").alias("x"))
     dep = _walk(ratio, first, "dst", "src", "share")
-    scale = 1.0 / ((n - 1.0) * (n - 2.0)) * (n / k if k < n else 1.0)
-    total = dep.where("s <> node").groupBy("node").agg((F.sum("x") * scale).alias("b"))
-    links.unpersist()
-    return nodes.join(total, "node", "left").select("node", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
+    return dep.where("s <> node").groupBy("node").agg(F.sum("x").alias("b"))
 
 
 def _walk(dag: DataFrame, start: DataFrame, here: str, there: str, share: str | None = None) -> DataFrame:
@@ -201,11 +219,14 @@ def triangles(e: DataFrame) -> DataFrame:
     ends = join_hot_keys(with_u.withColumnRenamed("v", "node"), deg, ["node"], "deg").select("u", "du", F.col("node").alias("v"), F.col("deg").alias("dv"))
     up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
     arcs = cut_lineage(ends.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("b")))
-    out = arcs.groupBy("a").agg(F.collect_list("b").alias("near"))
-    into = arcs.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("deg"))
-    far = out.select(F.col("a").alias("node"), F.col("near").alias("far")).join(into, "node")
-    pairs = join_hot_keys(arcs.join(out, "a").withColumnRenamed("b", "node"), far, ["node"], "deg")
-    closed = pairs.select("a", F.col("node").alias("b"), F.explode(F.array_intersect("near", "far")).alias("c"))
+    # each pair of a node's out-neighbours is a wedge; those of a heavy node are dealt over slots by their first end
+    heads = cut_lineage(arcs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").withColumn("slots", spread("n", WEDGE_ENDS)))
+    fan = join_hot_keys(arcs, heads, ["a"], "n")
+    one = fan.select("a", F.pmod(F.xxhash64("b"), "slots").cast("int").alias("slot"), "b")
+    other = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("b").alias("c"))
+    wedges = one.join(other, ["a", "slot"]).where("b < c").select("a", "b", "c")
+    ends = arcs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("c"))
+    closed = wedges.join(ends, ["b", "c"], "left_semi")
     return closed.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
 
 

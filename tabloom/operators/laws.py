@@ -7,17 +7,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, ident, let, numeric_columns
+from ..functions.lineage import cut_lineage
+from ..functions.ordering import running_totals
+from ..functions.skew import join_hot_keys
 
 SINGULAR = 1e-4
 TOLERANCE = 1e-6
+#: Different x of a part that one task pools, and thresholds of a larger part at a time besides its mean.
+POOL_ROWS, CUTS = 100_000, 7
 
 
 @dataclass
@@ -263,10 +268,67 @@ def simplex(c: str | Column) -> Column:
     return F.when(F.size(v) == 1, F.array(F.lit(1.0))).otherwise(moved)
 
 
-def monotone_fit(df: DataFrame, x: str, y: str, weight: str | None = None, increasing: bool = True) -> DataFrame:
-    """Isotonic (or antitonic) least-squares fit of ``y`` along ``x`` as a ``fitted`` column."""
-    rows = df.withColumns({"_x": finite(x), "_y": finite(y)}).where("_x is not null and _y is not null")
-    iso = IsotonicRegression(featuresCol="_x", labelCol="_y", predictionCol="fitted", isotonic=increasing)
-    if weight:
-        iso = iso.setWeightCol(weight)
-    return iso.fit(rows).transform(rows).drop("_x", "_y")
+def _pooled(y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Non-decreasing weighted least-squares fit of a short ordered sequence: adjacent violators are pooled."""
+    means, weights, sizes = [], [], []
+    for value, weight in zip(y.tolist(), w.tolist()):
+        size = 1
+        while means and means[-1] >= value:
+            total = weights[-1] + weight
+            value = (means.pop() * weights[-1] + value * weight) / total
+            weights.pop()
+            weight, size = total, size + sizes.pop()
+        means.append(value)
+        weights.append(weight)
+        sizes.append(size)
+    return np.repeat(means, sizes)
+
+
+def monotone_fit(df: DataFrame, x: str, y: str, weight: str | None = None, increasing: bool = True, block: int = POOL_ROWS) -> DataFrame:
+    """Isotonic (or antitonic) least-squares fit of ``y`` along ``x`` as a ``fitted`` column.
+
+    Rows of one ``x`` get one value. A fit lies at or below a threshold t up to the place where the running sum of
+    w (y - t) is least, and that place is one aggregate over all rows. So thresholds cut the axis into independent
+    parts, again and again, until a part has at most ``block`` different ``x`` or is one pool (no running sum about its
+    mean falls below 0). Only parts of bounded size are then pooled, each in its own task. Rows without finite ``x`` and
+    ``y``, or with a weight that isn't above 0, are left out.
+    """
+    w = finite(weight) if weight else F.lit(1.0)
+    rows = df.withColumns({"_x": finite(x), "_y": finite(y), "_w": w}).where("_x is not null and _y is not null and _w > 0")
+    sign = 1.0 if increasing else -1.0
+    points = rows.groupBy("_x").agg(F.sum("_w").alias("w"), (F.sum(F.col("_w") * F.col("_y")) * sign).alias("s"), F.count("*").alias("rows"))
+    points = cut_lineage(running_totals(cut_lineage(points), "_x", ["w", "s"]).select("_x", "w", "s", "rows", "cum_w", "cum_s", F.lit(0).cast("long").alias("part"), F.lit(None).cast("double").alias("pool")))
+    steps = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
+    while True:
+        parts = points.where("pool is null").groupBy("part").agg(
+            F.count("*").alias("n"), F.sum("w").alias("pw"), F.sum("s").alias("ps"), F.percentile_approx(F.col("s") / F.col("w"), steps, 1000).alias("q"),
+            F.min_by(F.struct((F.col("cum_w") - F.col("w")).alias("w"), (F.col("cum_s") - F.col("s")).alias("s")), "_x").alias("base"))
+        cuts = F.array_sort(F.array_union(F.col("q"), F.array(F.col("ps") / F.col("pw"))))
+        # a sum this close to 0 is rounding
+        least = -1e-13 * F.col("pw") * F.array_max(F.transform(cuts, lambda c: F.abs(c)))
+        large = cut_lineage(parts.where(F.col("n") > block).select(F.col("part").alias("l_part"), (F.col("ps") / F.col("pw")).alias("mean"), "base", cuts.alias("cuts"), least.alias("least")))
+        if large.isEmpty():
+            break
+        asked = points.where("pool is null").join(large, F.col("part") == F.col("l_part"))
+        sums = lambda i: F.col("cum_s") - F.col("base.s") - F.get("cuts", F.lit(i)) * (F.col("cum_w") - F.col("base.w"))
+        # for each threshold the last x of the rows below it; none where no running sum is below 0
+        low = [F.min(F.struct(sums(i).alias("v"), "_x")) for i in range(CUTS + 1)]
+        ends = F.array(*[F.when(c["v"] < F.max("least"), c["_x"]) for c in low])
+        found = asked.groupBy("part").agg(F.array_compact(ends).alias("ends"), F.max("_x").alias("last"), F.max("mean").alias("mean"))
+        found = cut_lineage(found.select(F.col("part").alias("f_part"), "mean", F.filter("ends", lambda e: e < F.col("last")).alias("ends")))
+        moved = points.join(found, F.col("part") == F.col("f_part"), "left")
+        among = F.size(F.filter("ends", lambda e: e < F.col("_x")))
+        one = F.size("ends") == 0
+        points = cut_lineage(moved.select(
+            "_x", "w", "s", "rows", "cum_w", "cum_s", F.xxhash64("part", F.coalesce(among, F.lit(0))).alias("part"),
+            F.coalesce("pool", F.when(one, F.col("mean"))).alias("pool")))
+
+    def pool(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["x"].to_numpy())
+        s, w, n = (table[c].to_numpy()[order] for c in ("s", "w", "rows"))
+        return pa.table({"f_x": table["x"].to_numpy()[order], "value": _pooled(s / w, w), "rows": n})
+
+    short = points.where("pool is null").select("part", F.col("_x").alias("x"), "s", "w", "rows")
+    fit = short.groupBy("part").applyInArrow(pool, "f_x double, value double, rows long").unionByName(points.where("pool is not null").select(F.col("_x").alias("f_x"), F.col("pool").alias("value"), "rows"))
+    fit = cut_lineage(fit.select(F.col("f_x").alias("_x"), (F.col("value") * sign).alias("fitted"), F.col("rows").alias("_n")))
+    return join_hot_keys(rows, fit, ["_x"], "_n").select(*[ident(c) for c in df.columns], "fitted")

@@ -11,11 +11,11 @@ import pandas as pd
 from pyspark.ml import classification as mc
 from pyspark.ml import regression as mr
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import clip, finite, ident, is_numeric, kind_of
 from ..functions.hashing import uniform
@@ -24,6 +24,7 @@ from ..functions.linear import least_squares, moments
 from ..functions.quantiles import quantile_map
 from . import evaluate as ev
 from .features import LIMIT, balanced_weights, categories, clean_category, ordinal_codes, ordinal_encode, stratified_split
+from .nearest import EUCLID, nearest
 
 # ---- preprocessing ----
 
@@ -127,8 +128,30 @@ def estimator(key: str, task: str, classes: int = 2, width: int = 1, rows: int =
     raise ValueError(f"no {task} model {key!r}")
 
 
+class NeighbourModel:
+    """k nearest neighbours behind the interface of a fitted MLlib model; the training rows stay a distributed table."""
+
+    def __init__(self, train: DataFrame, task: str, classes: int, k: int = 5):
+        self.train, self.task, self.classes, self.k = cut_lineage(train.select("features", "label")), task, classes, k
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``prediction`` and, for classes, ``probability``: the neighbours' shares, ties to the smaller class."""
+        rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+        near = _neighbours(self.train, rows, "_row", self.k)
+        if self.task == "regression":
+            found = near.groupBy("_row").agg(F.avg("label").alias("prediction"))
+        else:
+            share = F.array(*[F.avg((F.col("label") == c).cast("double")) for c in range(self.classes)])
+            best = F.array_max(F.transform("p", lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
+            found = near.groupBy("_row").agg(share.alias("p")).select("_row", array_to_vector("p").alias("probability"), (-best["i"]).cast("double").alias("prediction"))
+        return rows.join(found, "_row").drop("_row")
+
+
 def fit_model(key: str, train: DataFrame, task: str = "classification", weighted: bool = False, seed: int = 42):
-    """Fit one catalogue model on ``features, label`` (balanced row weights on request)."""
+    """Fit one catalogue model on ``features, label`` (balanced row weights on request; neighbours have none)."""
+    if key == "knn":
+        top = train.agg(F.max("label")).first()[0] if task == "classification" else 0
+        return NeighbourModel(train, task, int(top or 0) + 1)
     s = train.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("sd"), F.max("label").alias("top")).first()
     classes = int(s["top"]) + 1 if task == "classification" else 0
     width = len(train.select(vector_to_array("features").alias("v")).first()["v"])
@@ -152,38 +175,16 @@ def scored(model, df: DataFrame, probs: str = "probs") -> DataFrame:
     return out
 
 
-def nearest_neighbours(train: DataFrame, test: DataFrame, key: str, task: str = "classification", k: int = 5, block: int = 2048) -> DataFrame:
-    """k-nearest-neighbour vote (or mean) per test row.
+def _neighbours(train: DataFrame, test: DataFrame, key: str, k: int) -> DataFrame:
+    """``key, label`` of the k nearest training rows, ties by the smaller label; both tables stay distributed."""
+    points = lambda df, c, name: df.select(ident(c).alias(name), vector_to_array("features").alias("v"))
+    near = nearest(points(train, "label", "d"), "d", "v", points(test, key, "q"), "q", "v", k, EUCLID)
+    return near.select(F.col("q").alias(key), F.col("d").alias("label"))
 
-    Test rows go through in bounded blocks; each train task returns its own k
-    best per test row, so a shuffle only carries k rows per task and test row.
-    """
-    n = test.count()
-    parts = max(1, -(-n // block))
-    kind = test.schema[key].dataType.simpleString()
-    found = None
-    for b in range(parts):
-        mine = test.where(F.pmod(F.xxhash64(ident(key)), F.lit(parts)) == b) if parts > 1 else test
-        rows = mine.select(ident(key).alias("k"), vector_to_array("features").alias("v")).collect()
-        if not rows:
-            continue
-        ids, q = [r["k"] for r in rows], np.array([r["v"] for r in rows], dtype=float)
-
-        def near(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["v"].to_numpy()).astype(float)
-                d = np.maximum((x * x).sum(1)[:, None] + (q * q).sum(1)[None] - 2.0 * x @ q.T, 0.0)
-                take = min(k, len(x))
-                top = np.argpartition(d, take - 1, axis=0)[:take]
-                col = np.broadcast_to(np.arange(len(ids)), top.shape)
-                yield pd.DataFrame({key: [ids[j] for j in col.ravel()], "d": d[top, col].ravel(), "label": pdf["label"].to_numpy()[top.ravel()]})
-
-        part = train.select(vector_to_array("features").alias("v"), "label").mapInPandas(near, f"`{key}` {kind}, d double, label double")
-        found = part if found is None else found.unionByName(part)
-    best = found.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "label"))), 1, k).alias("near"))
-    votes = best.select(key, F.explode("near").alias("e")).select(key, "e.label")
+
+def nearest_neighbours(train: DataFrame, test: DataFrame, key: str, task: str = "classification", k: int = 5) -> DataFrame:
+    """k-nearest-neighbour vote (ties to the smaller label) or mean per test row."""
+    votes = _neighbours(train, test, key, k)
     if task == "regression":
         return votes.groupBy(key).agg(F.avg("label").alias("prediction"))
     tally = votes.groupBy(key, "label").agg(F.count("*").alias("n"))
@@ -295,11 +296,18 @@ def ensemble(models: Sequence, df: DataFrame, task: str = "classification") -> D
     return out.withColumn("prediction", (-best["i"]).cast("double"))
 
 
-def best_ensemble(train: DataFrame, test: DataFrame, models: Sequence[str], task: str = "classification", top: int = 3) -> tuple[DataFrame, list[str]]:
-    """The average of the ``top`` models by held-out score on the test rows, and which they are."""
-    board, fitted = leaderboard(train, test, models, task)
-    best = [r["model"] for r in board.collect()[:top]]
-    return ensemble([fitted[k] for k in best], test, task), best
+def best_ensemble(train: DataFrame, test: DataFrame, models: Sequence[str], keys: Sequence[str], task: str = "classification", top: int = 3, folds: int = 3, seed: int = 42) -> tuple[DataFrame, list[str]]:
+    """The average of the ``top`` models by mean score over folds of the training rows, and which they are.
+
+    The members are fitted on all training rows; the test rows have no say in the choice.
+    """
+    marked, parts = cut_lineage(_folds(train, keys, folds, seed)), None
+    for f in range(folds):
+        board = leaderboard(marked.where(F.col("fold") != f).drop("fold"), marked.where(F.col("fold") == f).drop("fold"), models, task)[0]
+        parts = board if parts is None else parts.unionByName(board)
+    mean = parts.groupBy("model").agg(F.avg("score").alias("score")).orderBy(F.col("score").desc(), "model").limit(top)
+    best = [r["model"] for r in mean.collect()]
+    return ensemble([fit_model(k, train, task) for k in best], test, task), best
 
 
 def leaderboard(train: DataFrame, test: DataFrame, models: Sequence[str], task: str = "classification", weighted: bool = False) -> tuple[DataFrame, dict]:
@@ -437,29 +445,54 @@ def tree_sql(model, columns: Sequence[str]) -> str:
 # ---- anomalies and what-if ----
 
 
+def _pairwise_correlation(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, standard deviations and correlations, each from the rows that have the columns it is about."""
+    x = [finite(c) for c in cols]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    s = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(x)],
+               *[F.corr(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs if i < j]).first()
+    mean = np.array([s[f"m{i}"] or 0.0 for i in range(len(cols))])
+    std = np.array([s[f"s{i}"] or 0.0 for i in range(len(cols))])
+    corr = np.eye(len(cols))
+    for i, j in pairs:
+        if i < j:
+            c = s[f"c{i}_{j}"]
+            corr[i, j] = corr[j, i] = c if c is not None and np.isfinite(c) else 0.0
+    return mean, np.where(std > 0, std, 1.0), corr
+
+
 def reconstruction_anomalies(df: DataFrame, columns: Sequence[str], k: int = 2, quantile: float = 0.95) -> tuple[DataFrame, DataFrame]:
-    """PCA reconstruction: rows with ``error`` and ``anomaly`` (above the quantile), and mean error per feature."""
+    """PCA reconstruction: rows with ``error`` and ``anomaly`` (above the quantile), and mean error per feature.
+
+    Components come from pairwise-complete correlations. A row with missing features is placed by least squares on the
+    features it has, and its error is their mean; a row without any has no error and is no anomaly.
+    """
     cols = list(columns)
-    rows = df.dropna(subset=cols)
-    raw = VectorAssembler(inputCols=cols, outputCol="_v").transform(rows.withColumns({c: finite(c) for c in cols}))
-    scaled = StandardScaler(withMean=True, inputCol="_v", outputCol="_z").fit(raw).transform(raw)
-    pca = PCA(k=min(k, len(cols)), inputCol="_z", outputCol="_p").fit(scaled)
-    pc = pca.pc.toArray()
-    z, p = vector_to_array("_z"), vector_to_array("_p")
-    x = pca.transform(scaled).withColumn("_za", z).withColumn("_pa", p)
-    errs = []
-    for i in range(len(cols)):
-        back = F.lit(0.0)
-        for j in range(pc.shape[1]):
-            back = back + F.lit(float(pc[i, j])) * F.col("_pa")[j]
-        errs.append(F.pow(F.col("_za")[i] - back, 2))
-    x = x.withColumn("_e", F.array(*errs)).withColumn("error", F.aggregate("_e", F.lit(0.0), lambda a, b: a + b) / float(len(cols)))
+    mean, std, corr = _pairwise_correlation(df, cols)
+    pc = np.linalg.eigh(corr)[1][:, ::-1][:, :min(k, len(cols))]
+
+    def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            z = (np.array(pdf["_x"].tolist(), dtype=float).reshape(len(pdf), len(cols)) - mean) / std
+            seen = np.isfinite(z)
+            z = np.where(seen, z, 0.0)
+            # the normal equations of each row over its own features, a little ridge for rows with few
+            normal = np.einsum("ri,ij,ik->rjk", seen, pc, pc) + 1e-9 * np.eye(pc.shape[1])
+            place = np.linalg.solve(normal, (z @ pc)[:, :, None])[:, :, 0]
+            gap = np.where(seen, (z - place @ pc.T) ** 2, np.nan)
+            yield pdf.drop(columns="_x").assign(_e=[[None if np.isnan(v) else v for v in row] for row in gap.tolist()])
+
+    rows = df.withColumn("_x", F.array(*[F.coalesce(finite(c), F.lit(float("nan"))) for c in cols]))
+    schema = T.StructType([*df.schema.fields, T.StructField("_e", T.ArrayType(T.DoubleType()))])
+    x = rows.mapInPandas(errors, schema)
+    known = F.filter("_e", lambda v: v.isNotNull())
+    x = cut_lineage(x.withColumn("error", F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, b: a + b), F.size(known).cast("double"))))
     cut = quantile_map(x, ["error"], [quantile])["error"][0]
-    out = x.withColumn("anomaly", F.col("error") > cut)
-    per = out.agg(*[F.avg(F.col("_e")[i]).alias(f"e{i}") for i in range(len(cols))]).select(
+    out = x.withColumn("anomaly", F.coalesce(F.col("error") > cut, F.lit(False)))
+    per = x.agg(*[F.avg(F.col("_e")[i]).alias(f"e{i}") for i in range(len(cols))]).select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"e{i}").alias("error")) for i, c in enumerate(cols)])).alias("e")
     ).select("e.*").orderBy(F.col("error").desc(), "feature")
-    return out.drop("_v", "_z", "_p", "_za", "_pa", "_e"), per
+    return out.drop("_e"), per
 
 
 def what_if(model, df: DataFrame, prep: Preprocessor, overrides: dict[str, object]) -> DataFrame:

@@ -2,108 +2,86 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import ident
+from ..functions.lineage import cut_lineage
+from ..functions.skew import join_hot_keys, spread
+from .nearest import nearest
 from .privacy import guarded_columns
 from .profile import readiness, roles, target_task
 
-QUERY_BLOCK = 512
-
-
-def _blocks(queries: DataFrame, key: str) -> Iterator[list]:
-    """Queries in bounded blocks through the driver, whatever their number."""
-    n = queries.count()
-    parts = max(1, -(-n // QUERY_BLOCK))
-    for b in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64(ident(key)), F.lit(parts)) == b).collect() if parts > 1 else queries.collect()
-        if rows:
-            yield rows
-
-
-def _top(found: DataFrame, query: str, key: str, k: int) -> DataFrame:
-    w = W.partitionBy(query).orderBy(F.col("score").desc(), key)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _best_per_query(s: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of each column's k largest entries above ``floor``, ties with the k-th included."""
-    if len(s) > k:
-        cut = np.partition(s, len(s) - k, axis=0)[len(s) - k]
-        return np.nonzero((s >= cut) & (s > floor))
-    return np.nonzero(s > floor)
+#: Index rows of a word and size class that one task takes, seeds looked at per word, and rare words that give seeds.
+POSTINGS, SEEDS, SEED_WORDS = 100_000, 64, 8
 
 
 def vector_search(docs: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = 5) -> DataFrame:
-    """Exhaustive cosine top-k per query: each batch is one matrix product and passes on only its own best k."""
-    kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}[key]
-    qkind = {f.name: f.dataType.simpleString() for f in queries.schema.fields}[query_key]
-    out = None
-    for rows in _blocks(queries.select(ident(query_key).alias("q"), ident(query_vector).alias("v")), "q"):
-        ids = [r["q"] for r in rows]
-        m = np.array([r["v"] for r in rows], dtype=float)
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
-        def score(batches: Iterator[pd.DataFrame], m=m, ids=ids) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["v"].to_numpy()).astype(float)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                s = x @ m.T
-                row, col = _best_per_query(s, k, -np.inf)
-                yield pd.DataFrame({query_key: [ids[j] for j in col], key: pdf["k"].to_numpy()[row], "score": s[row, col]})
-
-        part = docs.select(ident(key).alias("k"), ident(vector).alias("v")).where("v is not null").mapInPandas(score, f"`{query_key}` {qkind}, `{key}` {kind}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], f"`{query_key}` {qkind}, `{key}` {kind}, score double, rank int")
-    return _top(out, query_key, key, k)
+    """Exact cosine top-k per query between two distributed tables; see :func:`.nearest.nearest`."""
+    return nearest(docs, key, vector, queries, query_key, query_vector, k)
 
 
 def token_set(c):
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0)))
 
 
+def _size_class(n):
+    """Classes of set sizes, each twice as wide as the one before."""
+    return F.floor(F.log2(n.cast("double"))).cast("int")
+
+
 def lexical_search(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int = 5) -> DataFrame:
-    """Jaccard top-k over word sets; documents without a common word are left out.
+    """Exact Jaccard top-k over word sets; documents without a common word are left out.
 
-    Word sets are built in SQL; a batch then looks up its words in the block's
-    word-by-query table and passes on only the best k documents per query.
+    An inverted index lists the documents of each word that some query has. The shortest documents of a query's rarest
+    words are compared first; the k-th best of them is a floor under the query's results. With its words in order of
+    rarity, a document that shares none of the first i-1 words can reach the floor only if it is short enough, so the
+    i-th word is looked up among documents of such sizes alone: hardly any for frequent words. Frequent words are also
+    split over tasks. Pairs found are compared by their whole sets. Rows are told apart by their number, so keys may repeat.
     """
-    kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}[key]
-    qkind = {f.name: f.dataType.simpleString() for f in queries.schema.fields}[query_key]
-    base = docs.select(ident(key).alias("k"), token_set(ident(text)).alias("d")).where("d is not null")
-    out = None
-    for rows in _blocks(queries.select(ident(query_key).alias("q"), token_set(ident(query_text)).alias("t")).where("t is not null"), "q"):
-        ids = [r["q"] for r in rows]
-        words = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["t"]}))}
-        has = np.zeros((len(words) + 1, len(rows)), dtype=np.int32)
-        for j, r in enumerate(rows):
-            has[[words[w] for w in r["t"]], j] = 1
-        size = has.sum(0)
-
-        def score(batches: Iterator[pd.DataFrame], ids=ids, words=words, has=has, size=size) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                n = np.array([len(d) for d in pdf["d"]])
-                both = np.stack([has[[words[w] for w in d if w in words]].sum(0) for d in pdf["d"]])
-                s = both / np.maximum(n[:, None] + size[None, :] - both, 1)
-                row, col = _best_per_query(s, k, 0.0)
-                yield pd.DataFrame({query_key: [ids[j] for j in col], key: pdf["k"].to_numpy()[row], "score": s[row, col]})
-
-        part = base.mapInPandas(score, f"`{query_key}` {qkind}, `{key}` {kind}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], f"`{query_key}` {qkind}, `{key}` {kind}, score double, rank int")
-    return _top(out, query_key, key, k)
+    numbered = lambda df, c, t, names: cut_lineage(df.select(ident(c).alias(names[0]), token_set(ident(t)).alias(names[1])).where(
+        F.size(names[1]) > 0).withColumn(names[2], F.monotonically_increasing_id()).withColumn(names[3], F.size(names[1])))
+    d = numbered(docs, key, text, ("k", "d", "doc", "nd"))
+    q = numbered(queries, query_key, query_text, ("q", "t", "ask", "nq"))
+    asked = q.select(F.explode("t").alias("word")).distinct()
+    words = d.select("doc", "nd", F.explode("d").alias("word"))
+    df = cut_lineage(words.groupBy("word").agg(F.count("*").alias("df")).join(asked, "word", "left_semi"))
+    # a frequent word is split over slots
+    index = cut_lineage(join_hot_keys(words, df, ["word"], "df").select(
+        "word", _size_class(F.col("nd")).alias("class"), F.pmod(F.xxhash64("doc"), spread("df", POSTINGS)).cast("int").alias("slot"), "doc", "nd"))
+    lists = index.select(F.col("word").alias("l_word"), "class", "slot").distinct()
+    terms = q.select("ask", "nq", F.explode("t").alias("word")).join(df, "word")
+    order = W.partitionBy("ask").orderBy("df", "word")
+    # i counts the query's words from the rarest; words of no document come first of all and only raise it
+    missing = F.col("nq") - F.count("*").over(W.partitionBy("ask"))
+    terms = cut_lineage(terms.select("ask", "nq", "word", "df", F.row_number().over(order).alias("r"), (F.row_number().over(order) + missing).alias("i")))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(q.select("ask", "t"), "ask").join(d.select("doc", "d", "k"), "doc")
+        shared = F.size(F.array_intersect("t", "d")).cast("double")
+        return both.select("ask", "doc", "k", (shared / (F.size("t") + F.size("d") - shared)).alias("score"))
+
+    best = W.partitionBy("ask").orderBy(F.col("score").desc(), "k")
+    # a row of the index is a seed if it is among the shortest of its word; ranks are cut off before the shuffle
+    short = W.partitionBy("word").orderBy("nd", "doc")
+    seeds = index.select("word", "doc", F.row_number().over(short).alias("at")).where(F.col("at") <= SEEDS)
+    first = compared(terms.where(F.col("r") <= SEED_WORDS).select("ask", "word").join(seeds, "word").select("ask", "doc").distinct())
+    floor = first.select("ask", "score", F.row_number().over(best).alias("at")).where(F.col("at") == k).select(F.col("ask").alias("f_ask"), (F.col("score") * (1 - 1e-12)).alias("floor"))
+    bounded = terms.join(floor, F.col("ask") == F.col("f_ask"), "left")
+    # sharing words i to nq at most, a set of nd words has a score of at most o / (nq + nd - o)
+    o = F.col("nq") - F.col("i") + 1
+    longest = F.when(F.col("floor").isNotNull(), F.floor(o * (1 + F.col("floor")) / F.col("floor") - F.col("nq") + 1e-6))
+    shortest = F.coalesce(F.ceil(F.col("floor") * F.col("nq") - 1e-6), F.lit(1))
+    probes = bounded.select("ask", "word", longest.alias("longest"), shortest.alias("shortest"))
+    probes = probes.join(lists, (F.col("word") == F.col("l_word")) & (F.col("class") >= _size_class(F.greatest("shortest", F.lit(1)))) & (
+        F.col("longest").isNull() | ((F.col("longest") >= 1) & (F.col("class") <= _size_class(F.greatest("longest", F.lit(1)))))))
+    met = probes.join(index, ["word", "class", "slot"]).where((F.col("longest").isNull() | (F.col("nd") <= F.col("longest"))) & (F.col("nd") >= F.col("shortest")))
+    found = compared(met.select("ask", "doc").distinct())
+    ranked = found.select("ask", "k", "score", F.row_number().over(best).alias("rank")).where(F.col("rank") <= k)
+    return ranked.join(q.select("ask", "q"), "ask").select(F.col("q").alias(query_key), F.col("k").alias(key), "score", "rank")
 
 
 def corpus(df: DataFrame, target: str | None = None, glossary: DataFrame | None = None, protected: Sequence[str] | None = None) -> DataFrame:

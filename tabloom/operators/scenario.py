@@ -1,18 +1,21 @@
 """Counterfactual search, actionable recourse and stress scenarios over whole tables.
 
 ``score`` is any function that adds a column ``p`` (probability of the wanted
-class) to a table of features, so models and plain expressions both work.
+class) to a table of features, so models and plain expressions both work.  A
+:class:`RowScore` gives it as an expression of the features; a search then runs
+inside each row, in one map stage, and no round shuffles anything.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import corr, finite, ident
+from ..functions.columns import corr, finite, ident, let
 from ..functions.hashing import normal
 from ..functions.lineage import cut_lineage
 from ..functions.linear import moments
@@ -27,6 +30,8 @@ SCENARIOS: dict[str, dict[str, float]] = {
     "BLACK_SWAN_SHOCK": {"volatility_multiplier": 2.5, "general_shock_std": 0.30},
 }
 STEPS = [0.25, 0.5, 1.0, 1.5, 2.0, 3.0]
+# Rounds of a search inside a row between two looks at which rows still move.
+ROW_ROUNDS = 100
 
 
 def feature_ranges(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float, float]]:
@@ -44,20 +49,84 @@ def _candidates(state: DataFrame, features: Sequence[str], moves: list[tuple[str
     return state.select(*[ident(c) for c in keep], F.explode(items).alias("_m")).select(*[ident(c) for c in keep], "_m.*")
 
 
+@dataclass(frozen=True)
+class RowScore:
+    """A score as a column expression of named features."""
+
+    of: Callable[[Mapping[str, Column]], Column]
+    features: Sequence[str]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("p", self.of({c: ident(c) for c in self.features}))
+
+
+def _best(state: Column, cols: Sequence[str], moves: list[tuple[str, Callable[[Column], Column]]], score: RowScore, rank: Callable[[Column, Column, Column], Column]) -> Column:
+    """The move of least ``rank(candidate, p, number)`` from ``state``: a struct with the features and ``p``."""
+    options = F.array(*[F.struct(F.lit(i).alias("move"), *[(new(state[c]) if c == f else state[c]).alias(c) for c in cols]) for i, (f, new) in enumerate(moves)])
+    scored = F.transform(options, lambda x: let(score.of({c: x[c] for c in cols}), lambda p: F.struct(rank(x, p, x["move"]).alias("rank"), *[x[c].alias(c) for c in cols], p.alias("p"))))
+    return F.array_min(scored)
+
+
+def _row_counterfactuals(start: DataFrame, cols: Sequence[str], key: str, score: RowScore, wanted: float, rng: dict, step: float) -> DataFrame:
+    """The coordinate search inside each row, in runs of ``ROW_ROUNDS`` rounds, until no row moves any more.
+
+    A row has ended when it reaches ``wanted`` or comes back to where it was: the place kept for that is renewed after
+    1, 2, 4, 8 ... rounds, so a cycle of any length is noticed.
+    """
+    moves = []
+    for c in cols:
+        sd, lo, hi = rng[c]
+        moves += [(c, lambda x, sd=sd, hi=hi: F.least(x + step * sd, F.lit(hi))), (c, lambda x, sd=sd, lo=lo: F.greatest(x - step * sd, F.lit(lo)))]
+
+    def rank(x: Column, p: Column, move: Column) -> Column:
+        dist = F.lit(0.0)
+        for c in cols:
+            dist = dist + F.pow((x[c] - ident(f"_o_{c}")) / rng[c][0], 2)
+        hit = p >= wanted
+        return F.struct((~hit).alias("miss"), F.when(hit, move.cast("double")).otherwise(1.0 - p + 0.05 * dist).alias("r"), move.alias("m"))
+
+    def advance(s: Column, _: Column) -> Column:
+        def moved(b: Column) -> Column:
+            back = F.lit(True)
+            for c in cols:
+                back = back & (F.abs(b[c] - s["kept"][c]) <= 1e-9 * rng[c][0])
+            renew = s["n"] + 1 >= s["due"]
+            kept = F.struct(*[F.when(renew, b[c]).otherwise(s["kept"][c]).alias(c) for c in cols])
+            return F.struct(*[b[c].alias(c) for c in cols], b["p"].alias("p"), kept.alias("kept"), (s["n"] + 1).alias("n"),
+                            F.when(renew, s["due"] * 2).otherwise(s["due"]).alias("due"), back.alias("ended"))
+
+        return F.when(s["ended"] | (s["p"] >= wanted), s).otherwise(let(_best(s, cols, moves, score, rank), moved))
+
+    state = start.withColumn("_s", F.struct(*[ident(c).alias(c) for c in cols], F.col("p").cast("double").alias("p"), F.struct(*[ident(c).alias(c) for c in cols]).alias("kept"),
+                                            F.lit(0).alias("n"), F.lit(1).alias("due"), F.lit(False).alias("ended"))).select(ident(key), *[ident(f"_o_{c}") for c in cols], "_s")
+    done = None
+    while True:
+        state = cut_lineage(state.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.lit(ROW_ROUNDS)), F.col("_s"), advance)))
+        over = F.col("_s.ended") | (F.col("_s.p") >= wanted) | F.col("_s.p").isNull()
+        ended = state.where(over)
+        done = ended if done is None else done.unionByName(ended)
+        state = state.where(~over)
+        if state.isEmpty():
+            return done.select(ident(key), *[F.col("_s")[c].alias(c) for c in cols], *[ident(f"_o_{c}") for c in cols], F.col("_s.p").alias("p"), F.coalesce(F.col("_s.p") >= wanted, F.lit(False)).alias("found"))
+
+
 def counterfactuals(
     rejected: DataFrame, reference: DataFrame, features: Sequence[str], key: str, score: Score, wanted: float = 0.5,
     step: float = 0.05, rounds: int = 200,
 ) -> DataFrame:
     """Coordinate search: every row moves one feature by ``step`` SD per round until p reaches ``wanted``.
 
-    All rows still below advance together; a round scores 2 x features
-    candidates per row and keeps the first that flips, else the one with the
-    lowest (1 - p) + .05 x squared distance.
+    A round scores 2 x features candidates per row and keeps the first that flips, else the one with the lowest
+    (1 - p) + .05 x squared distance. With a :class:`RowScore` the search runs inside the rows and ends when no row
+    moves any more. An opaque score needs a table per round: all rows still below then advance together, for ``rounds``
+    rounds at most. Rows with a missing feature have no score and aren't found.
     """
     cols = list(features)
     rng = feature_ranges(reference, cols)
     start = score(rejected.select(ident(key), *[finite(c).alias(c) for c in cols])).select(ident(key), *cols, "p")
     base = start.select(ident(key), *[ident(c).alias(c) for c in cols], *[ident(c).alias(f"_o_{c}") for c in cols], "p")
+    if isinstance(score, RowScore):
+        return _row_counterfactuals(base, cols, key, score, wanted, rng, step)
     state = cut_lineage(base)
     done = None
     for _ in range(rounds):
@@ -114,6 +183,32 @@ def recourse(
     start = score(rejected.select(ident(key), *[finite(c).alias(c) for c in cols])).select(ident(key), *cols, "p")
     state = cut_lineage(start.select(ident(key), *cols, *[ident(c).alias(f"_o_{c}") for c in cols], "p", F.col("p").alias("p_before")))
     movable = [c for c in cols if c not in set(immutable)]
+    ladder: list[tuple[str, Callable[[Column, Column], Column]]] = []
+    for c in movable:
+        mad, lo, hi = s[c]
+        for sign in {"increasing": [1], "decreasing": [-1]}.get(directions.get(c, ""), [1, -1]):
+            for k in STEPS:
+                def new(x: Column, o: Column, d=sign * k * mad, lo=lo, hi=hi, bound=(F.greatest if sign > 0 else F.least) if c in directions else None) -> Column:
+                    y = F.least(F.greatest(x + d, F.lit(lo)), F.lit(hi))
+                    return bound(y, o) if bound else y
+
+                ladder.append((c, new))
+    if isinstance(score, RowScore):
+        def rank(x: Column, p: Column, move: Column) -> Column:
+            cost = F.lit(0.0)
+            for c in cols:
+                cost = cost + F.abs(x[c] - ident(f"_o_{c}")) / s[c][0]
+            hit = p >= wanted
+            return F.struct((~hit).alias("miss"), F.when(hit, cost).otherwise(1.0 - p).alias("r"), move.alias("m"))
+
+        stay = [(cols[0], lambda x: x)]
+        own = stay + [(c, lambda x, c=c, new=new: new(x, ident(f"_o_{c}"))) for c, new in ladder]
+        keep = lambda b: F.struct(*[b[c].alias(c) for c in cols], b["p"].alias("p"))
+        first = F.struct(*[ident(c).alias(c) for c in cols], F.col("p").cast("double").alias("p"))
+        last = F.aggregate(F.sequence(F.lit(1), F.lit(len(movable))), first, lambda st, _: F.when(st["p"] >= wanted, st).otherwise(let(_best(st, cols, own, score, rank), keep))) if movable else first
+        rows = state.withColumn("_s", F.when(F.col("p").isNotNull(), last))
+        state = rows.select(ident(key), *[F.coalesce(F.col("_s")[c], ident(c)).alias(c) for c in cols], *[ident(f"_o_{c}") for c in cols], F.col("_s.p").alias("p"), "p_before")
+        movable = []
     done = None
     for _ in range(len(movable)):
         reached, active = state.where(F.col("p") >= wanted), state.where(F.col("p") < wanted)
@@ -121,15 +216,7 @@ def recourse(
         state = active
         if active.isEmpty():
             break
-        moves = [("stay", cols[0], ident(cols[0]).cast("double"))]
-        for c in movable:
-            mad, lo, hi = s[c]
-            signs = {"increasing": [1], "decreasing": [-1]}.get(directions.get(c, ""), [1, -1])
-            for sign in signs:
-                for k in STEPS:
-                    new = F.least(F.greatest(ident(c) + sign * k * mad, F.lit(lo)), F.lit(hi))
-                    bound = F.greatest if sign > 0 else F.least
-                    moves.append((str(sign * k), c, bound(new, ident(f"_o_{c}")) if c in directions else new))
+        moves = [("stay", cols[0], ident(cols[0]).cast("double"))] + [("move", c, new(ident(c), ident(f"_o_{c}"))) for c, new in ladder]
         cand = score(_candidates(active.drop("p"), cols, moves))
         cost = F.lit(0.0)
         for c in cols:

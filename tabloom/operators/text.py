@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import ident, string_columns
+from ..functions.lineage import cut_lineage
 from .profile import cell_counts
 
 # Sentiment words.
 POSITIVE = ["good", "great", "excellent", "amazing", "love", "best", "fast", "happy", "reliable", "perfect"]
 NEGATIVE = ["bad", "poor", "terrible", "worst", "hate", "slow", "error", "fail", "broken", "issue", "bug"]
-GRAM_TERMS = 2000
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -159,30 +157,66 @@ class Embedding:
     explained: list[float]
 
 
-def _sparse(size: int):
-    @F.udf(VectorUDT())
-    def pack(entries):
-        return Vectors.sparse(size, [e["term_id"] for e in entries], [e["weight"] for e in entries])
-
-    return pack
-
-
-def fit_svd(model: TfIdf, k: int = 8) -> Embedding:
-    """Distributed SVD of the sparse rows; k is at most the vocabulary and rows - 1."""
-    k = max(1, min(k, model.size, max(1, model.rows - 1)))
-    packed = model.weights.groupBy(model.key).agg(F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("e")).select(_sparse(model.size)("e").alias("v"))
-    # the solver multiplies by the rows many times, so they are kept rather than rebuilt
-    packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
-    packed.count()
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(packed, "v"))
-    if model.size <= GRAM_TERMS:
-        # a small vocabulary needs one pass: eigenvectors of the Gram matrix
-        lam, vec = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
-        v, s = vec[:, ::-1][:, :k], np.sqrt(np.maximum(lam[::-1][:k], 0.0))
-    else:
-        svd = matrix.computeSVD(k)
-        v, s = svd.V.toArray(), np.asarray(svd.s.toArray())
-    packed.unpersist()
+def _gram_times(packed: DataFrame, size: int, block: np.ndarray) -> np.ndarray:
+    """AᵀA times a bounded block of columns, where the rows of ``packed(terms, weights)`` are those of A.
+
+    Each task multiplies its rows in Arrow batches and hands on one sum per term and column.
+    """
+    sent = packed.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, out = sent.value, np.zeros_like(sent.value)
+        for b in batches:
+            terms, weights = b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()
+            row = pc.list_parent_indices(b.column(0)).to_numpy()
+            for j in range(q.shape[1]):
+                y = np.bincount(row, weights * q[terms, j], b.num_rows)
+                out[:, j] += np.bincount(terms, weights * y[row], size)
+        used = np.flatnonzero(np.abs(out).sum(1))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, used.size * out.shape[1] + 1, out.shape[1]), pa.int32()), pa.array(out[used].ravel()))
+        yield pa.record_batch([pa.array(used), flat], names=["term_id", "x"])
+
+    parts = packed.mapInArrow(run, "term_id long, x array<double>")
+    sums = parts.groupBy("term_id").agg(*[F.sum(F.col("x")[j]).alias(f"x{j}") for j in range(block.shape[1])]).toArrow()
+    sent.destroy()
+    product = np.zeros_like(block)
+    if sums.num_rows:
+        product[sums["term_id"].to_numpy()] = np.stack([sums[f"x{j}"].to_numpy() for j in range(block.shape[1])], axis=1)
+    return product
+
+
+def fit_svd(model: TfIdf, k: int = 8, tolerance: float = 1e-9, passes: int = 60, seed: int = 42) -> Embedding:
+    """Distributed SVD of the sparse rows; k is at most the vocabulary and rows - 1.
+
+    A random range finder with power iterations: a seeded block of directions is multiplied by AᵀA, pass by pass over
+    the stored rows, and the wanted vectors are taken from the span of all passes, until what is left of each falls
+    below ``tolerance`` times the largest value. Only blocks of (terms x k + 8) numbers reach the driver.
+    """
+    size = model.size
+    k = max(1, min(k, size, max(1, model.rows - 1)))
+    entries = F.sort_array(F.collect_list(F.struct("term_id", "weight")))
+    packed = model.weights.groupBy(model.key).agg(entries.alias("e")).select(
+        F.transform("e", lambda e: e["term_id"]).alias("terms"), F.transform("e", lambda e: e["weight"]).alias("weights"))
+    packed = cut_lineage(packed)
+    x = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, k + 8))))[0]
+    basis, image = np.zeros((size, 0)), np.zeros((size, 0))
+    for _ in range(passes):
+        basis, image = np.hstack([basis, x]), np.hstack([image, _gram_times(packed, size, x)])
+        lam, s = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
+        lam, s = lam[::-1][:k], s[:, ::-1][:, :k]
+        left = np.linalg.norm(image @ s - basis @ s * lam, axis=0).max()
+        if left <= tolerance * max(lam[0], 1e-300) or basis.shape[1] >= size:
+            break
+        # the newest images without what the basis holds already
+        x = image[:, -x.shape[1]:]
+        for _ in range(2):
+            x = x - basis @ (basis.T @ x)
+        u, weight, _ = np.linalg.svd(x, full_matrices=False)
+        x = u[:, weight > 1e-12 * max(lam[0], 1e-300)][:, :size - basis.shape[1]]
+        if not x.shape[1]:
+            break
+        x = np.linalg.qr(x - basis @ (basis.T @ x))[0]
+    v, s = basis @ s, np.sqrt(np.maximum(lam, 0.0))
     total = model.weights.groupBy("term_id").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q"))
     n = float(model.rows)
     whole = total.agg(F.sum(F.col("q") / n - F.pow(F.col("s") / n, 2))).first()[0] or 1.0

@@ -109,9 +109,9 @@ def confusion(t):
 WITH v AS (SELECT p, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM {S} GROUP BY p),
 r AS (SELECT p, row_number() OVER (ORDER BY p DESC) AS i, sum(pos) OVER (ORDER BY p DESC) / sum(pos) OVER () AS tpr,
  sum(neg) OVER (ORDER BY p DESC) / sum(neg) OVER () AS fpr, count(*) OVER () AS k FROM v)
-SELECT p AS threshold, fpr, tpr FROM r WHERE i % greatest(1, (k + 1) // 50) = 0""", "", 8, "threshold fpr tpr"))
+SELECT p AS threshold, fpr, tpr FROM r WHERE i % greatest(1, (k + 1) // 50) = 0 UNION ALL SELECT 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE""", "", 8, "threshold fpr tpr"))
 def roc(t):
-    return rounded(ev.roc_curve(scored(t), "y", "p").where(F.col("threshold") < 2), 8)
+    return rounded(ev.roc_curve(scored(t), "y", "p"), 8)
 
 
 @query("eval_07_calibration_curve", sql_rounded(f"""

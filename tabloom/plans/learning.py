@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from ..functions.linear import least_squares, moments
 from ..operators import models, scenario
 from .registry import query, rounded
 
@@ -40,14 +41,30 @@ def logreg(t):
     return metrics(t, "logreg")
 
 
-RIDGE = """(SELECT covar_pop(l_quantity, y) * count(*) / (var_pop(l_quantity) * count(*) + 50.0) FROM (SELECT *, l_quantity * 2.0 + l_discount * 100.0 + l_partkey % 7 AS y FROM lineitem))"""
+def _determinant(cell) -> str:
+    """Leibniz's sum over the permutations of four columns, as SQL; ``cell(i, j)`` names a number."""
+    terms = []
+    for p in permutations(range(4)):
+        sign = (-1) ** sum(p[i] > p[j] for i in range(4) for j in range(i + 1, 4))
+        terms.append(f"{'+' if sign > 0 else '-'} " + " * ".join(cell(i, p[i]) for i in range(4)))
+    return "(" + " ".join(terms) + ")"
+
+
+RIDGE_ALPHA = 50.0
+# the normal equations of the four features, solved by Cramer's rule
+_SUMS = ", ".join([f"covar_pop({a}, {b}) * count(*) + {RIDGE_ALPHA if a == b else 0.0} AS m{i}{j}" for i, a in enumerate(NUM) for j, b in enumerate(NUM)]
+                  + [f"covar_pop({a}, y) * count(*) AS b{i}, avg({a}) AS a{i}" for i, a in enumerate(NUM)])
+_WHOLE = _determinant(lambda i, j: f"m{i}{j}")
+RIDGE = f"""l AS (SELECT *, l_quantity * 2.0 + l_discount * 100.0 + l_partkey % 7 AS y FROM lineitem), m AS (SELECT count(*) AS rows, {_SUMS} FROM l),
+c AS (SELECT *, {", ".join(f"{_determinant(lambda i, j, k=k: f'b{i}' if j == k else f'm{i}{j}')} / {_WHOLE} AS c{k}" for k in range(4))} FROM m)"""
 
 
-@query("ml_02_ridge_regression", f"SELECT 'l_quantity' AS feature, round({RIDGE}, 7) + 0.0 AS coefficient, (SELECT count(*) FROM lineitem) AS rows")
+@query("ml_02_ridge_regression", f"WITH {RIDGE} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(c{i}, 7) + 0.0 AS coefficient, rows FROM c" for i, f in enumerate(NUM)))
 def ridge(t):
-    m = moments(base(t), ["l_quantity", "outcome"])
-    f = least_squares(m, ["l_quantity"], "outcome", alpha=50.0)
-    return rounded(base(t).agg(F.lit("l_quantity").alias("feature"), F.lit(float(f.coef[0])).alias("coefficient"), F.count("*").alias("rows")), 7)
+    """All four features of the estimator's solver."""
+    coef = models.ridge_coefficients(base(t), NUM, "outcome", RIDGE_ALPHA)
+    items = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(coef[f]).alias("coefficient")) for f in NUM])
+    return rounded(base(t).agg(F.count("*").alias("rows")).select(F.explode(items).alias("e"), "rows").select("e.*", "rows"), 7)
 
 
 @query("ml_02_linear_regression")
@@ -125,14 +142,14 @@ def calibration(t):
 @query("ml_13_ensemble")
 def ensemble(t):
     train, test, _ = split(t)
-    together, _ = models.best_ensemble(train, test, ["logreg", "dt", "svm", "rf"])
+    together, _ = models.best_ensemble(train, test, ["logreg", "dt", "svm", "rf"], KEYS)
     return models.ev.classification_metrics(together, "label", "prediction")
 
 
 @query("ml_14_leaderboard")
 def leaderboard(t):
     train, test, _ = split(t)
-    return models.leaderboard(train, test, ["logreg", "dt", "rf", "gb", "svm"])[0]
+    return models.leaderboard(train, test, ["logreg", "dt", "rf", "gb", "svm", "knn"])[0]
 
 
 @query("ml_15_importance")
@@ -141,11 +158,10 @@ def importance(t):
     return models.mean_importance([models.fit_model(k, train) for k in ("dt", "logreg")], prep.names, t.spark)
 
 
-@query("ml_16_linear_attribution", f"""
-SELECT 'l_quantity' AS feature, round(avg(abs({RIDGE} * (l_quantity - (SELECT avg(l_quantity) FROM lineitem)))), 6) + 0.0 AS attribution FROM lineitem""")
+@query("ml_16_linear_attribution", f"WITH {RIDGE} " + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(avg(abs(c{i} * ({f} - a{i}))), 6) + 0.0 AS attribution FROM l, c" for i, f in enumerate(NUM)))
 def attribution(t):
-    f = least_squares(moments(base(t), ["l_quantity", "outcome"]), ["l_quantity"], "outcome", alpha=50.0)
-    return rounded(models.linear_attribution(base(t), {"l_quantity": float(f.coef[0])}), 6)
+    return rounded(models.linear_attribution(base(t), models.ridge_coefficients(base(t), NUM, "outcome", RIDGE_ALPHA)), 6)
 
 
 @query("ml_16_permutation_importance")
@@ -206,16 +222,14 @@ def accounts(t):
     )
 
 
-def score(df):
-    z = 0.35 * F.col("balance") - 0.9 * F.col("debt_ratio") + 0.12 * F.col("tenure") - 1.5
-    return df.withColumn("p", 1.0 / (1.0 + F.exp(-z)))
+score = scenario.RowScore(lambda x: 1.0 / (1.0 + F.exp(-(0.35 * x["balance"] - 0.9 * x["debt_ratio"] + 0.12 * x["tenure"] - 1.5))), SIM)
 
 
 @query("sim_01_counterfactuals")
 def counterfactuals(t):
     a = accounts(t)
     low = score(a).where("p < 0.5").drop("p")
-    found = scenario.counterfactuals(low, a, SIM, "c_custkey", score, step=0.25, rounds=60)
+    found = scenario.counterfactuals(low, a, SIM, "c_custkey", score)
     return found.select("c_custkey", *SIM, "p", "found")
 
 

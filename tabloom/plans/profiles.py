@@ -30,10 +30,10 @@ d AS ({" UNION ".join(f"SELECT '{c}' AS col, {c}::VARCHAR AS v FROM customer WHE
 s AS (SELECT col, string_agg(v, ', ' ORDER BY v) AS sample_values
       FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY v) AS rn FROM d) WHERE rn <= 3 GROUP BY col)
 SELECT col AS column_name, position, dtype, rows, null_count, null_pct, unique_count, unique_ratio, sample_values
-FROM p JOIN s USING (col)""")
+FROM p LEFT JOIN s USING (col)""")
 def profile_customer(t):
-    cols = [c for c in KINDS if KINDS[c] != "float"]
-    p = profile.profile(t.customer).where(F.col("column").isin(cols))
+    # the two engines write fractions differently, so samples of such columns aren't compared
+    p = profile.profile(t.customer).withColumn("sample_values", F.when(F.col("dtype") != "float", F.col("sample_values")))
     return p.withColumnRenamed("column", "column_name")
 
 

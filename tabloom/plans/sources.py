@@ -32,12 +32,14 @@ def csv_pipes(t):
     return _orders(readers.read_csv(t.spark, path))
 
 
-@query("src_02_csv_latin_1", "SELECT doc_id, lang, regexp_extract(text, '[a-zÀ-ÿ]+') AS word FROM documents WHERE regexp_matches(text, '[a-zÀ-ÿ]')")
+@query("src_02_csv_latin_1", r"""
+SELECT doc_id, lang, nullif(trim(translate(regexp_replace(text, '[^\x21-\xFF]+', ' ', 'g'), '"\', '  ')), '') AS text FROM documents""")
 def csv_latin_1(t):
-    word = F.regexp_extract("text", "[a-zÀ-ÿ]+", 0)
+    """Whole texts as Latin-1: controls, quotes, backslashes and characters beyond it become spaces."""
     path = shared_folder(t.spark, "latin-1")
-    t.documents.select("doc_id", "lang", word.alias("word")).where("word <> ''").write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    return readers.read_csv(t.spark, path).select(F.col("doc_id").cast("long"), "lang", "word")
+    plain = F.trim(F.translate(F.regexp_replace("text", r"[^\x21-\xFF]+", " "), '"\\', "  "))
+    t.documents.select("doc_id", "lang", plain.alias("text")).write.option("header", True).option("encoding", "ISO-8859-1").option("emptyValue", "").csv(path)
+    return readers.read_csv(t.spark, path).select(F.col("doc_id").cast("long"), "lang", "text")
 
 
 def _uneven(t) -> tuple[str, T.StructType]:

@@ -17,8 +17,8 @@ def hits_sql(c: str, words) -> str:
 
 
 def words_of(t):
-    """Distinct lower-case words of at least four letters in the conversations."""
-    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{4,}"), F.lit(0))
+    """Distinct lower-case words of the conversations."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+"), F.lit(0))
     return t.conversations.select(F.explode(w).alias("term")).distinct()
 
 
@@ -40,7 +40,7 @@ def _match_sql() -> str:
         parts.append(f"""SELECT term, '{c}' AS column_name, {i} AS pos, CASE WHEN term = '{c}' THEN 1.0 WHEN n = '{n}' THEN 0.98
  WHEN contains('{n}', n) OR contains(n, '{n}') THEN 0.90 WHEN (CASE {first} END) IN ({mine}) THEN 0.88 WHEN {vals} THEN 0.85
  WHEN {fuzzy} >= 0.6 THEN {fuzzy} ELSE 0 END::DOUBLE AS score FROM w""")
-    return f"""WITH w AS (SELECT DISTINCT term, term AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS term FROM conversations)),
+    return f"""WITH w AS (SELECT DISTINCT term, term AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM conversations)),
 s AS ({' UNION ALL '.join(parts)}), r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, pos) AS rn FROM s WHERE score > 0)
 SELECT term, column_name, round(score, 8) + 0.0 AS score FROM r WHERE rn = 1"""
 

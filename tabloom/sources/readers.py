@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,6 @@ from ..functions.names import number_repeats
 
 # Candidate delimiters, in order of preference.
 DELIMITERS = [",", ";", "\t", "|"]
-SNIFF_LINES = 20
 
 _IDENTIFIER = re.compile(r"[A-Za-z_]\w*(\.[A-Za-z_]\w*)?", re.ASCII)
 _PASSWORD = re.compile(r"(://[^:@/]+:)[^@]+(?=@)")
@@ -28,27 +28,37 @@ class SourceError(ValueError):
     """The input cannot be read as a table fit for analysis."""
 
 
+class Layout(NamedTuple):
+    sep: str
+    encoding: str
+
+
 def pick_delimiter(lines: DataFrame) -> str:
-    """The delimiter of a table of lines (``value``): on every line, and steadiest, then most frequent.
+    """The delimiter of a table of lines (``value``): on every line, and steadiest, then most frequent."""
+    return _layout(lines).sep
 
-    One aggregate counts each candidate per line; a candidate with the same count everywhere weighs ten times its
-    count, another its mean.
-    """
-    times = {d: F.length("value") - F.length(F.replace("value", F.lit(d), F.lit(""))) for d in DELIMITERS}
-    s = lines.agg(*[f(n).alias(f"{kind}{i}") for i, n in enumerate(times.values()) for kind, f in (("least", F.min), ("most", F.max), ("mean", F.avg))]).first()
-    weight = [(s[f"least{i}"] * 10.0 if s[f"least{i}"] == s[f"most{i}"] else s[f"mean{i}"]) if s[f"least{i}"] else 0.0 for i in range(len(DELIMITERS))]
-    return DELIMITERS[weight.index(max(weight))]
 
+def layout(spark: SparkSession, path: str) -> Layout:
+    """Delimiter and encoding of a delimited text, both from one aggregate over all of its lines that are not blank."""
+    return _layout(spark.read.text(path).where(F.length(F.trim("value")) > 0))
 
-def sniff(spark: SparkSession, path: str) -> str:
-    """The delimiter of a text, from its first ``SNIFF_LINES`` lines that are not blank."""
-    return pick_delimiter(spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(SNIFF_LINES))
 
+def _layout(lines: DataFrame) -> Layout:
+    """A candidate with the same count on every line weighs ten times its count, another its mean.
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid UTF-8, else Latin-1 (which always decodes); one scan."""
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-    return "ISO-8859-1" if broken else "UTF-8"
+    Where no candidate is on every line, the one on most lines is taken. The text is UTF-8 if every line is valid, else
+    Latin-1 (which always decodes).
+    """
+    times = [F.length("value") - F.length(F.replace("value", F.lit(d), F.lit(""))) for d in DELIMITERS]
+    aggs = [f(n).alias(f"{kind}{i}") for i, n in enumerate(times) for kind, f in (("least", F.min), ("most", F.max), ("mean", F.avg))]
+    aggs += [F.count_if(n > 0).alias(f"lines{i}") for i, n in enumerate(times)]
+    s = lines.agg(*aggs, F.count_if(~F.is_valid_utf8("value")).alias("broken")).first()
+    ranks = []
+    for i in range(len(DELIMITERS)):
+        steady = s[f"least{i}"] == s[f"most{i}"]
+        weight = (s[f"least{i}"] * 10.0 if steady else s[f"mean{i}"]) if s[f"least{i}"] else 0.0
+        ranks.append((weight, s[f"lines{i}"], s[f"mean{i}"] or 0.0))
+    return Layout(DELIMITERS[ranks.index(max(ranks))], "ISO-8859-1" if s["broken"] else "UTF-8")
 
 
 def clean_headers(names: Sequence[str | None]) -> list[str]:
@@ -85,8 +95,9 @@ def read_csv(
 
     Short rows are filled with NULL; rows with too many fields, or with a field of another type, are dropped.
     """
-    encoding = encoding or detect_encoding(spark, path)
-    sep = sep or sniff(spark, path)
+    if not (encoding and sep):
+        found = layout(spark, path)
+        encoding, sep = encoding or found.encoding, sep or found.sep
     names = clean_headers(_header(spark, path, sep, encoding))
     if schema is None:
         inferred = spark.read.csv(path, sep=sep, header=True, encoding=encoding, inferSchema=True).schema

@@ -360,10 +360,10 @@ def test_hypervolume_and_skyline(spark):
     assert evaluate.hypervolume(f, "p", "r", "f", (0.0, 10.0, 0.0)).first()[0] == 250.0
 
 
-def test_skyline_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(evaluate, "SKYLINE_BLOCK", 20)
-    m = np.random.default_rng(9).random((400, 3))
-    got = {r["n"] for r in evaluate.skyline(frame(spark, n=range(400), p=m[:, 0], r=m[:, 1], f=m[:, 2]).repartition(6), "p", "r", "f").collect()}
+@pytest.mark.parametrize("cell_rows", [2048, 20])
+def test_skyline_in_cells(spark, cell_rows):
+    m = np.random.default_rng(9).random((400, 3)).round(2)
+    got = {r["n"] for r in evaluate.skyline(frame(spark, n=range(400), p=m[:, 0], r=m[:, 1], f=m[:, 2]).repartition(6), "p", "r", "f", cell_rows).collect()}
     b = m * [1, -1, 1]
     want = {i for i in range(400) if not ((b >= b[i]).all(1) & (b > b[i]).any(1)).any()}
     assert got == want
