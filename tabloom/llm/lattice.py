@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import arrow_slices, stored
+from tabloom.llm.quality import bin_floor
 
 MARK = "▁".encode()
 #: Rounds of expected counts, and how many tokens the vocabulary's own scores count for in each.
 ROUNDS, PRIOR_TOKENS = 2, 10_000.0
-#: Counts of so many of the commonest words travel to every task; all other words meet their counts in a join.
+#: Counts of the commonest words, so many at most, travel to every task; all other words meet their counts in a join.
 HEAD_WORDS = 131_072
 #: A longer word is known by its hash, so that keys stay short.
 LONGEST_KEY = 64
@@ -255,6 +256,18 @@ def fit(counts: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
     return pieces
 
 
+def head_floor(counts: DataFrame) -> int:
+    """The least count that at most ``HEAD_WORDS`` words reach, by logarithmic bins of counts; 1 if all words do."""
+    bins = sorted(counts.groupBy(bin_floor(F.col("n")).alias("b")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    held, least = 0, None
+    for b, words in bins:
+        held += words
+        if held > HEAD_WORDS:
+            break
+        least = b
+    return least if least is not None else (bins[0][0] * 2 + 1 if bins else 1)
+
+
 def new_share(n: int, once: int) -> float:
     """Share of tokens that are new words, from ``once`` words seen once among ``n`` tokens; all without training."""
     return (once + 1) / (n + 2) if n else 1.0
@@ -271,8 +284,8 @@ def score(docs: DataFrame, counts: DataFrame, pieces: Pieces, text_col: str = "t
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
     n_all, distinct = size["n"] or 0, size["v"]
     new = new_share(n_all, size["once"])
-    top = counts.orderBy(F.col("n").desc(), "key").limit(HEAD_WORDS).select("key", "n").collect()
-    least = (top[-1]["n"], bytes(top[-1]["key"])) if len(top) == HEAD_WORDS else None
+    least = head_floor(counts)
+    top = counts.where(F.col("n") >= least).select("key", "n").collect()
     sent = spark.sparkContext.broadcast((pieces, {bytes(r["key"]): r["n"] for r in top}))
 
     def run(batches: Iterator) -> Iterator:
@@ -319,9 +332,9 @@ def score(docs: DataFrame, counts: DataFrame, pieces: Pieces, text_col: str = "t
     marked = two.mapInArrow(run, f"row {kind}, n_tokens long, points double, head_known long, head_log double, tail array<struct<key:binary,times:bigint,lattice:double>>")
     marked = stored(marked.withColumn("at", F.monotonically_increasing_id()), "scored")
     base = F.col("head_log") - F.col("n_tokens") * F.lit(math.log10(n_all + distinct + 1))
-    if least is None:
+    if least <= 1:
         return marked.select("row", "n_tokens", F.col("head_known").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("points").alias("score"))
-    cold = counts.where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("key") > F.lit(bytearray(least[1]))))).select(F.col("key").alias("c_key"), "n")
+    cold = counts.where(F.col("n") < least).select(F.col("key").alias("c_key"), "n")
     waiting = marked.select("at", F.explode("tail").alias("t")).select("at", "t.*").hint("merge").join(cold, F.col("key") == F.col("c_key"))
     # the word's own edge joins the pieces' sum: log(e^lattice + e^word) - lattice
     gain = F.log1p(F.exp(F.log("n") + F.lit(math.log((1 - new) / n_all)) - F.col("lattice"))) / F.lit(math.log(10))
