@@ -9,7 +9,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Where a word ends inside a name: before a capitalised word, and between a small letter or digit and a capital.
+# Where a word ends inside a name (before a capitalised word, and between a small letter or digit and a
+# capital), and what is no part of a word.
 WORD_BREAK = r"(?<=.)(?=[A-Z][a-z])|(?<=[a-z0-9])(?=[A-Z])"
 NOT_IN_WORDS = r"[^\w\s]"
 BETWEEN_WORDS = r"[\s_]+"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,10 +158,22 @@ def mmd(ref: DataFrame, cur: DataFrame, columns: Sequence[str], seed: int = 42)
     scale = [s[f"s{i}"] if s[f"s{i}"] >= 1e-4 else 1.0 for i in range(len(cols))]
     z = [(F.col(f"x{i}") - s[f"m{i}"]) / scale[i] for i in range(len(cols))]
 
+    turns = frequencies(len(cols), seed)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, total = 0, np.zeros((2, FREQUENCIES))
+        for b in batches:
+            angle = np.stack([c.to_numpy() for c in b.columns], axis=1) @ turns.T
+            rows += b.num_rows
+            total += np.stack([np.cos(angle).sum(0), np.sin(angle).sum(0)])
+        if rows:
+            yield pa.record_batch([pa.array(np.arange(FREQUENCIES)), pa.array(total[0]), pa.array(total[1]), pa.array(np.full(FREQUENCIES, rows))], names=["j", "c", "s", "n"])
+
     def embedding(df: DataFrame) -> np.ndarray:
-        turns = [sum((F.lit(float(w)) * x for w, x in zip(ws, z)), F.lit(0.0)) for ws in frequencies(len(cols), seed)]
-        angles = df.select(F.posexplode(F.array(*turns)).alias("j", "angle"))
-        means = angles.groupBy("j").agg(F.avg(F.cos("angle")).alias("c"), F.avg(F.sin("angle")).alias("s")).orderBy("j").collect()
+        # a task hands on one sum per frequency, whatever its rows
+        parts = df.select(*[x.alias(f"z{i}") for i, x in enumerate(z)]).mapInArrow(sums, "j long, c double, s double, n long")
+        n = F.sum("n").cast("double")
+        means = parts.groupBy("j").agg((F.sum("c") / n).alias("c"), (F.sum("s") / n).alias("s")).orderBy("j").collect()
         return np.array([[r["c"], r["s"]] for r in means])
 
     a, b = embedding(whole), embedding(other)

@@ -62,9 +62,19 @@ def degrees(t):
     return rounded(graph.degrees(bought(t)), 8)
 
 
-@query("grf_04_pagerank")
+# power iteration until the summed change falls below nodes x 1e-6
+@query("grf_04_pagerank", f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT u AS src, v AS dst, weight FROM {BOUGHT} UNION ALL SELECT v, u, weight FROM {BOUGHT} WHERE u <> v),
+k AS MATERIALIZED (SELECT src AS node, sum(weight) AS strength FROM e GROUP BY 1), n AS MATERIALIZED (SELECT count(*) AS n FROM k),
+l AS MATERIALIZED (SELECT src, dst, weight / strength AS share FROM e JOIN k ON src = node),
+r(node, rank, i) AS (
+  SELECT node, 1.0::DOUBLE / n, 0 FROM k, n
+  UNION ALL SELECT dst, (1.0 - 0.85::DOUBLE) / any_value(n) + 0.85::DOUBLE * sum(rank * share), i + 1 FROM r JOIN l ON node = src, n WHERE i < 150 GROUP BY dst, i),
+c AS (SELECT b.i, sum(abs(b.rank - a.rank)) AS change FROM r a JOIN r b ON a.node = b.node AND b.i = a.i + 1 GROUP BY b.i),
+stop AS (SELECT min(i) AS i FROM c, n WHERE change < n * 1e-6)
+SELECT node, round(rank, 8) + 0.0 AS pagerank FROM r JOIN stop USING (i)""")
 def pagerank(t):
-    return graph.pagerank(bought(t))
+    return rounded(graph.pagerank(bought(t)), 8)
 
 
 @query("grf_05_components", f"""
@@ -88,11 +98,14 @@ def betweenness(t):
     return graph.betweenness(trade(t))
 
 
-@query("grf_07_clustering", f"""
+CLUSTERING = f"""
 WITH e AS MATERIALIZED (SELECT u, v FROM {BOUGHT} WHERE u <> v), b AS MATERIALIZED (SELECT u AS x, v AS y FROM e UNION ALL SELECT v, u FROM e),
 t AS (SELECT p.x AS node, count(*) AS t FROM b p JOIN b q ON p.y = q.x JOIN b r ON q.y = r.x AND r.y = p.x GROUP BY p.x),
 k AS (SELECT x AS node, count(*) AS k FROM b GROUP BY x)
-SELECT d.node, degree, round(coalesce(t, 0) / greatest(k * (k - 1), 1)::DOUBLE, 8) + 0.0 AS clustering FROM {DEG.format(e=BOUGHT)} d LEFT JOIN k USING (node) LEFT JOIN t USING (node)""")
+SELECT d.node, degree, round(coalesce(t, 0) / greatest(k * (k - 1), 1)::DOUBLE, 8) + 0.0 AS clustering FROM {DEG.format(e=BOUGHT)} d LEFT JOIN k USING (node) LEFT JOIN t USING (node)"""
+
+
+@query("grf_07_clustering", CLUSTERING)
 def clustering(t):
     return rounded(graph.clustering(bought(t)), 8)
 

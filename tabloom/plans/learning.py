@@ -225,20 +225,68 @@ def accounts(t):
 score = scenario.RowScore(lambda x: 1.0 / (1.0 + F.exp(-(0.35 * x["balance"] - 0.9 * x["debt_ratio"] + 0.12 * x["tenure"] - 1.5))), SIM)
 
 
-@query("sim_01_counterfactuals")
+_ACCOUNTS = """a AS (SELECT c_custkey AS k, c_acctbal / 1000.0 AS b, coalesce(spend / 1e6, 0.0) AS d, coalesce(n, 0)::DOUBLE AS t
+ FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS spend, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey)"""
+_P = "1.0 / (1.0 + exp(-(0.35 * {b} - 0.9 * {d} + 0.12 * {t} - 1.5)))"
+
+
+def _p(b: str, d: str, t: str) -> str:
+    return _P.format(b=b, d=d, t=t)
+
+
+def _moved(letter: str, first: int) -> str:
+    """The value of one feature under a numbered move of the coordinate search."""
+    return (f"CASE move WHEN {first} THEN least({letter} + 0.05 * s{letter}, hi{letter}) WHEN {first + 1} THEN greatest({letter} - 0.05 * s{letter}, lo{letter}) "
+            f"ELSE {letter} END AS n{letter}")
+
+
+# the state of one round after another; a row that ends without reaching .5 has no proposal to compare
+@query("sim_01_counterfactuals", f"""
+WITH RECURSIVE {_ACCOUNTS},
+r AS (SELECT {", ".join(f"stddev_pop({x}) AS s{x}, min({x}) AS lo{x}, max({x}) AS hi{x}" for x in "bdt")} FROM a),
+s(k, b, d, t, ob, od, ot, p, i) AS (
+  SELECT k, b, d, t, b, d, t, p, 0 FROM (SELECT *, {_p("b", "d", "t")} AS p FROM a) WHERE p < 0.5
+  UNION ALL
+  SELECT k, nb, nd, nt, ob, od, ot, np, i + 1 FROM (
+    SELECT *, row_number() OVER (PARTITION BY k ORDER BY np < 0.5, CASE WHEN np >= 0.5 THEN move ELSE 1 - np + 0.05 * (pow((nb - ob) / sb, 2) + pow((nd - od) / sd, 2) + pow((nt - ot) / st, 2)) END, move) AS rn
+    FROM (SELECT *, {_p("nb", "nd", "nt")} AS np FROM (
+      SELECT s.*, r.*, move, {_moved("b", 0)}, {_moved("d", 2)}, {_moved("t", 4)} FROM s, r, (SELECT unnest(range(6)) AS move) WHERE p < 0.5 AND i < 400))) WHERE rn = 1),
+l AS (SELECT k, arg_max(row(b, d, t, p), i) AS x FROM s GROUP BY k)
+SELECT k AS c_custkey, x[4] >= 0.5 AS found, {", ".join(f"CASE WHEN x[4] >= 0.5 THEN round(x[{i}], 9) + 0.0 END AS {c}" for i, c in ((1, "balance"), (2, "debt_ratio"), (3, "tenure"), (4, "p")))} FROM l""")
 def counterfactuals(t):
     a = accounts(t)
     low = score(a).where("p < 0.5").drop("p")
     found = scenario.counterfactuals(low, a, SIM, "c_custkey", score)
-    return found.select("c_custkey", *SIM, "p", "found")
+    return rounded(found.select("c_custkey", "found", *[F.when(F.col("found"), F.col(c)).alias(c) for c in (*SIM, "p")]), 9)
 
 
-@query("sim_02_recourse")
+_LADDER = "(VALUES " + ", ".join(f"({i + 1}, {x}::DOUBLE)" for i, x in enumerate(scenario.STEPS)) + ") AS l(idx, x)"
+
+
+def _recourse_round(prev: str) -> str:
+    """Balance may only rise, the debt ratio only fall; a row below .55 takes its best move, another stays as it is."""
+    return f"""(SELECT k, nb AS b, nd AS d, t, ob, od, np AS p, p0 FROM (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY np < 0.55, CASE WHEN np >= 0.55 THEN abs(nb - ob) / mb + abs(nd - od) / md ELSE 1 - np END, move) AS rn
+  FROM (SELECT *, {_p("nb", "nd", "t")} AS np FROM (
+    SELECT *, CASE WHEN what = 'b' THEN greatest(least(greatest(b + x * mb, lob), hib), ob) ELSE b END AS nb,
+           CASE WHEN what = 'd' THEN least(least(greatest(d - x * md, lod), hid), od) ELSE d END AS nd
+    FROM {prev} AS z, q, (SELECT 0 AS move, 'stay' AS what, 0.0::DOUBLE AS x UNION ALL SELECT idx, 'b', x FROM {_LADDER} UNION ALL SELECT idx + 6, 'd', x FROM {_LADDER}) AS m
+    WHERE p < 0.55 OR move = 0))) WHERE rn = 1)"""
+
+
+@query("sim_02_recourse", f"""
+WITH {_ACCOUNTS},
+c AS (SELECT {", ".join(f"quantile_cont({x}, 0.01) AS lo{x}, quantile_cont({x}, 0.5) AS med{x}, quantile_cont({x}, 0.99) AS hi{x}" for x in "bd")} FROM a),
+q AS (SELECT {", ".join(f"median(abs({x} - med{x})) AS m{x}, any_value(lo{x}) AS lo{x}, any_value(hi{x}) AS hi{x}" for x in "bd")} FROM a, c),
+z AS (SELECT k, b, d, t, b AS ob, d AS od, p, p AS p0 FROM (SELECT *, {_p("b", "d", "t")} AS p FROM a) WHERE p < 0.55),
+e AS (SELECT *, abs(b - ob) / mb + abs(d - od) / md AS cost FROM {_recourse_round(_recourse_round("z"))} AS y, q)
+SELECT k AS c_custkey, {", ".join(f"round({x}, 9) + 0.0 AS {n}" for x, n in (("b", "balance"), ("d", "debt_ratio"), ("t", "tenure"), ("p0", "p_before"), ("p", "p"), ("cost", "cost")))},
+ CASE WHEN p >= 0.55 THEN 'OPTIMAL_RECOURSE_FOUND' WHEN cost > 1e-9 THEN 'HIGH_COST_RECOURSE' ELSE 'INFEASIBLE' END AS feasibility FROM e""")
 def recourse(t):
     a = accounts(t)
     low = score(a).where("p < 0.55").drop("p")
     r = scenario.recourse(low, a, SIM, "c_custkey", score, immutable=["tenure"], directions={"balance": "increasing", "debt_ratio": "decreasing"})
-    return r.select("c_custkey", *SIM, "p_before", "p", "cost", "feasibility")
+    return rounded(r.select("c_custkey", *SIM, "p_before", "p", "cost", "feasibility"), 9)
 
 
 @query("sim_02_recourse_actions")

@@ -35,7 +35,7 @@ def _match_sql() -> str:
             f"WHEN n IN ({', '.join(repr(match.snake(w)) for w in [*words, k])}) THEN '{k}'" for k, words in match.SYNONYMS.items()
         )
         mine = ", ".join(f"'{k}'" for k in match._clusters(c)) or "''"
-        vals = (f"EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(trim({c}::VARCHAR)) AS v FROM part) WHERE contains(v, term)) "
+        vals = (f"length(term) >= 3 AND EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(trim({c}::VARCHAR)) AS v FROM part) WHERE contains(v, term)) "
                 f"AND (SELECT count(DISTINCT {c}) FROM part) <= 50")
         parts.append(f"""SELECT term, '{c}' AS column_name, {i} AS pos, CASE WHEN term = '{c}' THEN 1.0 WHEN n = '{n}' THEN 0.98
  WHEN contains('{n}', n) OR contains(n, '{n}') THEN 0.90 WHEN (CASE {first} END) IN ({mine}) THEN 0.88 WHEN {vals} THEN 0.85
