@@ -141,8 +141,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Bytes of a text's sketch, and how many of them are a key of the index together.
 SKETCH, BAND = 256, 6
-#: Texts of a block: at least, at most, and from how many blocks on they grow. Shingles of a block, about.
-LEAST_BLOCK, MOST_BLOCK, BLOCKS, BLOCK_SHINGLES = 64, 512, 16, 1 << 18
+#: Texts that meet a leader in one task. Texts and shingles of a block of a family, about, which a task holds twice.
+LEAST_BLOCK, MOST_BLOCK, BLOCK_SHINGLES = 64, 4096, 1 << 20
 
 
 def _permutations():
@@ -220,7 +220,8 @@ def links_within(same: list, label, offsets, hashes, similarity: float) -> list[
     """Pairs of at least this Jaccard similarity that join all parts of a block which such pairs connect.
 
     ``label`` numbers the parts that are joined already; text ``i`` has ``hashes[offsets[i]:offsets[i + 1]]``. Each text
-    outside the largest part is compared with all others.
+    that is outside the largest part when its turn comes is compared with all others; a link between two other texts
+    shows when one of them has its turn.
     """
     import numpy as np
 
@@ -230,15 +231,18 @@ def links_within(same: list, label, offsets, hashes, similarity: float) -> list[
     shared = times[ids] > 1
     ids, owner = ids[shared], owner[shared]
     starts = np.searchsorted(owner, np.arange(n + 1))
-    for i in np.flatnonzero(label != np.bincount(label).argmax()):
-        if (label == label[i]).all():
-            break
+    members = np.bincount(label, minlength=n)
+    for i in range(n):
+        if label[i] == members.argmax():
+            continue
         here = np.zeros(len(times), bool)
         here[ids[starts[i]:starts[i + 1]]] = True
         both = np.bincount(owner[here[ids]], minlength=n)
         for j in np.flatnonzero((both > 0) & (label != label[i]) & (both / np.maximum(size[i] + size - both, 1) >= similarity)):
             if label[j] != label[i]:
                 out.append((same[i], same[j]))
+                members[label[i]] += members[label[j]]
+                members[label[j]] = 0
                 label[label == label[j]] = label[i]
     return out
 
@@ -297,8 +301,8 @@ def _family_blocks(met: DataFrame, member: DataFrame, classes: DataFrame) -> Dat
     parts = rows.select("same", "part").distinct()
     texts = family.hint("merge").join(parts, F.col("node") == F.col("same")).select("same", "part", F.col("component").alias("g"))
     texts = stored(texts.hint("merge").join(classes.select(F.col("same").alias("c_same"), "n"), F.col("same") == F.col("c_same")).select("same", "part", "g", "n"), "family-texts")
-    few = F.least(F.lit(BLOCKS), F.ceil(F.count("*") / LEAST_BLOCK))
-    count = F.greatest(few, F.ceil(F.count("*") / MOST_BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    # a text travels with its hashes once for every other block, so blocks are as large as a task can hold
+    count = F.greatest(F.ceil(F.count("*") / MOST_BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     sizes = stored(texts.groupBy(F.col("g").alias("s_g")).agg(count.alias("blocks")), "family-sizes")
     dealt = texts.hint("merge").join(sizes, F.col("g") == F.col("s_g")).withColumn("own", F.pmod(F.xxhash64("same"), "blocks").cast("int"))
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
