@@ -301,15 +301,25 @@ def best_ensemble(train: DataFrame, test: DataFrame, models: Sequence[str], keys
 
     The members are fitted on all training rows; the test rows have no say in the choice.
     """
-    marked, parts = cut_lineage(_folds(train, keys, folds, seed)), None
+    marked = cut_lineage(_folds(train, keys, folds, seed))
+    score = dict.fromkeys(models, 0.0)
     for f in range(folds):
-        board = leaderboard(marked.where(F.col("fold") != f).drop("fold"), marked.where(F.col("fold") == f).drop("fold"), models, task)[0]
-        parts = board if parts is None else parts.unionByName(board)
-    mean = parts.groupBy("model").agg(F.avg("score").alias("score")).orderBy(F.col("score").desc(), "model").limit(top)
-    best = [r["model"] for r in mean.collect()]
+        own, held = marked.where(F.col("fold") != f).drop("fold"), marked.where(F.col("fold") == f).drop("fold")
+        for k in models:
+            score[k] += _lead_score(fit_model(k, own, task), held, task) / folds
+    best = sorted(models, key=lambda k: (-score[k], k))[:top]
     return ensemble([fit_model(k, train, task) for k in best], test, task), best
 
 
+def _lead_score(model, held: DataFrame, task: str) -> float:
+    """What ranks a model on held-out rows: R2, ROC-AUC, or F1 beyond two classes."""
+    if task == "regression":
+        return float(ev.regression_metrics(model.transform(held), "label", "prediction").first()["r2"])
+    s = scored(model, held)
+    auc = ev.ranking_metrics(s.withColumn("p", F.col("probs")[1]), "label", "p").first()["roc_auc"]
+    return float(auc if auc is not None else ev.classification_metrics(s, "label", "prediction").first()["f1"])
+
+
 def leaderboard(train: DataFrame, test: DataFrame, models: Sequence[str], task: str = "classification", weighted: bool = False) -> tuple[DataFrame, dict]:
     """Fit, score and rank the chosen models: ROC-AUC (F1 beyond two classes) or R2, with the generalisation gap."""
     rows, fitted = [], {}

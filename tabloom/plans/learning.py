@@ -142,7 +142,7 @@ def calibration(t):
 @query("ml_13_ensemble")
 def ensemble(t):
     train, test, _ = split(t)
-    together, _ = models.best_ensemble(train, test, ["logreg", "dt", "svm", "rf"], KEYS)
+    together, _ = models.best_ensemble(train, test, ["logreg", "dt", "svm", "rf"], KEYS, folds=2)
     return models.ev.classification_metrics(together, "label", "prediction")
 
 
