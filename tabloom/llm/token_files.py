@@ -33,7 +33,8 @@ class WordEncoder:
 
     Valid for tokenizers that ignore case, drop white space and never join a letter with a mark or anything across
     white space, as ``word_bpe_49k`` does. Case is folded for A-Z and marks after a word are set apart beforehand only
-    so that fewer runs are distinct. A worker keeps one encoder per file and at most ``REMEMBERED`` runs in it.
+    so that fewer runs are distinct. A worker keeps one encoder per file and at most ``REMEMBERED`` runs in it. When
+    they are full, those go that were not met again since they were learned or last kept.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -55,15 +56,27 @@ class WordEncoder:
         import numpy as np
 
         self.slots: dict[str, int] = {}
-        self.table, self.size, self.first = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table, self.size, self.first, self.again = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _make_room(self, words: list[str]) -> None:
+        """Keep the runs that were met again, or none if the new ones of ``words`` still don't fit."""
+        import numpy as np
+
+        keep = self.again > 0
+        self.slots = {w: i for i, w in enumerate(w for w, k in zip(self.slots, keep) if k)}
+        self.table, self.size = self.table[np.repeat(keep, self.size)], self.size[keep]
+        self.first, self.again = np.cumsum(self.size) - self.size, np.zeros(len(self.size), np.int64)
+        if len(self.slots) + sum(w not in self.slots for w in words) > REMEMBERED:
+            self._forget()
 
     def _learn(self, words: list[str]) -> None:
         """Encode the runs that are new and append their ids to the table."""
         import numpy as np
 
-        if len(self.slots) + len(words) > REMEMBERED:
-            self._forget()
         new = [w for w in words if w not in self.slots]
+        if len(self.slots) + len(new) > REMEMBERED:
+            self._make_room(words)
+            new = [w for w in words if w not in self.slots]
         if not new:
             return
         runs = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
@@ -71,6 +84,7 @@ class WordEncoder:
         self.size = np.concatenate([self.size, np.fromiter(map(len, runs), np.int64, len(runs))])
         self.table = np.concatenate([self.table, np.fromiter(chain.from_iterable(runs), np.uint32)])
         self.first = np.cumsum(self.size) - self.size
+        self.again = np.concatenate([self.again, np.full(len(new), -1)])
 
     def encode(self, texts) -> tuple:
         """``(ids, lengths)``: all ids of an Arrow string array one after another, and how many each text has."""
@@ -85,6 +99,7 @@ class WordEncoder:
         words = coded.dictionary.to_pylist()
         self._learn(words)
         slot = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        self.again[slot] += 1
         index = slot[coded.indices.to_numpy(zero_copy_only=False)]
         n = self.size[index]
         ends = np.concatenate([[0], np.cumsum(n)])

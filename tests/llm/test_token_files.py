@@ -71,3 +71,24 @@ def test_sequences_and_masks_are_views(spark, tokenizer):
 def test_empty_table(spark):
     index = K.write_token_files(spark.createDataFrame([], SCHEMA), PATH, 2)
     assert K.read_token_files(index).count() == 0
+
+
+def test_full_encoder_keeps_words_that_come_again(monkeypatch):
+    monkeypatch.setattr(K, "REMEMBERED", 300)
+    encoder, whole, asked = K.WordEncoder(PATH), Tokenizer.from_file(PATH), []
+    real = encoder.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, words, **more):
+            asked.extend(words)
+            return real.encode_batch_fast(words, **more)
+
+    encoder.tokenizer = Counting()
+    common = [f"often{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    for k in range(40):
+        own = [f"once{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + i // 26)}{chr(97 + k // 26)}" for i in range(60 if k != 20 else 400)]
+        text = " ".join(common + own)
+        ids, n = encoder.encode(pa.array([text, None]))
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids), 0]
+    # the common ones (and the empty one) are learned at first and twice around the text that alone is too large, not each time it is full
+    assert len(asked) == 39 * 60 + 400 + 3 * 101
