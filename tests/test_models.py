@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tabloom.operators import evaluate, models
@@ -59,3 +60,13 @@ def test_trees_train_on_counted_bins(spark, parts):
     flat = flat.withColumn("v", vector_to_array("features")).withColumn("sql", F.expr(sql))
     assert flat.where("sql <> first").count() == 0 and flat.where("prediction = first").count() > 0.98 * flat.count()
     assert flat.where("first = label").count() > 0.8 * flat.count()
+
+
+@pytest.mark.parametrize("key", ["logreg", "et"])
+def test_models_score_rows_after_an_observation(spark, parts, key):
+    """A session that has observed a table can't be serialised, and a training summary of two classes holds it."""
+    seen = Observation()
+    spark.range(10).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 10}
+    train, test, _ = parts
+    assert models.scored(models.fit_model(key, train), test).agg(F.sum(F.col("probs")[1])).first()[0] > 0
