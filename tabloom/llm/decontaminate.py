@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import arrow_slices
+from tabloom.llm.common import arrow_slices, released
 
 Q = 10
 #: Edits allowed per 100 characters of an item; fewer for short items, so that one shared q-gram stays guaranteed.
@@ -220,4 +220,4 @@ def _one_pass(frame: DataFrame, held, text_col: str, last: bool) -> DataFrame:
                     leaks = pa.array([(old or []) + [dict(zip(("item_id", "edits", "end"), x)) for x in new] for old, new in zip(before, found)], leaks.type)
                 yield pa.record_batch([leaks if c == "leaks" else part.column(c) for c in kept.names], names=kept.names)
 
-    return frame.mapInArrow(run, kept)
+    return frame.mapInArrow(released(run), kept)

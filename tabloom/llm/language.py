@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import arrow_slices, stored
+from tabloom.llm.common import arrow_slices, released, stored
 
 DIMENSIONS = 1024
 SEED = 20_240_501
@@ -132,7 +132,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
         if sums:
             yield pa.record_batch([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
-    parts = rows.mapInArrow(run, "lang string, v array<bigint>")
+    parts = rows.mapInArrow(released(run), "lang string, v array<bigint>")
     total = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     vectors = total.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("lang").collect()
     learned = [(r["lang"], tuple(e["x"] for e in r["v"])) for r in vectors]
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
 
     rows = docs.select(F.struct("*").alias("row"))
     row_type = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {row_type}, lang_pred string, score double")
+    return rows.mapInArrow(released(run), f"row {row_type}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

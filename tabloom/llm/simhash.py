@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import stored
+from tabloom.llm.common import release, released, stored
 from tabloom.llm.components import components
 
 BYTES = 8
@@ -132,7 +132,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Similar word shingles: an index over bytes that each sample one shingle, then exact Jaccard over the shingle hashes.
+# Similar word shingles: texts whose fingerprints are linked meet, as above, and exact Jaccard over the shingle hashes
+# decides. A second index, over bytes that each sample one shingle, finds what fingerprints can't promise:
 #
 # At a Jaccard similarity of 0.8, 64 voted bits differ in up to 14 places (measured on the given tables), so no byte is
 # guaranteed to agree. A byte that stands for the one shingle with the smallest permuted hash agrees with a probability
@@ -165,9 +166,10 @@ def sketch(hashes, turns) -> bytes:
 
 
 def text_marks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(doc_id, same, n, keys)`` per row: ``same`` is a 128-bit hash of the words, equal for equal word sequences.
+    """``(doc_id, same, fp, n, keys)`` per row: ``same`` is a 128-bit hash of the words, equal for equal word sequences.
 
-    ``n`` counts the shingles and ``keys`` are the text's keys in the index, none for a text without words.
+    ``fp`` is the signed fingerprint, ``n`` counts the shingles and ``keys`` are the text's keys in the index of sampled
+    bytes, none for a text without words.
     """
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -176,21 +178,22 @@ def text_marks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
 
         turns, bands = _permutations(), SKETCH // BAND
         for b in batches:
-            same, n, keys = [], [], []
+            same, fp, n, keys = [], [], [], []
             for t in b.column(1):
                 text = t.as_py()
                 hashes = shingle_hashes(text, size)
                 same.append(xxh3_128_digest(word_spans(text)[0]))
+                fp.append(vote(hashes))
                 n.append(len(hashes))
                 wide = np.zeros((bands, 8), np.uint8)
                 wide[:, :BAND] = np.frombuffer(sketch(hashes, turns), np.uint8)[:bands * BAND].reshape(bands, BAND)
                 keys.append(wide.view("<i8").ravel() if len(hashes) else [])
-            yield pa.record_batch([b.column(0), pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                                  names=["doc_id", "same", "n", "keys"])
+            yield pa.record_batch([b.column(0), pa.array(same, pa.binary()), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                                  names=["doc_id", "same", "fp", "n", "keys"])
 
     two = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = two.schema["doc_id"].dataType.simpleString()
-    return two.mapInArrow(run, f"doc_id {kind}, same binary, n long, keys array<bigint>")
+    return two.mapInArrow(released(run), f"doc_id {kind}, same binary, fp long, n long, keys array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -213,7 +216,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, si
     rows = two.hint("merge").join(ids.where("any_id is not null"), F.col("doc_id") == F.col("any_id"), "left_semi").select("text")
     if not ids.where("any_id is null").isEmpty():
         rows = rows.unionAll(two.where("doc_id is null").select("text"))
-    return rows.mapInArrow(run, "same binary, hashes array<bigint>")
+    return rows.mapInArrow(released(run), "same binary, hashes array<bigint>")
 
 
 def links_within(same: list, label, offsets, hashes, similarity: float) -> list[tuple]:
@@ -259,16 +262,26 @@ def _block_links(blocks: DataFrame, sets: DataFrame, similarity: float) -> DataF
             lists = table["hashes"].combine_chunks()
             hashes, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             found = links_within(same, label, offsets - offsets[0], hashes[offsets[0]:offsets[-1]], similarity)
+            del lists, hashes, offsets
+            release()
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
     rows = blocks.hint("merge").join(sets.withColumnRenamed("same", "s_same"), F.col("same") == F.col("s_same"))
     return rows.select("g", "i", "j", "same", "part", "hashes").groupBy("g", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def _lists_of_several(classes: DataFrame) -> DataFrame:
-    """``(same, band, key, lead)``: the members of every index list of two texts or more, with its smallest one."""
+def _lists_of_several(classes: DataFrame, max_bits: int) -> DataFrame:
+    """``(same, band, key, lead)``: the members of every list of two texts or more, with its smallest one.
+
+    Band -1 has a list for all texts whose fingerprints are linked at ``max_bits`` bits, also in chains; the others are
+    the index of sampled bytes.
+    """
+    worded = classes.where("n > 0").select("same", "fp")
+    fps = stored(worded.select("fp").distinct(), "distinct-fingerprints")
+    close = stored(components(fingerprint_links(fps, max_bits)), "close-fingerprints")
+    linked = worded.hint("merge").join(close, F.col("fp") == F.col("node"), "left").select("same", F.lit(-1).alias("band"), F.coalesce("component", "fp").alias("key"))
     # one exchange serves both the smallest of the lists and their members
-    lists = classes.select("same", F.posexplode("keys").alias("band", "key")).repartition("band", "key")
+    lists = classes.select("same", F.posexplode("keys").alias("band", "key")).unionAll(linked).repartition("band", "key")
     ends = lists.groupBy("band", "key").agg(F.min("same").alias("lead"), F.max("same").alias("last")).where("lead <> last")
     ends = ends.select(F.col("band").alias("e_band"), F.col("key").alias("e_key"), "lead")
     return lists.hint("merge").join(ends, (F.col("band") == F.col("e_band")) & (F.col("key") == F.col("e_key"))).select("same", "band", "key", "lead")
@@ -310,17 +323,18 @@ def _family_blocks(met: DataFrame, member: DataFrame, classes: DataFrame) -> Dat
     return dealt.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "same", "part")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, max_bits: int = 4) -> DataFrame:
     """``(doc_id, same, group)`` per row: texts linked by word shingles of at least this similarity, also in chains.
 
-    Texts with equal words form a class, and blank texts are one. Every link is decided by the exact Jaccard similarity
-    of the shingle hashes. Each text is first compared with the leader of most of its index lists. Where a list then
+    Texts with equal words form a class, and blank texts are one. Texts meet when their fingerprints are linked at
+    ``max_bits`` bits or when they share a list of the index of sampled bytes. Every link is decided by the exact Jaccard
+    similarity of the shingle hashes. Each text is first compared with the leader of most of its index lists. Where a list then
     still has several parts, all texts that such lists connect form a family, and all pairs of a family in different
     parts are compared, block by block; so no list is cut, and large groups of copies cost as much as they have texts.
     """
     marks = stored(text_marks(docs, id_col, text_col, size), "text-marks")
-    classes = stored(marks.groupBy("same").agg(F.min("doc_id").alias("any_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "text-classes")
-    met = stored(_lists_of_several(classes), "lists")
+    classes = stored(marks.groupBy("same").agg(F.min("doc_id").alias("any_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "text-classes")
+    met = stored(_lists_of_several(classes, max_bits), "lists")
     stars = stored(_star_blocks(met), "stars")
     wanted = stars.select(F.col("same").alias("w_same")).distinct()
     ids = stored(classes.select("same", "any_id").hint("merge").join(wanted, F.col("same") == F.col("w_same"), "left_semi").select("any_id").distinct(), "set-ids")
@@ -334,9 +348,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marks.join(member, F.col("same") == F.col("node"), "left").select("doc_id", "same", F.coalesce("component", "same").alias("group"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, max_bits: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the smallest id (nulls last), once if rows are repeated."""
-    groups = stored(similar_groups(docs, id_col, text_col, size, similarity), "groups")
+    groups = stored(similar_groups(docs, id_col, text_col, size, similarity, max_bits), "groups")
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("k")).select("k.doc_id", "k.same")
     times = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("t_id")).agg(F.count("*").alias("times"))
     kept = stored(first.join(times, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "same", F.coalesce("times", F.lit(2)).alias("times")), "kept")

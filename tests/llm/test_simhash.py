@@ -4,6 +4,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm import simhash as S
@@ -159,3 +160,18 @@ def test_similarity_is_decided_exactly(spark):
     rows += [(1000, exact[0]), (1001, exact[1])]
     got = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(want + [1000])
+
+
+def test_similar_texts_meet_by_their_fingerprints(spark):
+    """Without any sampled byte, texts with linked fingerprints are still on one list, and exact similarity decides."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(20):
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(600)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:-1] + ["last"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {(a, a + 1) for a in range(0, 40, 2) if (brute_fp(rows[a][1], 5) ^ brute_fp(rows[a + 1][1], 5)).bit_count() <= 4}
+    assert len(near) > 10
+    classes = S.text_marks(df, "doc_id", "text", 5).withColumn("any_id", F.col("doc_id")).withColumn("keys", F.expr("array()").cast("array<bigint>"))
+    met = S._lists_of_several(classes, 4).join(classes.select("same", "doc_id"), "same").groupBy("band", "key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    assert near == {tuple(r["ids"]) for r in met.collect()}
