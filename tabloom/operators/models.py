@@ -10,12 +10,14 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import classification as mc
 from pyspark.ml import regression as mr
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -209,6 +211,138 @@ def _binned(train: DataFrame, cuts: list[list[float]], weight: str | None) -> Da
     return stored_table(rows.select(array_to_vector("_b").alias("features"), "label", "weight"), "bins")
 
 
+class LogisticModel:
+    """A fitted two-class logistic regression behind the interface of an MLlib model."""
+
+    def __init__(self, weights: np.ndarray):
+        self.coefficients, self.intercept = DenseVector(weights[:-1]), float(weights[-1])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        wide = df.withColumn("_v", vector_to_array("features"))
+        z = sum((F.col("_v")[i] * float(c) for i, c in enumerate(self.coefficients)), F.lit(self.intercept))
+        wide = wide.withColumn("_p", 1.0 / (1.0 + F.exp(-z)))
+        return wide.withColumns({"probability": array_to_vector(F.array(1.0 - F.col("_p"), F.col("_p"))), "prediction": (F.col("_p") > 0.5).cast("double")}).drop("_v", "_p")
+
+
+def _numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features with a column of ones, labels, weights and folds of a batch."""
+    v, y, w, f = (batch.column(i) for i in range(4))
+    x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+    return np.hstack([x, np.ones((len(y), 1))]), *(c.to_numpy(zero_copy_only=False) for c in (y, w, f))
+
+
+def _partial(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+
+def _added(rows: DataFrame, sums) -> np.ndarray:
+    """The partial sums of all tasks, one short vector each."""
+    return np.sum([np.frombuffer(r["s"]) for r in rows.mapInArrow(sums, "s binary").collect()], axis=0)
+
+
+def _newton(rows: DataFrame, width: int, jobs: Sequence[tuple[int, float]], passes: int = 100, tol: float = 1e-8) -> np.ndarray:
+    """Weights, the intercept last, of L2 logistic fits of ``v, label, weight, fold`` that share each pass over the rows.
+
+    A job ``(fold, strength)`` leaves out the rows of its fold and penalises the coefficients of the mean loss. A task
+    sends one partial sum of the losses, gradients and curvatures of all jobs; a step that doesn't lower the loss is halved.
+    """
+    d, out = width + 1, np.array([f for f, _ in jobs])
+    strength = np.array([s for _, s in jobs])[:, None] * np.append(np.ones(width), 0.0)
+    upper = np.triu_indices(d)
+    at = np.zeros((len(jobs), d))
+    kept, best, open_ = at.copy(), np.full(len(jobs), np.inf), np.ones(len(jobs), dtype=bool)
+    for _ in range(passes):
+        which = np.flatnonzero(open_)
+        point, left = at[which], out[which]
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(which), 2 + d + len(upper[0])))
+            for batch in batches:
+                for i in range(0, batch.num_rows, 4096):
+                    x, y, w, f = _numbers(batch.slice(i, 4096))
+                    z = x @ point.T
+                    use = np.where(f[:, None] == left, 0.0, w[:, None])
+                    e = np.exp(-np.abs(z))
+                    p = np.where(z >= 0, 1.0, e) / (1.0 + e)
+                    total[:, 0] += use.sum(0)
+                    total[:, 1] += (use * (np.maximum(z, 0.0) - y[:, None] * z + np.log1p(e))).sum(0)
+                    total[:, 2:2 + d] += (use * (p - y[:, None])).T @ x
+                    total[:, 2 + d:] += (use * p * (1.0 - p)).T @ (x[:, upper[0]] * x[:, upper[1]])
+            yield _partial(total)
+
+        total = _added(rows, sums).reshape(len(which), -1)
+        for j, t in zip(which, total):
+            n = max(t[0], 1e-300)
+            loss = t[1] / n + 0.5 * float(strength[j] @ at[j] ** 2)
+            if loss > best[j] + 1e-12 * abs(best[j]):
+                at[j] = (at[j] + kept[j]) / 2.0
+                open_[j] = float(np.abs(at[j] - kept[j]).max()) > tol
+                continue
+            best[j], kept[j] = loss, at[j].copy()
+            h = np.zeros((d, d))
+            h[upper] = t[2 + d:] / n
+            h = h + h.T - np.diag(np.diag(h)) + np.diag(strength[j])
+            step = np.linalg.lstsq(h, t[2:2 + d] / n + strength[j] * at[j], rcond=None)[0]
+            open_[j] = float(np.abs(step).max()) > tol * max(1.0, float(np.abs(at[j]).max()))
+            at[j] = at[j] - step
+        if not open_.any():
+            break
+    return np.where(open_[:, None], kept, at)
+
+
+def _fit_rows(train: DataFrame, weight: str | None = None, fold: str | None = None) -> DataFrame:
+    """``v, label, weight, fold``, stored for the passes of a fit."""
+    marks = (ident(weight) if weight else F.lit(1.0)).alias("weight"), (ident(fold) if fold else F.lit(-1)).alias("fold")
+    return stored_table(train.select(vector_to_array("features").alias("v"), "label", *marks), "rows")
+
+
+def _logistic(train: DataFrame, width: int, strength: float, weight: str | None = None) -> LogisticModel:
+    return LogisticModel(_newton(_fit_rows(train, weight), width, [(-2, strength)])[0])
+
+
+#: Bins of a score's range in the curves of the folds; MLlib's evaluator joins scores to a thousand.
+CURVE_BINS = 1 << 14
+
+
+def _fold_areas(rows: DataFrame, weights: np.ndarray, jobs: Sequence[tuple[int, float]]) -> np.ndarray:
+    """ROC-AUC of each logistic fit on the rows of its fold, scores in ``CURVE_BINS`` bins (ties count half)."""
+    fold = np.array([f for f, _ in jobs])
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lo, hi = np.full(len(fold), np.inf), np.full(len(fold), -np.inf)
+        for batch in batches:
+            x, _, _, _ = _numbers(batch)
+            if len(x):
+                z = x @ weights.T
+                lo, hi = np.minimum(lo, z.min(0)), np.maximum(hi, z.max(0))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(fold)), pa.int32()), pa.array(lo), pa.array(hi)], ["j", "lo", "hi"])
+
+    low, high = np.zeros(len(fold)), np.zeros(len(fold))
+    for r in rows.mapInArrow(spans, "j int, lo double, hi double").groupBy("j").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():
+        low[r["j"]], high[r["j"]] = r["lo"], r["hi"]
+    scale = CURVE_BINS / np.where(high > low, high - low, 1.0)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(fold), 2 * CURVE_BINS))
+        for batch in batches:
+            x, y, w, f = _numbers(batch)
+            for j in range(len(fold)):
+                mine = f == fold[j]
+                b = np.clip(((x[mine] @ weights[j] - low[j]) * scale[j]).astype(int), 0, CURVE_BINS - 1)
+                total[j] += np.bincount(2 * b + (y[mine] > 0), w[mine], 2 * CURVE_BINS)
+        j, b = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), pa.array(b, pa.int32()), pa.array(total[j, b])], ["j", "b", "n"])
+
+    # the curves of all fits are bounded by the bins
+    curve = np.zeros((len(fold), 2 * CURVE_BINS))
+    for r in rows.mapInArrow(tally, "j int, b int, n double").groupBy("j", "b").agg(F.sum("n").alias("n")).toPandas().itertuples():
+        curve[r.j, r.b] = r.n
+    neg, pos = curve[:, 0::2], curve[:, 1::2]
+    ahead = np.cumsum(neg, axis=1) - neg / 2.0
+    pairs = pos.sum(1) * neg.sum(1)
+    return np.where(pairs > 0, (pos * ahead).sum(1) / np.maximum(pairs, 1.0), 1.0)
+
+
 def fit_model(key: str, train: DataFrame, task: str = "classification", weighted: bool = False, seed: int = 42):
     """Fit one catalogue model on ``features, label`` (balanced row weights on request; neighbours have none)."""
     if key == "knn":
@@ -225,6 +359,8 @@ def fit_model(key: str, train: DataFrame, task: str = "classification", weighted
     if binned:
         cuts = bin_cuts(train, width)
         return BinnedModel(_fitted(est, _binned(train, cuts, "weight" if weighted else None)), cuts)
+    if key == "logreg" and classes <= 2:
+        return _logistic(train, width, est.getRegParam(), "weight" if weighted else None)
     return _fitted(est, train)
 
 
@@ -309,6 +445,13 @@ def _fold_scores(est, maps: Sequence[dict], marked: DataFrame, folds: int, evalu
 
     Folds are read from their table and not cached: an estimator stores the blocks it iterates over only of a table that isn't.
     """
+    if isinstance(est, mc.LogisticRegression) and isinstance(evaluator, BinaryClassificationEvaluator):
+        # fits of two classes share their passes
+        jobs = [(f, est.copy(m).getRegParam()) for f in range(folds) for m in maps]
+        rows = _fit_rows(marked, fold="fold")
+        width = len(rows.first()["v"])
+        return _fold_areas(rows, _newton(rows, width, jobs), jobs).reshape(folds, len(maps))
+
     @inheritable_thread_target(marked.sparkSession)
     def score(job: tuple[int, dict]) -> float:
         own, held = marked.where(F.col("fold") != job[0]).drop("fold"), marked.where(F.col("fold") == job[0]).drop("fold")
@@ -335,8 +478,10 @@ def search(key: str, train: DataFrame, keys: Sequence[str], task: str = "classif
     maps = maps[:draws]
     scores = _fold_scores(est, maps, _folds(train, keys, folds, seed), folds, _evaluator(task, classes), parallelism)
     mean, spread = scores.mean(0), scores.std(0)
+    lead = maps[int(mean.argmax())]
     rows = [(i, {p.name: str(v) for p, v in m.items()}, float(a), float(d)) for i, (m, a, d) in enumerate(zip(maps, mean, spread))]
-    return _fitted(est, train, maps[int(mean.argmax())]), train.sparkSession.createDataFrame(rows, "draw int, params map<string,string>, score double, spread double")
+    model = _logistic(train, width, est.copy(lead).getRegParam()) if key == "logreg" and classes == 2 else _fitted(est, train, lead)
+    return model, train.sparkSession.createDataFrame(rows, "draw int, params map<string,string>, score double, spread double")
 
 
 def cross_validate(key: str, train: DataFrame, keys: Sequence[str], task: str = "classification", folds: int = 5, seed: int = 42) -> DataFrame:

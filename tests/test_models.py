@@ -70,3 +70,19 @@ def test_models_score_rows_after_an_observation(spark, parts, key):
     assert seen.get == {"n": 10}
     train, test, _ = parts
     assert models.scored(models.fit_model(key, train), test).agg(F.sum(F.col("probs")[1])).first()[0] > 0
+
+
+def test_logistic_fits_share_their_passes(spark, parts):
+    """Every fold and strength of one run of passes equals MLlib's fit of its own rows, and its curve the exact area."""
+    train, _, prep = parts
+    marked = models._folds(train, ["i"], 2, 42)
+    jobs = [(0, 1e-4), (1, 1e-4), (0, 0.1)]
+    rows = models._fit_rows(marked, fold="fold")
+    found = models._newton(rows, len(prep.names), jobs)
+    areas = models._fold_areas(rows, found, jobs)
+    for (fold, strength), w, area in zip(jobs, found, areas):
+        est = models.estimator("logreg", "classification").setRegParam(strength).setTol(1e-12)
+        one = models._fitted(est, marked.where(F.col("fold") != fold))
+        assert [*one.coefficients, one.intercept] == pytest.approx(list(w), abs=1e-4)
+        held = models.scored(models.LogisticModel(w), marked.where(F.col("fold") == fold)).withColumn("p", F.col("probs")[1])
+        assert evaluate.ranking_metrics(held, "label", "p").first()["roc_auc"] == pytest.approx(area, abs=1e-3)
