@@ -191,16 +191,18 @@ def bin_cuts(train: DataFrame, width: int, bins: int = BINS) -> list[list[float]
     """The ends of up to ``bins`` bins per feature: between all values if they are few, else at even ranks."""
     grid = [i / bins for i in range(1, bins)]
     rows = train.select(vector_to_array("features").alias("v"))
-    s = rows.agg(*[x for i in range(width) for x in (
-        F.approx_count_distinct(F.col("v")[i]).alias(f"d{i}"), F.max(F.col("v")[i]).alias(f"hi{i}"), F.percentile_approx(F.col("v")[i], grid, 10_000).alias(f"q{i}"))]).first()
+    s = rows.agg(*[x for i in range(width) for x in (F.approx_count_distinct(F.col("v")[i]).alias(f"d{i}"), F.max(F.col("v")[i]).alias(f"hi{i}"))]).first()
     few = [i for i in range(width) if s[f"d{i}"] <= 2 * bins]
     values = rows.agg(*[F.sort_array(F.collect_set(F.col("v")[i])).alias(f"v{i}") for i in few]).first() if few else {}
+    # a feature cut between all its values needs no ranks
+    many = [i for i in range(width) if i not in few or len(values[f"v{i}"]) > bins]
+    ranks = rows.agg(*[F.percentile_approx(F.col("v")[i], grid, 10_000).alias(f"q{i}") for i in many]).first() if many else {}
     out = []
     for i in range(width):
-        if i in few and len(values[f"v{i}"]) <= bins:
-            out.append([(a + b) / 2.0 for a, b in zip(values[f"v{i}"], values[f"v{i}"][1:])])
+        if i in many:
+            out.append(sorted({q for q in ranks[f"q{i}"] or [] if q < s[f"hi{i}"]}))
         else:
-            out.append(sorted({q for q in s[f"q{i}"] or [] if q < s[f"hi{i}"]}))
+            out.append([(a + b) / 2.0 for a, b in zip(values[f"v{i}"], values[f"v{i}"][1:])])
     return out
 
 

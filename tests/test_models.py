@@ -86,3 +86,11 @@ def test_logistic_fits_share_their_passes(spark, parts):
         assert [*one.coefficients, one.intercept] == pytest.approx(list(w), abs=1e-4)
         held = models.scored(models.LogisticModel(w), marked.where(F.col("fold") == fold)).withColumn("p", F.col("probs")[1])
         assert evaluate.ranking_metrics(held, "label", "p").first()["roc_auc"] == pytest.approx(area, abs=1e-3)
+
+
+def test_few_valued_features_are_not_sketched(spark, parts, monkeypatch):
+    """One-hot columns are cut between their values, so ranks are taken of the other features alone."""
+    sketched, real = [], models.F.percentile_approx
+    monkeypatch.setattr(models.F, "percentile_approx", lambda *a: sketched.append(a) or real(*a))
+    cuts = models.bin_cuts(parts[0], len(parts[2].names))
+    assert len(sketched) == 2 and [len(c) for c in cuts[2:]] == [1, 1]
