@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from tabloom.operators import evaluate, models
+from tabloom.operators import evaluate, models, perceptron
 
 
 def table(spark, n=4000, seed=5):
@@ -94,3 +94,27 @@ def test_few_valued_features_are_not_sketched(spark, parts, monkeypatch):
     monkeypatch.setattr(models.F, "percentile_approx", lambda *a: sketched.append(a) or real(*a))
     cuts = models.bin_cuts(parts[0], len(parts[2].names))
     assert len(sketched) == 2 and [len(c) for c in cuts[2:]] == [1, 1]
+
+
+def test_perceptron_steps_over_counted_rows(spark, parts):
+    """Copies of all rows are one counted table and one model; the gradient is that of the loss, and MLlib reads the weights as they were fitted."""
+    train, test, prep = parts
+    once, twice = models.equal_rows(train), models.equal_rows(train.unionAll(train))
+    assert once.count() == twice.count() and twice.agg(F.sum("n")).first()[0] == 2 * train.count()
+    layers, rng = [len(prep.names), 4, 3, 2], np.random.default_rng(2)
+    w = rng.normal(size=sum(a * b + b for a, b in zip(layers, layers[1:])))
+    block = [(rng.normal(size=(50, layers[0])), rng.integers(0, 2, 50), rng.integers(1, 4, 50) * 1.0)]
+    at = lambda x: perceptron.loss_and_gradient(x, layers, block)
+    for i in range(0, len(w), 5):
+        e = 1e-6 * (np.arange(len(w)) == i)
+        assert (at(w + e)[1] - at(w - e)[1]) / 2e-6 == pytest.approx(at(w)[2 + i], abs=1e-4)
+    one, two = models.fit_model("mlp", train), models.fit_model("mlp", train.unionAll(train))
+    rows = [models.scored(m, test).select("label", F.col("probs")[1].alias("p")) for m in (one, two)]
+    areas = [evaluate.ranking_metrics(r, "label", "p").first()["roc_auc"] for r in rows]
+    assert min(areas) > 0.85 and areas[0] == pytest.approx(areas[1], abs=0.02)
+    first = test.select(vector_to_array("features").alias("v")).first()["v"]
+    x, steps = np.array([first]), perceptron.layers_of(one.weights.toArray(), list(one.getLayers()))
+    for a, b in steps[:-1]:
+        x = 1.0 / (1.0 + np.exp(-(x @ a + b)))
+    z = np.exp(x @ steps[-1][0] + steps[-1][1])
+    assert rows[0].first()["p"] == pytest.approx(float((z / z.sum())[0, 1]), abs=1e-9)
