@@ -29,7 +29,7 @@ from ..functions.lineage import cut_lineage, stored_table
 from ..functions.linear import least_squares, moments
 from ..functions.quantiles import quantile_map
 from . import evaluate as ev
-from . import perceptron
+from . import forest, perceptron
 from .features import LIMIT, balanced_weights, categories, clean_category, ordinal_codes, ordinal_encode, stratified_split
 from .nearest import EUCLID, nearest
 
@@ -156,15 +156,18 @@ class NeighbourModel:
         return rows.join(found, "_row").drop("_row")
 
 
-#: Trees that draw no rows: they see no more of a row than the bins of its features, its label and its weight.
-BINNED, BINS = ("dt", "et", "gb", "xgb", "lgbm", "cat"), 32
+#: Trees see no more of a row than the bins of its features, its label and its weight. A forest draws rows by their number.
+BINNED, BINS = ("dt", "et", "rf", "gb", "xgb", "lgbm", "cat"), 32
 
 
 class BinnedModel:
-    """A tree model over bin numbers behind the interface of a fitted MLlib model; ``cuts`` are each feature's bin ends."""
+    """A tree model over bin numbers behind the interface of a fitted MLlib model; ``cuts`` are each feature's bin ends.
 
-    def __init__(self, model, cuts: list[list[float]]):
-        self.model, self.cuts = model, cuts
+    ``rows`` are the counted bins that it was fitted on.
+    """
+
+    def __init__(self, model, cuts: list[list[float]], rows: DataFrame):
+        self.model, self.cuts, self.rows = model, cuts, rows
 
     def __getattr__(self, name: str):
         if name.startswith("__") or name == "model":
@@ -207,11 +210,12 @@ def bin_cuts(train: DataFrame, width: int, bins: int = BINS) -> list[list[float]
     return out
 
 
-def _binned(train: DataFrame, cuts: list[list[float]], weight: str | None) -> DataFrame:
-    """``features, label, weight``: the distinct rows of bin numbers with the rows, or their weight, behind each."""
-    rows = _with_bins(train.select("features", "label", (ident(weight) if weight else F.lit(1.0)).alias("w")), cuts)
-    rows = rows.groupBy("_b", "label").agg(F.sum("w").alias("weight"))
-    return stored_table(rows.select(array_to_vector("_b").alias("features"), "label", "weight"), "bins")
+def _binned(train: DataFrame, cuts: list[list[float]], weight: str | None, times: str | None = None) -> DataFrame:
+    """``features, label, weight, n``: the distinct rows of bin numbers with the rows behind each, and their weight."""
+    n = ident(times) if times else F.lit(1)
+    rows = _with_bins(train.select("features", "label", ((ident(weight) if weight else F.lit(1.0)) * n).alias("w"), n.cast("long").alias("n")), cuts)
+    rows = rows.groupBy("_b", "label").agg(F.sum("w").alias("weight"), F.sum("n").alias("n"))
+    return stored_table(rows.select(array_to_vector("_b").alias("features"), "label", "weight", "n"), "bins")
 
 
 class LogisticModel:
@@ -363,11 +367,14 @@ def fit_model(key: str, train: DataFrame, task: str = "classification", weighted
     if weighted and task == "classification":
         train = balanced_weights(train, "label")
     # distinct regression labels are as many as rows, so only classes are counted together
-    binned = task == "classification" and (classes <= 2 and key in BINNED or key in ("dt", "et"))
+    binned = task == "classification" and (classes <= 2 and key in BINNED or key in ("dt", "et", "rf"))
     est = estimator(key, task, max(2, classes), width, max(1, s["n"]), s["sd"] or 1.0, seed, "weight" if binned or (weighted and key != "mlp") else None)
     if binned:
         cuts = bin_cuts(train, width)
-        return BinnedModel(_fitted(est, _binned(train, cuts, "weight" if weighted else None)), cuts)
+        rows = _binned(train, cuts, "weight" if weighted else None)
+        if key == "rf":
+            return BinnedModel(forest.fit(rows, width, max(2, classes), 1 + max(map(len, cuts)), est.getNumTrees(), est.getMaxDepth(), seed), cuts, rows)
+        return BinnedModel(_fitted(est, rows), cuts, rows)
     if key == "logreg" and classes <= 2:
         return _logistic(train, width, est.getRegParam(), "weight" if weighted else None)
     if key == "mlp":
@@ -575,9 +582,16 @@ def _lead_score(model, held: DataFrame, task: str) -> float:
     return float(auc if auc is not None else ev.classification_metrics(s, "label", "prediction", "n").first()["f1"])
 
 
-def _outcomes(model, df: DataFrame) -> DataFrame:
-    """``label, prediction, p, n``: how often each outcome occurs, so that rows are scored once for all measures."""
-    return cut_lineage(scored(model, df).groupBy("label", "prediction", F.col("probs")[1].alias("p")).agg(F.count("*").alias("n")))
+def _outcomes(model, df: DataFrame, own: bool = False) -> DataFrame:
+    """``label, prediction, p, n``: how often each outcome occurs, so that rows are scored once for all measures.
+
+    A tree scores each distinct row of bins once. ``own`` says that it was fitted on ``df``, so its bins are counted already.
+    """
+    if isinstance(model, BinnedModel):
+        rows = scored(model.model, model.rows if own else _binned(df, model.cuts, None))
+    else:
+        rows = scored(model, df).withColumn("n", F.lit(1))
+    return cut_lineage(rows.groupBy("label", "prediction", F.col("probs")[1].alias("p")).agg(F.sum("n").alias("n")))
 
 
 def leaderboard(train: DataFrame, test: DataFrame, models: Sequence[str], task: str = "classification", weighted: bool = False) -> tuple[DataFrame, dict]:
@@ -591,7 +605,7 @@ def leaderboard(train: DataFrame, test: DataFrame, models: Sequence[str], task:
             t = ev.regression_metrics(m.transform(train), "label", "prediction").first()
             rows.append((key, None, None, float(r["mae"]), float(r["rmse"]), float(r["r2"]), float(t["r2"]) - float(r["r2"])))
             continue
-        s, ct = _outcomes(m, test), ev.classification_metrics(scored(m, train), "label", "prediction").first()
+        s, ct = _outcomes(m, test), ev.classification_metrics(_outcomes(m, train, own=True), "label", "prediction", "n").first()
         c = ev.classification_metrics(s, "label", "prediction", "n").first()
         auc = ev.ranking_metrics(s, "label", "p", times="n").first()["roc_auc"]
         lead = auc if auc is not None else c["f1"]
@@ -700,8 +714,10 @@ def tree_sql(model, columns: Sequence[str]) -> str:
     if isinstance(model, BinnedModel):
         # a bin number is at most k where the value is at most the k-th cut
         return tree_sql(model.model, [(c, ends) for c, ends in zip(columns, model.cuts)])
-    java = model._java_obj
-    trees = list(java.trees()) if hasattr(model, "trees") else [java]
+    if isinstance(model, forest.ForestModel):
+        trees = model.trees
+    else:
+        trees = list(model._java_obj.trees()) if hasattr(model, "trees") else [model._java_obj]
     weights = list(model.treeWeights) if hasattr(model, "treeWeights") else [1.0]
     classes = getattr(model, "numClasses", 0)
     boosted = type(model).__name__.startswith("GBT")

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from tabloom.operators import evaluate, models, perceptron
+from tabloom.operators import evaluate, forest, models, perceptron
 
 
 def table(spark, n=4000, seed=5):
@@ -118,3 +118,39 @@ def test_perceptron_steps_over_counted_rows(spark, parts):
         x = 1.0 / (1.0 + np.exp(-(x @ a + b)))
     z = np.exp(x @ steps[-1][0] + steps[-1][1])
     assert rows[0].first()["p"] == pytest.approx(float((z / z.sum())[0, 1]), abs=1e-9)
+
+
+def test_forest_draws_rows_by_their_number(spark, parts):
+    """Copies of all rows add nothing to what a forest reads; it scores and explains like MLlib's, and its SQL is the model."""
+    train, test, prep = parts
+    width = len(prep.names)
+    one, two = models.fit_model("rf", train), models.fit_model("rf", train.unionAll(train))
+    theirs = models._fitted(models.estimator("rf", "classification"), train)
+    area = {}
+    for name, m in (("one", one), ("two", two), ("mllib", theirs)):
+        s = models.scored(m, test).withColumn("p", F.col("probs")[1])
+        area[name] = evaluate.ranking_metrics(s, "label", "p").first()["roc_auc"]
+    assert area["one"] == pytest.approx(area["mllib"], abs=0.01) and area["two"] == pytest.approx(area["mllib"], abs=0.01)
+    assert isinstance(one.model, forest.ForestModel) and one.model.nodes.feature.shape[0] == 100
+    # counted bins have the outcomes of the rows behind them
+    counted, rows = (evaluate.classification_metrics(x, "label", "prediction", n).first() for x, n in ((models._outcomes(one, train, own=True), "n"), (models.scored(one, train), None)))
+    assert counted == rows
+    assert list(one.featureImportances) == pytest.approx(list(theirs.featureImportances), abs=0.1)
+    again = models.scored(models.fit_model("rf", train.repartition(3)), test).select("i", F.col("probs")[1].alias("q"))
+    near = models.scored(one, test).join(again, "i").agg(F.max(F.abs(F.col("probs")[1] - F.col("q")))).first()[0]
+    assert near < 1e-9
+    small = forest.fit(models._binned(train, one.cuts, None), width, 2, models.BINS, trees=5, depth=3)
+    small = models.BinnedModel(small, one.cuts, one.rows)
+    flat = small.transform(test).withColumn("v", vector_to_array("features"))
+    flat = flat.withColumn("sql", F.expr(models.tree_sql(small, [f"v[{i}]" for i in range(width)])))
+    assert flat.where("sql <> prediction").count() == 0 and flat.count() > 0
+
+
+def test_draws_are_poisson():
+    n = np.repeat([1.0, 7.0, 4000.0], 40_000)
+    keys = np.random.default_rng(3).integers(0, 2**63, len(n)).astype(np.uint64)
+    d = forest.Draws(n)(forest._uniform(keys, 42), np.arange(len(n)))
+    for mean in (1.0, 7.0, 4000.0):
+        mine = d[n == mean]
+        assert mine.mean() == pytest.approx(mean, rel=0.02) and mine.var() == pytest.approx(mean, rel=0.05)
+    assert np.mean(d[n == 1.0] == 0) == pytest.approx(np.exp(-1.0), abs=0.01)
