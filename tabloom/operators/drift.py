@@ -288,31 +288,44 @@ def isolation_forest(ref: DataFrame, cols: Sequence[str], trees: int = TREES, se
     return spread.groupBy("tree").applyInPandas(grow, "tree int, node int, lft int, rgt int, feature int, cut double, size int")
 
 
+def _flat_tree(lft: np.ndarray, rgt: np.ndarray, feature: np.ndarray, cut: np.ndarray, size: np.ndarray) -> tuple:
+    """``steps, feature, cut, next, mean path of all rows, path at each node``; a leaf is its own next node, so rows walk without masks."""
+    leaf, depth = feature < 0, np.zeros(len(feature))
+    for i in np.flatnonzero(~leaf):  # a parent comes before its children
+        depth[[lft[i], rgt[i]]] = depth[i] + 1
+    own = np.arange(len(feature))
+    after = np.stack([np.where(leaf, own, rgt), np.where(leaf, own, lft)], axis=1).ravel()
+    return int(depth.max()), np.where(leaf, 0, feature).astype(np.intp), cut.astype(float), after.astype(np.intp), float(_mean_path(size[0])), depth + _mean_path(size)
+
+
+#: Rows that walk through all trees together, few enough to stay in a core's cache.
+WALK = 4096
+
+
+def _path_lengths(m: np.ndarray, trees: Sequence[tuple]) -> np.ndarray:
+    """The sum over trees of each row's path."""
+    total = np.zeros(len(m))
+    for i in range(0, len(m), WALK):
+        rows = np.ascontiguousarray(m[i:i + WALK])
+        flat, base, part = rows.ravel(), np.arange(len(rows)) * m.shape[1], total[i:i + WALK]
+        for steps, feature, cut, after, _, path in trees:
+            at = np.zeros(len(rows), np.intp)
+            for _ in range(steps):
+                at = after.take(2 * at + (flat.take(base + feature.take(at)) <= cut.take(at)))
+            part += path.take(at)
+    return total
+
+
 def isolation_scores(df: DataFrame, forest: DataFrame, cols: Sequence[str], name: str = "anomaly_score") -> DataFrame:
     """Anomaly score 2^(-mean depth / c) per row; the forest (bounded: trees x 511 nodes) travels in the closure."""
     nodes = forest.toPandas().sort_values(["tree", "node"])
-    packed = [
-        (g.lft.to_numpy(), g.rgt.to_numpy(), g.feature.to_numpy(), g.cut.to_numpy(), g["size"].to_numpy())
-        for _, g in nodes.groupby("tree")
-    ]
-    norm = float(np.mean([_mean_path(p[4][0]) for p in packed])) if packed else 1.0
+    trees = [_flat_tree(*(g[c].to_numpy() for c in ("lft", "rgt", "feature", "cut", "size"))) for _, g in nodes.groupby("tree")]
+    norm = float(np.mean([t[4] for t in trees])) if trees else 1.0
     cols = list(cols)
 
     @F.pandas_udf("double")
     def score(x: pd.DataFrame) -> pd.Series:
-        m = x.to_numpy(dtype=float)
-        total = np.zeros(len(m))
-        for lft, rgt, feature, cut, size in packed:
-            at, depth = np.zeros(len(m), dtype=int), np.zeros(len(m))
-            live = feature[at] >= 0
-            while live.any():
-                here = at[live]
-                goes = m[live, feature[here]] <= cut[here]
-                at[live] = np.where(goes, lft[here], rgt[here])
-                depth[live] += 1
-                live = feature[at] >= 0
-            total += depth + _mean_path(size[at])
-        return pd.Series(2.0 ** (-(total / len(packed)) / max(norm, 1e-9)))
+        return pd.Series(2.0 ** (-(_path_lengths(x.to_numpy(dtype=float), trees) / len(trees)) / max(norm, 1e-9)))
 
     return df.withColumn(name, score(F.struct(*[finite(c).alias(c) for c in cols])))
 

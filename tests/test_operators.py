@@ -484,3 +484,20 @@ def test_zero_weights_are_rejected(spark):
     e = graph.edges(spark.createDataFrame([("a", "b", 0.0), ("b", "c", 1.0)], "u string, v string, w double"), "u", "v", "w")
     with pytest.raises(ValueError):
         graph.betweenness(e)
+
+
+def test_rows_walk_isolation_trees_as_one_by_one():
+    """Paths of whole blocks equal a walk of each row from node to node, gaps to the right, in far fewer array steps a tree."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(drift.WALK + 300, 3))
+    m[::50, 1] = np.nan
+    made = [drift._grow(rng.normal(size=(64, 3)), np.random.default_rng(s), 8) for s in range(5)] + [[(0, -1, -1, -1, 0.0, 1)]]
+    trees = [drift._flat_tree(*(np.array(c) for c in list(zip(*t))[1:])) for t in made]
+    expected = np.zeros(len(m))
+    for t in made:
+        for i, row in enumerate(m):
+            at, depth = 0, 0
+            while t[at][3] >= 0:
+                at, depth = t[at][1] if row[t[at][3]] <= t[at][4] else t[at][2], depth + 1
+            expected[i] += depth + drift._mean_path(t[at][5])
+    assert (drift._path_lengths(m, trees) == expected).all()
