@@ -154,3 +154,13 @@ def test_draws_are_poisson():
         mine = d[n == mean]
         assert mine.mean() == pytest.approx(mean, rel=0.02) and mine.var() == pytest.approx(mean, rel=0.05)
     assert np.mean(d[n == 1.0] == 0) == pytest.approx(np.exp(-1.0), abs=0.01)
+
+
+def test_trees_of_one_table_share_their_bins(spark, parts, monkeypatch):
+    """Trees of a fold and of a leaderboard cut and count their rows once, and fit as they do alone."""
+    train, test, _ = parts
+    cut, real = [], models.bin_cuts
+    alone = models.leaderboard(train, test, ["dt"])[0].first()
+    monkeypatch.setattr(models, "bin_cuts", lambda *a: cut.append(a) or real(*a))
+    table = {r["model"]: r for r in models.leaderboard(train, test, ["dt", "et"])[0].collect()}
+    assert len(cut) == 1 and tuple(table["dt"]) == pytest.approx(tuple(alone))
