@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -164,3 +164,31 @@ def test_trees_of_one_table_share_their_bins(spark, parts, monkeypatch):
     monkeypatch.setattr(models, "bin_cuts", lambda *a: cut.append(a) or real(*a))
     table = {r["model"]: r for r in models.leaderboard(train, test, ["dt", "et"])[0].collect()}
     assert len(cut) == 1 and tuple(table["dt"]) == pytest.approx(tuple(alone))
+
+
+def test_hinge_fits_share_their_passes(spark, parts, monkeypatch):
+    """Every fold of one run of passes comes as near to the least hinge of its own rows as MLlib, which isn't asked."""
+    train, _, prep = parts
+    marked = models._folds(train, ["i"], 2, 42)
+    jobs = [(0, 1e-3), (1, 1e-3)]
+    with models._fit_rows(marked, fold="fold") as rows:
+        found = models._hinge(rows, len(prep.names), jobs)
+    for (fold, strength), w in zip(jobs, found):
+        own = marked.where(F.col("fold") != fold)
+        pdf = own.select(vector_to_array("features").alias("v"), "label").toPandas()
+        x, sign = np.array(pdf.v.tolist()), 2 * pdf.label.to_numpy() - 1
+        cost = lambda w, b: np.maximum(0, 1 - sign * (x @ w + b)).mean() + 0.5 * strength * ((w * x.std(0, ddof=1)) ** 2).sum()  # noqa: B023, E731
+        theirs = models._fitted(models.estimator("svm", "classification").setRegParam(strength), own)
+        assert cost(w[:-1], w[-1]) <= cost(theirs.coefficients.toArray(), theirs.intercept) * (1 + 1e-5)
+    monkeypatch.setattr(models.mc.LinearSVC, "fit", lambda *_: 1 / 0)
+    model = models.fit_model("svm", train)
+    s = models.scored(model, parts[1]).select("label", "prediction", F.col("probs")[1].alias("p"))
+    assert s.where("prediction <> cast(p > 0.5 as double)").count() == 0
+    assert evaluate.ranking_metrics(s, "label", "p").first()["roc_auc"] > 0.85
+
+
+def test_a_feature_without_spread_has_no_weight(spark):
+    rows = spark.createDataFrame([([x / 10.0, 3.0], float(x + x % 3 > 20)) for x in range(40)], "v array<double>, label double").withColumn("features", array_to_vector("v"))
+    model = models.fit_model("svm", rows)
+    assert model.coefficients[1] == 0.0 and model.coefficients[0] > 0.0
+    assert models.scored(model, rows).where("prediction = label").count() > 35

@@ -54,6 +54,25 @@ def test_balls_far_away_never_meet(spark):
     assert d.agg(F.max("n")).first()[0] <= 50 and d.agg(F.sum("n")).first()[0] == 1500
 
 
+def test_balls_are_compact_and_leaves_prune(spark):
+    """Balls cut by their distance from a pivot were shells as wide as all of its rows, and all rows of a slot met all of a page."""
+    rng = np.random.default_rng(4)
+    x = rng.random((6000, 2))
+    d = nearest.balls(vectors(spark, x), "id", "v", nearest.EUCLID, 20)
+    assert d.agg(F.avg("radius")).first()[0] < 0.06 and d.agg(F.sum("n")).first()[0] == 6000
+    rows = nearest._Leaves(nearest.EUCLID, x[nearest._halved(x, nearest.LEAF)], np.array([6000]))
+    q = nearest._Leaves(nearest.EUCLID, rng.random((50, 2)) / 20, np.array([50]))
+    seen, real = [], nearest._score
+    nearest._score = lambda m, a, b: seen.append(len(a) * len(b)) or real(m, a, b)
+    try:
+        who, what, score = nearest._leaf_hits(nearest.EUCLID, q.x, rows, rows.best(q, 0), np.arange(6000), 3)
+    finally:
+        nearest._score = real
+    far = ((q.x[:, None] - rows.x[None]) ** 2).sum(2)
+    assert np.allclose(-score.reshape(-1, 3), np.sort(far, axis=1)[:, :3]) and (who == np.repeat(np.arange(50), 3)).all()
+    assert sum(seen) < 0.8 * far.size
+
+
 def test_nearest_rows_with_gaps_and_without_rows(spark):
     some = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", None), ("a", [0.0, 1.0])], "k string, v array<double>")
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "q int, v array<double>")
