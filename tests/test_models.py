@@ -192,3 +192,42 @@ def test_a_feature_without_spread_has_no_weight(spark):
     model = models.fit_model("svm", rows)
     assert model.coefficients[1] == 0.0 and model.coefficients[0] > 0.0
     assert models.scored(model, rows).where("prediction = label").count() > 35
+
+
+def test_members_score_in_matrices(spark, parts):
+    """Shares of a matrix of features are what the models give row by row, and the ensemble is their mean."""
+    train, test, _ = parts
+    fits = [models.fit_model(k, train) for k in ("logreg", "dt", "svm")]
+    fits.append(models.BinnedModel(forest.fit(fits[1].rows, 4, 2, models.BINS, trees=5, depth=3), fits[1].cuts, fits[1].rows))
+    x = np.array(test.orderBy("i").select(vector_to_array("features").alias("v")).toPandas().v.tolist())
+    each = []
+    for m in fits:
+        own = np.array(models.scored(m, test).orderBy("i").select("probs").toPandas().probs.tolist())
+        assert np.allclose(m.shares(x), own, atol=1e-12)
+        each.append(own)
+    together = models.ensemble(fits, test).orderBy("i").toPandas()
+    assert set(together.columns) == {*test.columns, "probs", "prediction"}
+    assert np.allclose(np.array(together.probs.tolist()), np.mean(each, axis=0))
+    assert (together.prediction == np.mean(each, axis=0).argmax(1)).all()
+
+
+def test_areas_of_folds_are_exact(spark, parts, monkeypatch):
+    """Held-out rows of linear models are ranked exactly in stretches, however few scores a stretch holds; ties count half."""
+    train, _, prep = parts
+    marked = models._folds(train.withColumn("features", array_to_vector(F.transform(vector_to_array("features"), lambda x: F.round(x, 1)))), ["i"], 2, 42)
+    monkeypatch.setattr(models, "AREA_ROWS", 100)
+    with models._fit_rows(marked, fold="fold") as rows:
+        fits = models._linear("logreg", rows, [(0, 1e-3), (1, 1e-3)])
+        areas = models._exact_areas(rows, fits, [0, 1])
+        assert models._exact_areas(rows, fits[:1], [7]) == [None]
+    for f in (0, 1):
+        held = models.scored(fits[f], marked.where(F.col("fold") == f)).withColumn("p", F.col("probs")[1])
+        assert evaluate.ranking_metrics(held, "label", "p").first()["roc_auc"] == pytest.approx(areas[f], abs=1e-12)
+
+
+def test_linear_members_of_all_folds_are_fitted_together(spark, parts, monkeypatch):
+    packed, real = [], models._fit_rows
+    monkeypatch.setattr(models, "_fit_rows", lambda *a, **k: packed.append(a) or real(*a, **k))
+    out, best = models.best_ensemble(parts[0], parts[1], ["logreg", "dt", "svm"], ["i"], top=2, folds=2)
+    assert len(packed) == 1 and len(best) == 2
+    assert evaluate.classification_metrics(out, "label", "prediction").first()["accuracy"] > 0.8
