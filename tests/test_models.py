@@ -231,3 +231,25 @@ def test_linear_members_of_all_folds_are_fitted_together(spark, parts, monkeypat
     out, best = models.best_ensemble(parts[0], parts[1], ["logreg", "dt", "svm"], ["i"], top=2, folds=2)
     assert len(packed) == 1 and len(best) == 2
     assert evaluate.classification_metrics(out, "label", "prediction").first()["accuracy"] > 0.8
+
+
+def test_perceptron_rows_in_single_precision(spark, parts):
+    """Passes take rows as they are where hardly any are equal, in single precision, and count the outcomes of the fit's rows."""
+    train, test, prep = parts
+    layers, rng = [len(prep.names), 4, 3, 2], np.random.default_rng(2)
+    w = rng.normal(size=sum(a * b + b for a, b in zip(layers, layers[1:])))
+    x, label = rng.normal(size=(3000, layers[0])), rng.integers(0, 2, 3000)
+    one, half = (perceptron.loss_and_gradient(w, layers, [(x.astype(k), label, np.ones(3000))]) for k in (float, np.float32))
+    assert one == pytest.approx(half, abs=1e-6 * np.abs(one).max())
+    n = train.count()
+    apart = train.withColumn("features", array_to_vector(F.array(F.col("i").cast("double"), F.lit(0.0))))
+    assert models._perceptron_rows(apart, n).count() == n and models._perceptron_rows(train.unionAll(train), 2 * n).count() <= n
+    kinds = [b[0].dtype for b in models._perceptron_rows(apart, n).mapInArrow(perceptron._packed, "v binary, label binary, n binary").rdd.map(perceptron._block).collect()]
+    assert set(kinds) == {np.dtype(np.float32)}
+    model = models.fit_model("mlp", train)
+    known = {(r["label"], r["prediction"]): r["n"] for r in models._outcomes(model, train, own=True, ranked=False).collect()}
+    rows = models.scored(model, train).groupBy("label", "prediction").count().collect()
+    assert sum(known.values()) == n and all(abs(known[r["label"], r["prediction"]] - r["count"]) <= 2 for r in rows)
+    theirs = model.model.transform(test).select("i", vector_to_array("probability")[1].alias("q"))
+    near = models.scored(model, test).join(theirs, "i").agg(F.max(F.abs(F.col("probs")[1] - F.col("q"))), F.count("*")).first()
+    assert near[0] < 1e-12 and near[1] == test.count()
